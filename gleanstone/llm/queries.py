@@ -30,6 +30,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -46,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_quality_resampling": op3_quality_resampling,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_sharding": op8_sharding,
     }
