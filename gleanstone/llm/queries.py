@@ -36,12 +36,24 @@ def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_digests, media_table
+
+    return media_digests(media_table(table(spark, sf_dir, "documents")))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_rows
 
@@ -61,7 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_quality_resampling": op3_quality_resampling,
+        "op5_imatch": op5_imatch,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_media": op7_media,
         "op8_sharding": op8_sharding,
         "op9_byte_bpe": op9_byte_bpe,
     }
