@@ -36,6 +36,14 @@ def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import document_token_counts
+
+    return document_token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprint_documents
 
@@ -73,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_quality_resampling": op3_quality_resampling,
+        "op4_token_counts": op4_token_counts,
         "op5_imatch": op5_imatch,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_media": op7_media,
