@@ -76,6 +76,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -87,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_media": op7_media,
         "op8_sharding": op8_sharding,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_html_text": op10_html_text,
     }
 
 
