@@ -1,7 +1,7 @@
 """Quality by importance resampling: the ratio of two hashed n-gram models, for target and for raw text, sampled by Gumbel top-k.
 
 Texts are cut into runs of word characters and runs of other visible characters; single tokens and adjacent pairs count in 2**bits counters. The
-raw model is counted over all documents, the target model over all documents labelled good; both are smoothed. A document's weight is the mean
+raw model is counted over all documents, the target model over documents labelled good, a bounded sample of them; both are smoothed. A document's weight is the mean
 log ratio of its n-grams, shrunk by `prior` n-grams of ratio 1, so that length alone neither lifts nor sinks it.
 
 * `keep` is the classifier's decision: the mean is at least `threshold`, which lies where labelled bad and good documents are best told apart,
@@ -113,20 +113,26 @@ def _threshold(weights: DataFrame, spare: float, step: float = 0.01) -> float:
     return float(min(r["bin"] for r in rows) * step if score.argmax() == 0 else (rows[score.argmax() - 1]["bin"] + 1) * step)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = 16, prior: float = 8.0, spare: float = 0.02) -> Ratio:
-    """Both models over all of docs (doc_id, text); labels (doc_id, quality) name good (1) and bad (0) ones."""
+def fit(docs: DataFrame, labels: DataFrame, bits: int = 16, prior: float = 8.0, spare: float = 0.02, labelled: int = 20_000, seed: int = 3) -> Ratio:
+    """The raw model over all of docs (doc_id, text); the target model, and the threshold, over about `labelled` rows of labels (doc_id, quality: 1 good, 0 bad).
+
+    The labelled rows are chosen by a hash of their id. Their ids and labels are all that is broadcast (less than 1 MB for each 20,000), and the texts stay where they are.
+    """
     small_batches(docs.sparkSession)
-    known = labels.filter("doc_id is not null").groupBy("doc_id").agg(
-        F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad")
-    )
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id", "left").fillna(0, ["good", "bad"])
-    raw, target = _summed(rows, bits)
+    own = labels.filter("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    share = min(1.0, labelled / max(1, own.count()))
+    chosen = own.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(10**9)) < int(share * 10**9))
+    known = chosen.groupBy("doc_id").agg(F.sum("quality").cast("long").alias("good"), F.sum(1 - F.col("quality")).cast("long").alias("bad"))
+    known = written(known, "quality-labels")
+    if known.count() > 2 * labelled:  # a hash does not do that
+        raise RuntimeError("more labelled rows than the bound")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    raw, target = _summed(texts.join(F.broadcast(known), "doc_id", "left").fillna(0, ["good", "bad"]), bits)
     if not target.any():
         return Ratio(np.zeros(1 << bits), bits, prior, -20.0)
     n = len(raw)
-    table = np.log((target + 1) / (target.sum() + n)) - np.log((raw + 1) / (raw.sum() + n))
-    model = Ratio(table, bits, prior)
-    weighed = weigh(rows.filter("good > 0 or bad > 0").select("good", "bad", "text"), model, "good long, bad long, weight double", ["good", "bad"])
+    model = Ratio(np.log((target + 1) / (target.sum() + n)) - np.log((raw + 1) / (raw.sum() + n)), bits, prior)
+    weighed = weigh(texts.join(F.broadcast(known), "doc_id"), model, "good long, bad long, weight double", ["good", "bad"])
     model.threshold = _threshold(weighed, spare)
     return model
 
