@@ -17,52 +17,82 @@ import numpy as np
 UNIT = re.compile("[^\t-\r \x85\xa0  -     　]+")
 ODD = re.compile("[\x1c-\x1f]")
 MARK = "\x01"
+_LETTERS = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_DIGITS = rb"0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The pre-tokens of a lower-cased Latin-1 text, as the file's pattern has them.
+PIECE = re.compile(rb"[%b]+|'(?:s|t|re|ve|m|ll|d)|[%b]|[^%b%b\t-\r \x85\xa0]+" % (_LETTERS, _DIGITS, _LETTERS, _DIGITS))
+LOWER = bytes(ord(c.lower()) if len((c := chr(b)).lower()) == 1 and ord(c.lower()) < 256 else b for b in range(256))
 
 
 class WordBpe:
-    """ids(texts) with a memory of at most `keep` units; beyond that it starts anew."""
+    """ids(texts) with a memory of at most `keep` pieces; beyond that it starts anew.
 
-    def __init__(self, path: str, keep: int = 600_000):
+    A Latin-1 text, which is its own normal form and is lowered letter by letter, is cut into pre-tokens here and each distinct one encoded once;
+    another text is cut at white space, and each distinct unit encoded once.
+    """
+
+    def __init__(self, path: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep = keep
-        self.memory: dict[str, bytes] = {}
+        self.memory: dict[str | bytes, bytes] = {}
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = None
+        if suffix:  # each pre-token then ends with an id that has it, and no other id has it
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, units: list[str]) -> None:
-        if len(self.memory) + len(units) > self.keep:
-            self.memory.clear()
-        plain = [u for u in units if self.mark is not None and MARK not in u]
-        for u in units:
-            if self.mark is None or MARK in u:
-                self.memory[u] = self._one(u)
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(some) - 1:
-                raise RuntimeError("the mark is not an id of its own")
-            lo = np.concatenate(([0], ends + 1)) * 4
-            hi = np.concatenate((ends, [len(ids)])) * 4
+    def _encode(self, units: list[str], single: bool) -> list[bytes]:
+        """Each unit's ids, many units at a time: single pre-tokens end where an id ends a word, others are parted by the mark."""
+        out, gap = [], " " if single else f" {MARK} "
+        for at in range(0, len(units), 2000):
+            some = units[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(gap.join(some), add_special_tokens=False).ids, "<u4")
+            if single:
+                hi = np.flatnonzero(self.last[ids]) + 1
+                lo = np.concatenate(([0], hi[:-1]))
+            else:
+                ends = np.flatnonzero(ids == self.mark)
+                lo, hi = np.concatenate(([0], ends + 1)), np.concatenate((ends, [len(ids)]))
+            if len(hi) != len(some):
+                raise RuntimeError("units and pre-tokens do not match")
             raw = ids.tobytes()
-            self.memory.update(zip(some, [raw[a:b] for a, b in zip(lo.tolist(), hi.tolist())]))
+            out += [raw[x:y] for x, y in zip((4 * lo).tolist(), (4 * hi).tolist())]
+        return out
+
+    def _learn(self, units: list) -> None:
+        pieces = [u for u in units if isinstance(u, bytes)]
+        self.memory.update(zip(pieces, self._encode([p.decode("latin-1") for p in pieces], True)))
+        plain = [u for u in units if isinstance(u, str)]
+        odd = [u for u in plain if self.mark is None or MARK in u]
+        self.memory.update((u, self._one(u)) for u in odd)
+        plain = [u for u in plain if self.mark is not None and MARK not in u]
+        self.memory.update(zip(plain, self._encode(plain, False)))
+
+    def cut(self, text: str) -> list:
+        if self.last is not None:
+            try:
+                return PIECE.findall(text.encode("latin-1").translate(LOWER))
+            except UnicodeEncodeError:
+                pass
+        return UNIT.findall(text) if ODD.search(text) else text.split()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Of each text, its ids as little-endian unsigned 32-bit integers."""
-        units = [UNIT.findall(t) if ODD.search(t) else t.split() for t in texts]
-        known = self.memory
-        new = set(chain.from_iterable(units)).difference(known)
+        units = [self.cut(t) for t in texts]
+        new = set(chain.from_iterable(units)).difference(self.memory)
+        if len(self.memory) + len(new) > self.keep:
+            self.memory.clear()
+            new = set(chain.from_iterable(units))
         if new:
-            before = len(known)
-            self._learn(sorted(new))
-            if len(self.memory) < before + len(new):  # it started anew
-                self._learn(sorted(set(chain.from_iterable(units)).difference(self.memory)))
+            self._learn(list(new))
         get = self.memory.__getitem__
         return [b"".join(map(get, u)) for u in units]
 
