@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import small_batches, with_columns
 
 UND = "und"
 SIZES = (1, 2, 3, 4)
@@ -193,7 +193,8 @@ def fit(train: DataFrame, bits: int = 16, per_language: int = 320, l1: float = 0
     """A model from the labelled rows of train (doc_id, text, lang); per_language bounds the sample that weights are fitted on."""
     labelled = train.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     keys = labelled.select("doc_id", "lang", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_h"))
-    top = keys.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).filter(F.col("_r") <= per_language)
+    few = keys.withColumn("_r", F.row_number().over(Window.partitionBy("lang", F.pmod("_h", F.lit(64))).orderBy("_h", "doc_id"))).filter(F.col("_r") <= per_language)
+    top = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).filter(F.col("_r") <= per_language)
     sample = labelled.join(F.broadcast(top.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "lang", "text").dropDuplicates(["doc_id"])  # languages * per_language ids
     rows = sample.orderBy("doc_id").collect()
     labels = sorted({r["lang"] for r in rows})
@@ -213,17 +214,10 @@ def fit(train: DataFrame, bits: int = 16, per_language: int = 320, l1: float = 0
     return model
 
 
-def identify(docs: DataFrame, model: Model, schema: str, keep: list[str]) -> DataFrame:
-    """docs' columns keep (text among them or not), lang_pred and score; schema names and types all of them."""
-    small_batches(docs.sparkSession)
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """docs' columns keep (all, if none are named) with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits * labels numbers
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lang, score = shared.value.predict(list(batch["_text"]))
-            yield batch[keep].assign(lang_pred=lang, score=score)
-
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInPandas(run, schema)
+    return with_columns(docs, lambda: shared.value.predict, "lang_pred string, score double", keep)
 
 
 def held_out() -> Column:
@@ -233,5 +227,5 @@ def held_out() -> Column:
 def predict_languages(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score; rows with crc32(doc_id) mod 3 = 1 are never learned from."""
     model = fit(docs.filter(~held_out()).select("doc_id", "text", "lang"), **options)
-    slim = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
-    return identify(slim, model, "doc_id long, held_out boolean, lang_pred string, score double", ["doc_id", "held_out"])
+    slim = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    return identify(slim, model, ["doc_id", "held_out"])

@@ -16,7 +16,7 @@ of a document count each; only the named columns are read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches, written
+from .storage import small_batches, with_columns, written
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -110,7 +110,13 @@ def _threshold(weights: DataFrame, spare: float, step: float = 0.01) -> float:
     good, bad = (np.array([r[c] for r in rows], float) for c in ("good", "bad"))
     below_good, below_bad = (np.concatenate(([0], np.cumsum(x))) / x.sum() for x in (good, bad))
     score = np.where(below_good <= spare, below_bad - below_good, -1)
-    return float(min(r["bin"] for r in rows) * step if score.argmax() == 0 else (rows[score.argmax() - 1]["bin"] + 1) * step)
+    cut = int(score.argmax())  # bins below it are bad
+    if cut == 0:
+        return float(rows[0]["bin"] * step)
+    if cut == len(rows):
+        return float((rows[-1]["bin"] + 1) * step)
+    low, high = (rows[cut - 1]["bin"] + 1) * step, rows[cut]["bin"] * step
+    return float(low + (high - low) / 4)  # in the gap, nearer to the bad: what is in doubt stays
 
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = 16, prior: float = 8.0, spare: float = 0.02, labelled: int = 20_000, seed: int = 3) -> Ratio:
@@ -132,23 +138,20 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 16, prior: float = 8.0,
         return Ratio(np.zeros(1 << bits), bits, prior, -20.0)
     n = len(raw)
     model = Ratio(np.log((target + 1) / (target.sum() + n)) - np.log((raw + 1) / (raw.sum() + n)), bits, prior)
-    weighed = weigh(texts.join(F.broadcast(known), "doc_id"), model, "good long, bad long, weight double", ["good", "bad"])
+    weighed = weigh(texts.join(F.broadcast(known), "doc_id"), model, ["good", "bad"])
     model.threshold = _threshold(weighed, spare)
     return model
 
 
-def weigh(docs: DataFrame, model: Ratio, schema: str, keep: list[str]) -> DataFrame:
-    """docs' columns keep and weight (null without n-grams); schema names and types all of them."""
-    small_batches(docs.sparkSession)
+def weigh(docs: DataFrame, model: Ratio, keep: list[str] | None = None) -> DataFrame:
+    """docs' columns keep (all, if none are named) with weight (null without n-grams)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits numbers
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher(model_bits)
-        for batch in batches:
-            yield batch[keep].assign(weight=pd.array([shared.value.weight(hasher(t)) for t in batch["_text"]], "Float64"))
+    def start() -> Callable:
+        hasher = Hasher(shared.value.bits)
+        return lambda texts: ([shared.value.weight(hasher(t)) for t in texts],)
 
-    model_bits = model.bits
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInPandas(run, schema)
+    return with_columns(docs, start, "weight double", keep)
 
 
 def gumbel_top(rows: DataFrame, key: str, k: int, digits: int = 12) -> DataFrame:
@@ -189,7 +192,7 @@ def _ordered_bits(key: str) -> Column:
 def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.5, tau: float = 0.05, seed: int = 5, model: Ratio | None = None) -> DataFrame:
     """doc_id, weight, keep, gumbel_key, sampled for every row of docs (doc_id, text)."""
     model = model or fit(docs, labels)
-    weighed = weigh(docs.select(F.col("doc_id").cast("long"), "text"), model, "doc_id long, weight double", ["doc_id"])
+    weighed = weigh(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), model, ["doc_id"])
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) + 0.5) / F.lit(2.0**53)
     key = F.coalesce(F.col("weight") / tau, F.lit(-1e4)) - F.log(-F.log(uniform))
     rows = weighed.withColumn("gumbel_key", key).withColumn("keep", F.coalesce(F.col("weight") >= model.threshold, F.lit(False)))

@@ -4,19 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+_OWN: dict[str, str] = {}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir.
 
-    Where it is unset (tests on one machine) a temporary folder is made and set.
+    Where it is unset (tests on one machine) a temporary folder is made, one for each application.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="gleanstone-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="gleanstone-")
+        path = _OWN[app]
     return path.rstrip("/")
 
 
@@ -24,7 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, kept if executors are lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gleanstone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # nothing reads this plan's shuffle files again: the table stands for it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,3 +64,24 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_columns(docs: DataFrame, start: Callable[[], Callable], schema: str, keep: list[str] | None = None) -> DataFrame:
+    """docs' columns keep (all, if none are named), then those of schema, computed from the column text.
+
+    start runs once in each task and returns a function from a list of texts to a list of values for each new column. Kept columns pass through as Arrow columns.
+    """
+    small_batches(docs.sparkSession)
+    keep = docs.columns if keep is None else keep
+    new = T._parse_datatype_string(schema)
+    kinds = [{"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_()}[f.dataType.simpleString()] for f in new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for batch in batches:
+            made = compute(batch.column("text").to_pylist())
+            arrays = [batch.column(c) for c in keep] + [pa.array(list(v), k) for v, k in zip(made, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *new.names])
+
+    out = T.StructType([T.StructField(f.name, f.dataType) for f in docs.select(*keep).schema] + list(new))
+    return docs.mapInArrow(run, out)

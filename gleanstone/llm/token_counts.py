@@ -114,7 +114,8 @@ def count_tokens(
                 out["length"] += np.diff(np.append(starts, len(text))).tolist()
                 out["n_tokens"] += tokens.tolist()
                 out["n_crossing"] += crossing.tolist()
-            yield pd.DataFrame(out)
+            if out["id"]:
+                yield pd.DataFrame(out)
 
     kind = dict(rows.dtypes)[id_col]
     slim = rows.select(F.col(id_col).alias("_id"), *[F.col(f).cast("string").alias(f"_f{k}") for k, f in enumerate(fields)])
