@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import bracket_modules, module_path
+from ..schema import struct
 
-ENTRIES = T.StructType.fromDDL("old_path string, new_path string, deprecated_in string, removed_in string, note string, ord long")
+ENTRIES = struct("old_path string, new_path string, deprecated_in string, removed_in string, note string, ord long")
 
 #: How proxies, module paths and symbols are written.
 PROXY = r'(?s)DeprecatedModuleProxy\s*\(\s*globals\(\)\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,?\s*\)'
@@ -110,7 +111,8 @@ def from_releases(releases: DataFrame, existing: DataFrame | None = None) -> tup
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(e["old_path"], e["new_path"], e["deprecated_in"], e["removed_in"], e["note"], v, k) for v, b in zip(batch["version"], batch["body"]) for k, e in enumerate(release_entries(v, b or ""))]
-            yield pd.DataFrame(rows, columns=["old_path", "new_path", "deprecated_in", "removed_in", "note", "version", "k"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["old_path", "new_path", "deprecated_in", "removed_in", "note", "version", "k"])
 
     found = releases.select("version", "body").mapInPandas(run, "old_path string, new_path string, deprecated_in string, removed_in string, note string, version string, k int")
     real = found.filter(~F.col("old_path").startswith("release:")).withColumn("at", F.struct(F.lit(1).alias("s"), F.col("version").alias("v"), F.col("k").cast("long").alias("k")))

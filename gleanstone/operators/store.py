@@ -6,9 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..schema import CHUNKS, conform
+from ..schema import CHUNKS, conform, struct
 
 
 def latest(rows: DataFrame, key: str = "chunk_id", order: str = "seq") -> DataFrame:
@@ -99,7 +98,7 @@ class ChunkStore:
         fs.delete(jvm.org.apache.hadoop.fs.Path(self.folder), True)
 
 
-KEY_VALUES = T.StructType.fromDDL("key string, value string, updated_at timestamp")
+KEY_VALUES = struct("key string, value string, updated_at timestamp")
 
 
 def set_values(table: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,14 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNKS = T.StructType.fromDDL(
+_PLAIN = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "double": T.DoubleType(), "float": T.FloatType()}
+
+
+def struct(listed: str) -> T.StructType:
+    """A struct of `name type` pairs, without a session: plain types, and arrays of them."""
+    out = T.StructType()
+    for pair in listed.split(", "):
+        name, kind = pair.split(" ")
+        inner = kind.removeprefix("array<").removesuffix(">")
+        out.add(name, _PLAIN[kind] if kind in _PLAIN else T.ArrayType(_PLAIN[inner]))
+    return out
+
+
+CHUNKS = struct(
     "chunk_id string, seq long, content string, content_type string, source_url string, repo string, path string, commit_sha string, indexed_at timestamp, "
     "title string, section string, language string, domain string, execution_mode string, foundational_class string, pipeline_version_pin string, "
     "capability_tags array<string>, key_files array<string>, readme_content string, chunk_index int, line_start int, line_end int, module_path string, "
     "class_name string, method_name string, chunk_type string, method_signature string, return_type string, is_dataclass boolean, is_abstract boolean, "
     "base_classes array<string>, imports array<string>, yields array<string>, calls array<string>, rst_refs array<string>, related_types array<string>, "
-    "fields array<struct<key: string, value_type: string>>, embedding array<float>"
-)
+    "embedding array<float>"
+).add("fields", T.ArrayType(struct("key string, value_type string")))
 
 
 def conform(rows: DataFrame) -> DataFrame:

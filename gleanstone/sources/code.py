@@ -118,7 +118,8 @@ def chunk_files(files: DataFrame, sha: str = "", max_tokens: int = 256, overlap_
                 for k, part in enumerate(chunk_code(text, max_tokens, overlap_tokens, path.endswith(".py")))
                 if part.strip()
             ]
-            yield pd.DataFrame(rows, columns=["repo", "path", "chunk_index", "content", "file_lines"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["repo", "path", "chunk_index", "content", "file_lines"])
 
     cut = files.select("repo", "path", "content").mapInPandas(run, "repo string, path string, chunk_index int, content string, file_lines int")
     n = F.size(F.split(F.regexp_replace("content", r"\n$", ""), "\n"))
@@ -221,10 +222,11 @@ def python_symbols(source: str, module: str, package: str = "pipecat", stub: boo
     names = imported(tree.body)
     marks = lambda n: [ast.unparse(d.func if isinstance(d, ast.Call) else d) for d in n.decorator_list]
     classes, functions = [n for n in tree.body if isinstance(n, ast.ClassDef)], [n for n in tree.body if isinstance(n, Function)]
+    exports = _exports(tree)
     out = [
         {
             "chunk_type": "module_overview", "line_start": 1, "line_end": len(rows), "imports": list(names.values()),
-            "content": "\n".join(x for x in (f"# Module: {module}", ast.get_docstring(tree), f"Exports: {', '.join(e)}" if (e := _exports(tree)) else None, f"Classes: {', '.join(c.name for c in classes)}" if classes else None, f"Functions: {', '.join(f.name for f in functions)}" if functions else None) if x),
+            "content": "\n".join(x for x in (f"# Module: {module}", ast.get_docstring(tree), f"Exports: {', '.join(exports)}" if exports else None, f"Classes: {', '.join(c.name for c in classes)}" if classes else None, f"Functions: {', '.join(f.name for f in functions)}" if functions else None) if x),
         }
     ]
 
@@ -278,7 +280,8 @@ def parse_python(files: DataFrame, package: str = "pipecat") -> DataFrame:
                 except (SyntaxError, ValueError, RecursionError) as e:
                     found = [({}, f"{type(e).__name__}: {e}")]
                 rows += [(f.repo, f.path, f.module_path, error, *(x.get(n) for n in names)) for x, error in found]
-            yield pd.DataFrame(rows, columns=["repo", "path", "module_path", "error", *names]).astype({"line_start": "Int32", "line_end": "Int32"})
+            if rows:
+                yield pd.DataFrame(rows, columns=["repo", "path", "module_path", "error", *names]).astype({"line_start": "Int32", "line_end": "Int32"})
 
     return files.select("repo", "path", "module_path", "content").mapInPandas(run, f"repo string, path string, module_path string, error string, {SYMBOL_COLUMNS}")
 

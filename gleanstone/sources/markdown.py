@@ -126,7 +126,8 @@ def chunk_pages(pages: DataFrame, url: str = "source_url", body: str = "body", m
                 for link, text in zip(batch["source_url"], batch["body"])
                 for k, (name, content) in enumerate(chunk_page(clean_tags(text or "") if clean else text or "", max_tokens, overlap_tokens))
             ]
-            yield pd.DataFrame(rows, columns=["source_url", "chunk_index", "section", "content"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["source_url", "chunk_index", "section", "content"])
 
     cut = pages.select(F.col(url).alias("source_url"), F.col(body).alias("body")).mapInPandas(run, "source_url string, chunk_index int, section string, content string")
     return cut.select(
