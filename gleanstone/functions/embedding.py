@@ -37,11 +37,9 @@ def embed(rows: DataFrame, model: Callable[[], Callable[[list[str]], list[list[f
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = model()
         for batch in batches:
-            there = batch.notna()
-            made = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            if there.any():
-                made[there] = encode(batch[there].tolist())
-            yield made
+            there = batch.notna().tolist()
+            found = iter(encode([t for t, known in zip(batch, there) if known]) if any(there) else ())
+            yield pd.Series([next(found) if known else None for known in there], dtype=object)
 
     if out not in rows.columns:
         return rows.withColumn(out, run(F.col(text)))
