@@ -5,8 +5,7 @@ maps a pair of adjacent symbols to the positions in words that hold it, and a he
 they make. The pair of lowest rank is merged at all its positions, left to right, and only the pairs of the touched neighbours enter the index anew.
 Words do not influence each other, so every word sees its merges in the order of their rank, as one by one.
 
-A document's ids are those of its pre-tokens; texts are cut into units of white space and what follows it, whose pre-tokens depend on nothing
-outside, and a worker keeps a bounded number of units. Decoding joins the bytes of the ids.
+A document's ids are those of its pre-tokens, of which a worker keeps a bounded number. Decoding joins the bytes of the ids.
 
 Defined results: a null text is an empty one (no ids; the digest of no bytes); equal texts get equal results; an empty table gives an empty
 result; only doc_id and text are read.
@@ -28,9 +27,13 @@ from pyspark.sql import functions as F
 
 from .storage import small_batches
 
-UNIT = re.compile(r"\s*\S+|\s+")
-#: Control characters that are white space to Python but not to the pattern.
-ODD = re.compile("[\x1c-\x1f]")
+_LETTERS = rb"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_DIGITS = rb"0-9\xb2\xb3\xb9\xbc-\xbe"
+_SPACES = rb"\t-\r \x85\xa0"
+#: The pattern for texts in Latin-1 bytes.
+PLAIN = re.compile(
+    rb"'s|'t|'re|'ve|'m|'ll|'d| ?[%b]+| ?[%b]+| ?[^%b%b%b]+|[%b]+(?![^%b])|[%b]+" % (_LETTERS, _DIGITS, _SPACES, _LETTERS, _DIGITS, _SPACES, _SPACES, _SPACES)
+)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -122,36 +125,36 @@ class MergeReplay:
 
 
 class ByteBpe:
-    """ids(texts) with a memory of at most `keep` units."""
+    """ids(texts) with a memory of at most `keep` pre-tokens; beyond that it starts anew."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 800_000):
+        import public_tokenizers
         import regex
 
         self.replay, self.keep = MergeReplay(ranks), keep
         self.find = regex.compile(pattern).findall
-        self.units: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, list[int]] = {}
-
-    def learn(self, units: list[str]) -> None:
-        if len(self.units) + len(units) > self.keep:
-            self.units.clear()
-        if len(self.words) > self.keep:
-            self.words.clear()
-        cut = [self.find(u) for u in units]
-        new = list(set(chain.from_iterable(cut)).difference(self.words))
-        self.words.update(zip(new, self.replay.encode([w.encode("utf-8", "surrogatepass") for w in new])))
-        words = self.words
-        self.units.update((u, tuple(chain.from_iterable([words[w] for w in ws]))) for u, ws in zip(units, cut))
+        self.plain = PLAIN.findall if pattern == public_tokenizers.PATTERN else None
+        self.memory: dict[str | bytes, tuple[int, ...]] = {}
+
+    def cut(self, text: str) -> list:
+        """Pre-tokens: of a Latin-1 text as Latin-1 bytes, of another as strings."""
+        if self.plain:
+            try:
+                return self.plain(text.encode("latin-1"))
+            except UnicodeEncodeError:
+                pass
+        return self.find(text)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        parts = [[t] if ODD.search(t) else UNIT.findall(t) for t in texts]
-        new = set(chain.from_iterable(parts)).difference(self.units)
-        if new:
-            before = len(self.units)
-            self.learn(list(new))
-            if len(self.units) < before + len(new):
-                self.learn(list(set(chain.from_iterable(parts)).difference(self.units)))
-        get = self.units.__getitem__
+        parts = [self.cut(t) for t in texts]
+        new = set(chain.from_iterable(parts)).difference(self.memory)
+        if len(self.memory) + len(new) > self.keep:
+            self.memory.clear()
+            new = set(chain.from_iterable(parts))
+        words = list(new)
+        raw = [(w.decode("latin-1") if isinstance(w, bytes) else w).encode("utf-8", "surrogatepass") for w in words]
+        self.memory.update(zip(words, map(tuple, self.replay.encode(raw))))
+        get = self.memory.__getitem__
         return [list(chain.from_iterable(map(get, p))) for p in parts]
 
     def decode(self, ids: list[int]) -> bytes:
