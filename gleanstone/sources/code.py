@@ -6,6 +6,7 @@ A file's text fits a row, so parsers are row-local functions behind mapInPandas;
 from __future__ import annotations
 
 import ast
+import os
 import re
 from collections.abc import Iterator
 
@@ -23,11 +24,46 @@ CHARS_PER_TOKEN = 4
 
 
 def read_files(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
-    """repo, path (below root), length, content of all files below root; links out of the tree are not followed by the reader."""
+    """repo, path (below root), length, content of all files below root; on a local file system, links and what lies behind them are left out.
+
+    Spark's readers pass over names that begin with an underscore. Of those, the files named *.py or *.pyi (a package's own modules, few and small) are read through the file system's interface by the driver.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1]
     inner = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), "^/*" + re.escape(base.lstrip("/")) + "/", "")
-    return files.select(F.lit(repo).alias("repo"), inner.alias("path"), "length", F.decode("content", "UTF-8").alias("content"))
+    plain = files.select(inner.alias("path"), "length", F.decode("content", "UTF-8").alias("content"))
+    own = spark.createDataFrame(_underscored(spark, root, base.lstrip("/")), "path string, length long, content string")
+    both = plain.unionByName(own)
+    for link in _links(root):
+        both = both.filter(~((F.col("path") == link) | F.col("path").startswith(link + "/")))
+    return both.select(F.lit(repo).alias("repo"), "path", "length", "content")
+
+
+def _links(root: str) -> list[str]:
+    """Symbolic links below a local root."""
+    local = re.sub(r"^file:/+", "/", root)
+    if "://" in local:
+        return []
+    found = (os.path.join(folder, name) for folder, dirs, names in os.walk(local) for name in (*dirs, *names))
+    return [os.path.relpath(f, local) for f in found if os.path.islink(f)]
+
+
+def _underscored(spark: SparkSession, root: str, base: str) -> list[tuple[str, int, str]]:
+    jvm, out = spark.sparkContext._jvm, []
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = fs.listFiles(top, True)
+    while listed.hasNext():
+        at = listed.next()
+        name, size = at.getPath().getName(), at.getLen()
+        path = at.getPath().toUri().getPath().lstrip("/").removeprefix(base).lstrip("/")
+        if name.startswith("_") and name.endswith((".py", ".pyi")) and size <= MAX_FILE_BYTES and not set(path.split("/")) & set(SKIPPED):
+            stream = fs.open(at.getPath())
+            try:
+                out.append((path, size, bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")))
+            finally:
+                stream.close()
+    return out
 
 
 def code_files(files: DataFrame, skip_roots: tuple[str, ...] = (), deep: bool = True) -> DataFrame:

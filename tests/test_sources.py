@@ -3,6 +3,7 @@ import json
 import pytest
 
 from gleanstone.operators import deprecation, taxonomy
+from gleanstone.plans import ingest
 from gleanstone.sources import code, markdown, pins, rst, settings, typescript
 
 
@@ -117,6 +118,7 @@ def test_discovery(spark, tmp_path):
     for name, body in tree.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(body)
+    (tmp_path / "linked").symlink_to("/etc")
     files = code.read_files(spark, f"file://{tmp_path}", "org/r")
     assert {r["path"] for r in files.select("path").collect()} == set(tree)
     kept = {r["path"] for r in code.code_files(files, ("client",)).collect()}
@@ -136,6 +138,13 @@ def test_discovery(spark, tmp_path):
     assert taxonomy.by_tag(taxonomy.entries(files, dirs), "daily").count() == 1
     chunks = code.chunk_files(files.filter("path = 'examples/flat/main.py'"), "sha").first()
     assert (chunks["line_start"], chunks["line_end"], chunks["language"]) == (1, 2, "python")
+    rows = {r["path"]: r for r in ingest.example_chunks(files, "sha", framework="1.0").filter("path like 'examples/%py'").collect()}
+    assert rows["examples/flat/main.py"]["capability_tags"] == ["daily", "bot"] and rows["examples/flat/main.py"]["execution_mode"] == "cloud" and rows["examples/flat/main.py"]["pipeline_version_pin"] == "1.0"
+    assert rows["examples/topic/one/bot.py"]["readme_content"].startswith("# T")
+    kinds = {r["chunk_type"] for r in ingest.source_chunks(files, "sha").collect()}
+    assert kinds == {"module_overview"}
+    (tmp_path / "dump.txt").write_text("# A\nSource: https://d/a\nbody")
+    assert ingest.docs_chunks(spark, f"file://{tmp_path}/dump.txt").first()["path"] == "/a"
 
 
 def test_readme_summary():
