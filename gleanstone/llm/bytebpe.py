@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import given_id, held_id, small_batches
 
 _LETTERS = rb"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _DIGITS = rb"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -181,7 +181,8 @@ def encode_table(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = bpe.ids([t or "" for t in batch["text"]])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "decoded": [bpe.decode(x) for x in ids]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, ids array<int>, decoded binary")
+    rows = docs.select(held_id("doc_id").alias("doc_id"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, ids array<int>, decoded binary")
+    return rows.withColumn("doc_id", given_id("doc_id"))
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -196,7 +197,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for doc_id, ids in zip(batch["doc_id"], bpe.ids([t or "" for t in batch["text"]])):
                 listed = ",".join(map(name.__getitem__, ids)).encode()
                 rows.append((doc_id, len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return slim.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    slim = docs.select(held_id("doc_id").alias("doc_id"), F.col("text").cast("string"))
+    return slim.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumn("doc_id", given_id("doc_id"))

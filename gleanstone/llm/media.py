@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import given_id, held_id, small_batches
 
 WIDTH = 24
 BLOCK = 576
@@ -192,7 +192,8 @@ def media_table(docs: DataFrame) -> DataFrame:
             made = [stored(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [n for n, _ in made], "media": [m for _, m in made]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    rows = docs.select(held_id("doc_id").alias("doc_id"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return rows.withColumn("doc_id", given_id("doc_id"))
 
 
 def media_digests(media: DataFrame) -> DataFrame:
@@ -209,8 +210,7 @@ def media_digests(media: DataFrame) -> DataFrame:
                     (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image))
                 )
             columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=columns)
 
-    return media.mapInPandas(
-        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+    shape = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return media.select(held_id("doc_id").alias("doc_id"), "n_bytes", "media").mapInPandas(run, shape).withColumn("doc_id", given_id("doc_id"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import parts, small_batches, written
+from .storage import given_id, held_id, parts, small_batches, written
 from .wordbpe import word_bpe
 
 Pattern = tuple[list[tuple[int, int]], int]
@@ -146,9 +146,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     own = raw[at : at + 4 * capacity]
                     out.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, PIECES)
+    pieces = docs.select(held_id("doc_id").alias("doc_id"), F.col("text").cast("string")).mapInPandas(cut, PIECES)
+    return pieces.withColumn("doc_id", given_id("doc_id"))
 
 
 def packed(pieces: DataFrame, capacity: int, plan: Callable[[dict[int, int], int], list[Pattern]] = plan_packing) -> DataFrame:

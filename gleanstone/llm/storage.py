@@ -7,11 +7,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 _OWN: dict[str, str] = {}
+#: Stands for a null id inside Python workers, where a column of integers with nulls would become one of floats.
+NO_ID = 2**63 - 1
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -51,6 +54,14 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def held_id(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+def given_id(column: str) -> Column:
+    return F.nullif(F.col(column), F.lit(NO_ID))
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of at most so many rows: a batch of long texts then fits a Python worker.
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import given_id, held_id, small_batches
 
 RULES = ("start", "most")
 SEPARATOR = "\n"
@@ -118,8 +118,10 @@ def count_tokens(
                 yield pd.DataFrame(out)
 
     kind = dict(rows.dtypes)[id_col]
-    slim = rows.select(F.col(id_col).alias("_id"), *[F.col(f).cast("string").alias(f"_f{k}") for k, f in enumerate(fields)])
-    return slim.mapInPandas(run, f"id {kind}, field string, section int, start long, length long, n_tokens long, n_crossing long")
+    whole = kind in ("bigint", "int")
+    slim = rows.select((held_id(id_col) if whole else F.col(id_col)).alias("_id"), *[F.col(f).cast("string").alias(f"_f{k}") for k, f in enumerate(fields)])
+    found = slim.mapInPandas(run, f"id {'long' if whole else kind}, field string, section int, start long, length long, n_tokens long, n_crossing long")
+    return found.withColumn("id", given_id("id").cast(kind)) if whole else found
 
 
 def document_token_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
