@@ -97,6 +97,10 @@ def test_ngram_join_odd_rows(odd, none):
     assert (got.component_id[got.doc_id.isin([300, 301, 302, 310])] == got.doc_id[got.doc_id.isin([300, 301, 302, 310])]).all()
     assert got[(got.n_shingles == 0)].shape[0] == 4
     assert ngram_join.near_duplicates(none, bits=16).count() == 0
+    words = [f"w{i}" for i in range(60)]
+    same_id = [(2**60 + 1, " ".join(words)), (2**60 + 1, "other text altogether with few words"), (2**60 + 3, " ".join([*words, "end"])), (None, " ".join(["lead", *words]))]
+    got = ngram_join.near_duplicates(odd.sparkSession.createDataFrame(same_id, "doc_id long, text string"), bits=16).toPandas()
+    assert sorted(got.component_id) == [2**60 + 1] * 4
 
 
 def test_signatures_never_miss_a_link():
@@ -114,6 +118,7 @@ def test_signatures_never_miss_a_link():
             assert len(np.intersect1d(a, b)), (len(base), len(other), both)
             d = int((np.unpackbits(ngram_join.parities(base).view(np.uint8)) != np.unpackbits(ngram_join.parities(other).view(np.uint8))).sum())
             assert d <= len(base) + len(other) - 2 * both
+            assert ngram_join.sketch_difference(ngram_join.sketch(base), ngram_join.sketch(other)) <= len(base) + len(other) - 2 * both
     assert U(1)
 
 
