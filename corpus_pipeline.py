@@ -14,7 +14,7 @@ from gleanstone.llm.queries import tokenizer_file
 from gleanstone.llm.storage import written
 
 #: A document whose language is less sure than this goes.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 BROADCAST_IDS = 1_000_000
 
 
