@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import bm25, cosine_similarity, idf
@@ -84,6 +84,17 @@ def build_text_index(chunks: DataFrame, stems: bool = True, content: str = "cont
     return TextIndex(postings, lengths, terms, corpus, stems)
 
 
+def save_text_index(index: TextIndex, folder: str) -> None:
+    """The tables as Parquet, postings in ranges of terms, so that a query reads the row groups of its terms."""
+    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+    for name in ("lengths", "terms", "corpus"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_text_index(spark: SparkSession, folder: str, stems: bool = True) -> TextIndex:
+    return TextIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths", "terms", "corpus")], stems)
+
+
 def changed_postings(index: TextIndex, chunks: DataFrame, changed: DataFrame) -> DataFrame:
     """The postings after the rows named in changed (chunk_id) were added, replaced or removed: only theirs are made anew."""
     kept = index.postings.join(changed.select("chunk_id").distinct(), "chunk_id", "left_anti")
@@ -113,7 +124,9 @@ def text_search(index: TextIndex, queries: Sequence[tuple[int, str]], limit: int
     rows = [(q, p, k, t) for q, text in queries for p, phrase in enumerate(phrases(text, index.stems)) for k, t in enumerate(phrase)]
     shape = "query_id long, phrase int, at int, term string"
     wanted = F.broadcast(spark.createDataFrame(rows, shape))
-    hit = index.postings.join(wanted, "term")
+    # The terms are literals, so the filter goes below the aggregation of postings, or to the scan of a saved index.
+    terms = sorted({r[3] for r in rows})
+    hit = index.postings.filter(F.col("term").isin(terms) if terms else F.lit(False)).join(wanted, "term")
     n_tokens = F.broadcast(wanted.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("n")))
     starts = hit.withColumn("start", F.explode(F.transform("positions", lambda p: p - F.col("at"))))
     found = starts.groupBy("query_id", "phrase", "chunk_id", "start").agg(F.countDistinct("at").alias("seen")).join(n_tokens, ["query_id", "phrase"]).filter("seen = n")

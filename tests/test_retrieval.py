@@ -92,7 +92,7 @@ def test_lookups(hub, spark):
         hub.get_doc()
 
 
-def test_phrases_and_bm25(spark):
+def test_phrases_and_bm25(spark, tmp_path):
     rows = spark.createDataFrame([("a", "foo bar baz"), ("b", "bar foo foo"), ("c", "Running runs"), ("d", "")], "chunk_id string, content string")
     index = search.build_text_index(rows)
     found = search.text_search(index, [(1, '"foo-bar"'), (2, "foo bar"), (3, "run"), (4, '"" %%')], 10).collect()
@@ -100,6 +100,9 @@ def test_phrases_and_bm25(spark):
     for r in sorted(found, key=lambda r: r["rank"]):
         got.setdefault(r["query_id"], []).append(r["chunk_id"])
     assert got == {1: ["a"], 2: ["b", "a"], 3: ["c"]} or got == {1: ["a"], 2: ["a", "b"], 3: ["c"]}
+    search.save_text_index(index, f"{tmp_path}/index")
+    again = search.text_search(search.load_text_index(spark, f"{tmp_path}/index"), [(2, "foo bar")], 10)
+    assert {r["chunk_id"] for r in again.collect()} == {"a", "b"}
     changed = rows.filter("chunk_id <> 'a'").unionByName(spark.createDataFrame([("e", "new words")], "chunk_id string, content string"))
     post = search.changed_postings(index, changed, spark.createDataFrame([("a",), ("e",)], "chunk_id string"))
     want = search.build_text_index(changed).postings
