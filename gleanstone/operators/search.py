@@ -121,24 +121,25 @@ def text_search(index: TextIndex, queries: Sequence[tuple[int, str]], limit: int
     allowed (chunk_id) restricts the result after scoring: statistics stay those of the whole table.
     """
     spark = index.postings.sparkSession
-    rows = [(q, p, k, t) for q, text in queries for p, phrase in enumerate(phrases(text, index.stems)) for k, t in enumerate(phrase)]
-    shape = "query_id long, phrase int, at int, term string"
-    wanted = F.broadcast(spark.createDataFrame(rows, shape))
+    asked = [(q, phrases(text, index.stems)) for q, text in queries]
+    rows = [(q, p, k, t, len(phrase), len(all_of)) for q, all_of in asked for p, phrase in enumerate(all_of) for k, t in enumerate(phrase)]
+    wanted = F.broadcast(spark.createDataFrame(rows, "query_id long, phrase int, at int, term string, n int, phrases int"))
     # The terms are literals, so the filter goes below the aggregation of postings, or to the scan of a saved index.
     terms = sorted({r[3] for r in rows})
     hit = index.postings.filter(F.col("term").isin(terms) if terms else F.lit(False)).join(wanted, "term")
-    n_tokens = F.broadcast(wanted.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("n")))
-    starts = hit.withColumn("start", F.explode(F.transform("positions", lambda p: p - F.col("at"))))
-    found = starts.groupBy("query_id", "phrase", "chunk_id", "start").agg(F.countDistinct("at").alias("seen")).join(n_tokens, ["query_id", "phrase"]).filter("seen = n")
-    tf = found.groupBy("query_id", "phrase", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    key = ["query_id", "phrase", "phrases", "chunk_id"]
+    tf = hit.filter("n = 1").select(*key, "tf")
+    if any(r[4] > 1 for r in rows):  # tokens side by side: each would start the phrase at the same place
+        starts = hit.filter("n > 1").withColumn("start", F.explode(F.transform("positions", lambda p: p - F.col("at"))))
+        found = starts.groupBy(*key, "n", "start").agg(F.countDistinct("at").alias("seen")).filter("seen = n")
+        tf = tf.unionByName(found.groupBy(*key).agg(F.count(F.lit(1)).alias("tf")))
     df = tf.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df, ["query_id", "phrase"]).join(index.lengths, "chunk_id").join(F.broadcast(index.corpus))
+    scored = tf.join(F.broadcast(df), ["query_id", "phrase"]).join(index.lengths, "chunk_id").join(F.broadcast(index.corpus))  # df: a row for each phrase
     part = bm25(F.col("tf"), F.col("dl"), F.col("mean"), idf(F.col("docs"), F.col("df")))
-    phrase_count = F.broadcast(wanted.groupBy("query_id").agg(F.countDistinct("phrase").alias("phrases")))
-    total = scored.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("m")).join(phrase_count, "query_id").filter("m = phrases")
+    total = scored.groupBy("query_id", "chunk_id", "phrases").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("m")).filter("m = phrases")
     if allowed is not None:
         total = total.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")  # sums of equal parts may differ in the last bits
     return total.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "chunk_id", "rank", "score")
 
 

@@ -264,7 +264,7 @@ _VALUES = ", ".join(f"({q}, {k}, '{w}')" for q, t in TEXT_QUERIES for k, w in en
     df AS (SELECT query_id, k, count(*) AS df FROM tf GROUP BY ALL), m AS (SELECT query_id, count(*) AS m FROM q GROUP BY ALL),
     s AS (SELECT query_id, chunk_id, count(*) AS hits, sum((CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - df + 0.5) / (df + 0.5)) END)
       * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM tf JOIN df USING (query_id, k) JOIN l USING (chunk_id), n GROUP BY ALL)
-    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM s JOIN m USING (query_id) WHERE hits = m QUALIFY rank <= 50""",
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s JOIN m USING (query_id) WHERE hits = m QUALIFY rank <= 50""",
 )
 def _(spark, d):
     index = search.build_text_index(chunks(spark, d), stems=False)
