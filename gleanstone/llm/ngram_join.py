@@ -13,7 +13,8 @@ shingles: sizes are cut into bands, and a text just above a band's start is also
 The order comes from a table of 2**bits counters over all texts (a shingle's counter may be shared; any order is right, a rare-first
 one is fast). Equal sets are collapsed before; a signature's texts are then compared with one text of it (a star, linear in the group),
 components are found, and only where a signature still joins different components are the pairs
-between these compared. Each comparison is exact, on 64-bit shingle hashes.
+between these looked at. Sizes, and a lower bound of the difference from 512 parity bits, rule out most pairs; those left are compared
+exactly, on 64-bit shingle hashes.
 
 Defined results: null and wordless texts have an empty set and link with nothing; texts of fewer than k words are one shingle;
 repeated rows are kept, each with its component; an empty table gives an empty result; only doc_id and text are read.
@@ -21,6 +22,7 @@ repeated rows are kept, each with its component; an empty table gives an empty r
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import small_batches, written
+from .storage import NO_ID, dropped, forget, given_id, held_id, small_batches, written
 
 U = np.uint64
 _rng = np.random.default_rng(99)
@@ -98,6 +100,34 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(a, dtype=U).astype(np.int64)), int((np.add.reduce(b, dtype=U) ^ np.bitwise_xor.reduce(a)).astype(np.int64))
 
 
+WORDS = 8
+BITS_OF = [f"b{i}" for i in range(WORDS)]
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """512 bits: of how many members fall on each, whether it is odd. Two sets differ in at least as many members as their bits do."""
+    place = (mixed(s ^ _A) % U(64 * WORDS)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(">i8").astype(np.int64)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parities in at least twice as many bits as members, a power of two: a 32nd of the set's size."""
+    bits = max(512, 1 << int(2 * len(s) - 1).bit_length())
+    odd = np.bincount((mixed(s ^ _B) % U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_difference(x: bytes, y: bytes) -> int:
+    """In how many members two sets differ at least. A longer sketch is folded to the size of the other: parities of halves add up."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    elif len(b) > len(a):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def signatures(s: np.ndarray, counts: np.ndarray, frequent: float, num: int, den: int) -> np.ndarray:
     """The signatures of a set: counts are its shingles' counters; a link needs intersection * den >= num * union."""
     n = len(s)
@@ -138,12 +168,13 @@ def _described(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """A row (doc_id, n, k1, k2) for each document; rows with a block hold counters of shingles, a task's distinct sets counted once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         counts, seen, waiting, held, salt = np.zeros(1 << bits, np.uint32), set(), [], 0, 0
 
         def settle() -> None:
             nonlocal held
             if waiting:
-                np.add(counts, np.bincount((np.concatenate(waiting) >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32), out=counts)
+                np.add.at(counts, (np.concatenate(waiting) >> U(64 - bits)).astype(np.int64), 1)
             waiting.clear()
             held = 0
 
@@ -151,83 +182,107 @@ def _described(docs: DataFrame, k: int, bits: int) -> DataFrame:
             rows = []
             for doc_id, s in zip(batch["doc_id"], shingle_sets(list(batch["text"]), k)):
                 k1, k2 = set_key(s) if len(s) else (0, 0)
-                rows.append((doc_id, len(s), k1, k2))
+                rows.append((doc_id, len(s), k1, k2, *parities(s).tolist(), sketch(s)))
                 if len(s) and k1 not in seen:
                     seen.add(k1)
                     waiting.append(s)
                     held += len(s)
-                    salt = k1 % 64
-            if held > 1 << bits:
+                    salt = k1 % 16
+            if held > 1 << 20:
                 settle()
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2"]).astype({"doc_id": "Int64"}).assign(block=pd.array([None] * len(rows), "Int32"), counts=None)
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", *BITS_OF, "sketch"]).assign(block=pd.array([None] * len(rows), "Int32"), counts=None)
         settle()
         if seen:
-            small = np.minimum(counts, 255).astype(np.uint8).reshape(-1, BLOCK)
-            for b, part in enumerate(small):
-                yield pd.DataFrame({"doc_id": pd.array([salt], "Int64"), "n": 0, "k1": 0, "k2": 0, "block": pd.array([b], "Int32"), "counts": [part.tobytes()]})
+            for b in range(len(counts) // BLOCK):
+                part = np.minimum(counts[b * BLOCK : (b + 1) * BLOCK], 255).astype(np.uint8)
+                yield pd.DataFrame({"doc_id": [salt], "n": 0, "k1": 0, "k2": 0, **dict.fromkeys(BITS_OF, 0), "sketch": None, "block": pd.array([b], "Int32"), "counts": [zlib.compress(part.tobytes(), 1)]})
 
-    return docs.mapInPandas(run, "doc_id long, n long, k1 long, k2 long, block int, counts binary")
+    bits_of = ", ".join(f"{b} long" for b in BITS_OF)
+    return docs.mapInPandas(run, f"doc_id long, n long, k1 long, k2 long, {bits_of}, sketch binary, block int, counts binary")
 
 
 def _counters(described: DataFrame, bits: int) -> np.ndarray:
+    """The counters of all tasks, up to 2**16 - 1; summed by block, in two steps."""
+
+    def packed(total: np.ndarray) -> bytes:
+        return zlib.compress(np.minimum(total, 2**16 - 1).astype(np.uint16).tobytes(), 1)
+
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK, np.uint32)
         for raw in pdf["counts"]:
-            total += np.frombuffer(raw, np.uint8)
-        return pd.DataFrame({"block": pdf["block"][:1], "counts": [total.tobytes()]})
+            total += np.frombuffer(zlib.decompress(raw), np.uint8)
+        return pd.DataFrame({"block": pdf["block"][:1], "counts": [packed(total)]})
 
     def rest(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK, np.uint64)
         for raw in pdf["counts"]:
-            total += np.frombuffer(raw, np.uint32)
-        return pd.DataFrame({"block": pdf["block"][:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+            total += np.frombuffer(zlib.decompress(raw), np.uint16)
+        return pd.DataFrame({"block": pdf["block"][:1], "counts": [packed(total)]})
 
     part = described.filter("block is not null").groupBy("block", "doc_id").applyInPandas(first, "block int, counts binary")
-    out = np.zeros(1 << bits, np.uint32)
+    out = np.zeros(1 << bits, np.uint16)
     for r in part.groupBy("block").applyInPandas(rest, "block int, counts binary").collect():  # 2**bits counters in all
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.uint32)
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["counts"]), np.uint16)
     return out
 
 
 def _signed(docs: DataFrame, k: int, counters: np.ndarray, bits: int, num: int, den: int) -> DataFrame:
-    """(sig, k1, n), each set once for each task."""
+    """(sig, k1), each set once for each task."""
     load = counters.sum(dtype=np.float64) / len(counters)
     frequent = load + 4 * load**0.5 + 24
     shared = docs.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         seen: set[int] = set()
         for batch in batches:
-            sigs, keys, sizes = [], [], []
+            sigs, keys = [], []
             for s in shingle_sets(list(batch["text"]), k):
                 if len(s) and (key := set_key(s)[0]) not in seen:
                     seen.add(key)
                     own = signatures(s, shared.value[(s >> U(64 - bits)).astype(np.int64)], frequent, num, den)
                     sigs.append(own)
                     keys.append(np.full(len(own), key, np.int64))
-                    sizes.append(np.full(len(own), len(s), np.int32))
             if sigs:
-                yield pd.DataFrame({"sig": np.concatenate(sigs).astype(np.int64), "k1": np.concatenate(keys), "n": np.concatenate(sizes)})
+                yield pd.DataFrame({"sig": np.concatenate(sigs).astype(np.int64), "k1": np.concatenate(keys)})
 
-    return docs.select("text").mapInPandas(run, "sig long, k1 long, n int")
+    return docs.select("text").mapInPandas(run, "sig long, k1 long")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b: k1) that link, as (a, b). Only the texts of candidates are read as sets again."""
-    pairs = written(pairs, "ngram-pairs")
+def _nodes(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(k1, doc_id) of the nodes in pairs, marked for broadcast if they are few: 16 MB at most; beyond that the join shuffles."""
     nodes = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
     wanted = written(nodes.join(reps, "k1").select("k1", F.col("rep").alias("doc_id")), "ngram-wanted")
-    if wanted.count() <= BROADCAST_IDS:  # 16 MB; beyond that the join shuffles
-        wanted = F.broadcast(wanted)
+    return F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b: k1) that link, as (a, b): sketches rule out what differs too much, then the texts of candidates are read as sets again."""
+    spark = docs.sparkSession
+    all_pairs = written(pairs, "ngram-pairs")
+    sketches = written(rows.select("doc_id", "k1", "n", "sketch").join(_nodes(all_pairs, reps), ["doc_id", "k1"]).select("k1", "n", "sketch"), "ngram-sketches")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
+        for batch in batches:
+            keep = [sketch_difference(x, y) * (den + num) <= (n + m) * (den - num) for x, y, n, m in zip(batch["xa"], batch["xb"], batch["na"], batch["nb"])]
+            yield batch.loc[keep, ["a", "b"]]
+
+    sides = [sketches.select(F.col("k1").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"x{s}")) for s in "ab"]
+    pairs = written(all_pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "xa", "xb", "na", "nb").mapInPandas(near, "a long, b long").distinct(), "ngram-pairs")
+    wanted = _nodes(pairs, reps)
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in batches:
-            sets = shingle_sets(list(batch["text"]), k)
-            yield pd.DataFrame({"k1": batch["k1"], "members": [s.tobytes() for s in sets]})
+            sets = [(key, s) for key, s in zip(batch["k1"], shingle_sets(list(batch["text"]), k)) if len(s) and set_key(s)[0] == key]  # ids may repeat
+            if sets:
+                yield pd.DataFrame({"k1": [key for key, _ in sets], "members": [s.tobytes() for _, s in sets]})
 
-    sets = written(docs.join(wanted, "doc_id").select("k1", "text").mapInPandas(to_sets, "k1 long, members binary").dropDuplicates(["k1"]), "ngram-sets")
+    sets = written(docs.join(wanted, "doc_id").select("k1", "text").mapInPandas(to_sets, "k1 long, members binary"), "ngram-sets")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in batches:
             keep = []
             for x, y in zip(batch["mine"], batch["members"]):
@@ -238,24 +293,38 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: i
             yield batch.loc[keep, ["a", "b"]]
 
     left = pairs.join(sets.select(F.col("k1").alias("b"), F.col("members").alias("mine")), "b")
-    return left.join(sets.withColumnRenamed("k1", "a"), "a").select("a", "b", "mine", "members").mapInPandas(compare, "a long, b long")
+    both = left.join(sets.withColumnRenamed("k1", "a"), "a").select("a", "b", "mine", "members")
+    links = written(both.mapInPandas(compare, "a long, b long"), "ngram-links")
+    for spent in (sets, pairs, sketches, all_pairs):
+        dropped(spark, spent)
+    return links
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bits: int = 21, stars: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bits: int = 23, stars: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id long, text string): links need intersection / union >= num / den."""
     if not 3 * den < 4 * num or num > den:
         raise ValueError("the threshold must be above 3/4 and at most 1")
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(held_id("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = written(_described(docs, k, bits), "ngram-described")
     rows = described.filter("block is null")
-    sets = rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
+    sets = rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), *[F.first(b).alias(b) for b in BITS_OF])
     reps = written(sets, "ngram-reps")
     sigs = written(_signed(docs, k, _counters(described, bits), bits, num, den), "ngram-signatures")
     spans = sigs.groupBy("sig").agg(F.min("k1").alias("_lo"), F.max("k1").alias("_hi")).filter("_lo <> _hi").select("sig")
-    shared = written(sigs.join(spans, "sig").distinct(), "ngram-shared")
-    fits = f"least(n, m) * {den} >= greatest(n, m) * {num}"
+    spans = written(spans, "ngram-spans")
+    if spans.count() <= BROADCAST_IDS:
+        spans = F.broadcast(spans)
+    held = written(sigs.join(spans, "sig").distinct(), "ngram-held")
+    dropped(spark, sigs)
+    # Signatures that the same texts hold say the same: one of them stays. 128 bits stand for a set of texts.
+    member = held.groupBy("sig").agg(F.bit_xor(F.xxhash64("k1")).alias("x"), F.bit_xor(F.xxhash64("k1", F.lit(7))).alias("y"), F.count(F.lit(1)).alias("m"))
+    shared = written(held.join(member.groupBy("x", "y", "m").agg(F.min("sig").alias("sig")).select("sig"), "sig"), "ngram-shared")
+    dropped(spark, held)
+    # A link needs den * I >= num * (na + nb - I), so the sets differ in na + nb - 2 * I <= (na + nb) * (den - num) / (den + num) members.
+    differ = " + ".join(f"bit_count({x}a ^ {x}b)" for x in BITS_OF)
+    fits = f"least(_na, _nb) * {den} >= greatest(_na, _nb) * {num} and ({differ}) * {den + num} <= (_na + _nb) * {den - num}"
     links, comp = None, None
     for star in range(stars + 1):
         if comp is None:
@@ -267,14 +336,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             here = written(here.join(open_, "sig"), "ngram-open")
             if here.isEmpty():
                 break
+            shared = here.select("sig", "k1")  # what is joined in one component stays so
+        sides = [reps.select(F.col("k1").alias(key), F.col("n").alias(f"_n{key}"), *[F.col(x).alias(f"{x}{key}") for x in BITS_OF]) for key in ("a", "b")]
         if star < stars:
             draw = F.col("k1") if not star else F.xxhash64("k1", "sig")
-            pivot = here.groupBy("sig").agg(F.min_by("k1", draw).alias("p"), F.min_by("n", draw).alias("m"), F.min_by("c", draw).alias("pc"))
-            pairs = here.join(pivot, "sig").filter("c <> pc").filter(fits).select(F.least("k1", "p").alias("a"), F.greatest("k1", "p").alias("b"))
+            pivot = here.groupBy("sig").agg(F.min_by("k1", draw).alias("p"), F.min_by("c", draw).alias("pc"))
+            pairs = here.join(pivot, "sig").filter("c <> pc").select(F.least("k1", "p").alias("a"), F.greatest("k1", "p").alias("b")).distinct()
+            pairs = pairs.join(sides[0], "a").join(sides[1], "b").filter(fits).select("a", "b")
         else:
-            other = here.select("sig", F.col("k1").alias("p"), F.col("n").alias("m"), F.col("c").alias("pc"))
-            pairs = here.join(other, "sig").filter("c < pc").filter(fits).select(F.least("k1", "p").alias("a"), F.greatest("k1", "p").alias("b"))
-        found = written(_verified(pairs.distinct(), reps, docs, k, num, den), "ngram-links")
+            one = here.select("sig", "c", F.col("k1").alias("a")).join(sides[0], "a")
+            one = written(one, "ngram-open")
+            other = one.select("sig", F.col("c").alias("pc"), F.col("a").alias("b"), F.col("_na").alias("_nb"), *[F.col(f"{x}a").alias(f"{x}b") for x in BITS_OF])
+            both = one.join(other, "sig").filter("c < pc").filter(fits)
+            pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = _verified(pairs, reps, rows.filter("n > 0"), docs, k, num, den)
         links = found if links is None else links.union(found)
         comp = components(links)
     if comp is None:
@@ -284,4 +359,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     whole = named.join(least, "component").select("k1", "k2", "n", "component_id")
     joined = rows.join(whole, ["k1", "k2", "n"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return joined.select(given_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(NO_ID)).alias("component_id"))
