@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import given_id, held_id, small_batches
+from .storage import given_id, held_id, kept_in_worker, small_batches
 
 _LETTERS = rb"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _DIGITS = rb"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -161,14 +161,9 @@ class ByteBpe:
         return b"".join(map(self.replay.token.__getitem__, ids))
 
 
-_MADE: dict[tuple[str, str], ByteBpe] = {}
-
-
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
-    """One for each worker process."""
-    if (path, pattern) not in _MADE:
-        _MADE[path, pattern] = ByteBpe(read_ranks(path), pattern)
-    return _MADE[path, pattern]
+    """One for a worker process."""
+    return kept_in_worker(("byte-bpe", path, pattern), lambda: ByteBpe(read_ranks(path), pattern))
 
 
 def encode_table(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import small_batches, with_columns
+from .storage import forget, small_batches, with_columns
 
 UND = "und"
 SIZES = (1, 2, 3, 4)
@@ -157,6 +157,7 @@ def document_frequencies(texts: DataFrame, bits: int, block: int = 4096) -> tupl
     small_batches(texts.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         df, docs, salt = np.zeros(1 << bits, np.int64), 0, 0
         seen = np.zeros(1 << bits, bool)
         for batch in batches:
@@ -217,7 +218,7 @@ def fit(train: DataFrame, bits: int = 16, per_language: int = 320, l1: float = 0
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """docs' columns keep (all, if none are named) with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits * labels numbers
-    return with_columns(docs, lambda: shared.value.predict, "lang_pred string, score double", keep)
+    return with_columns(docs, lambda: forget() or shared.value.predict, "lang_pred string, score double", keep)
 
 
 def held_out() -> Column:

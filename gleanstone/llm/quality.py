@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches, with_columns, written
+from .storage import kept_in_worker, small_batches, with_columns, written
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -71,7 +71,7 @@ def _summed(rows: DataFrame, bits: int, block: int = 4096) -> tuple[np.ndarray,
     """Counters over all rows (text, good), and over the rows that are good."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, total, salt = Hasher(bits), np.zeros((2, 1 << bits), np.int64), 0
+        hasher, total, salt = kept_in_worker(("quality", bits), lambda: Hasher(bits)), np.zeros((2, 1 << bits), np.int64), 0
         for batch in batches:
             waiting: tuple[list, list] = ([], [])
             for text, good in zip(batch["text"], batch["good"]):
@@ -148,7 +148,7 @@ def weigh(docs: DataFrame, model: Ratio, keep: list[str] | None = None) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits numbers
 
     def start() -> Callable:
-        hasher = Hasher(shared.value.bits)
+        hasher = kept_in_worker(("quality", shared.value.bits), lambda: Hasher(shared.value.bits))
         return lambda texts: ([shared.value.weight(hasher(t)) for t in texts],)
 
     return with_columns(docs, start, "weight double", keep)

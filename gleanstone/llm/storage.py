@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,6 +57,27 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
+_KEPT: dict = {}
+
+
+def forget() -> None:
+    """Free what kept_in_worker() holds in this Python worker, and give back what its allocators hold unused."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def kept_in_worker(key: tuple, make: Callable):
+    """make(), once for a Python worker and key. A worker serves many operators: only the last key's object stays."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def held_id(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 

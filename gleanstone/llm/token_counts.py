@@ -24,25 +24,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import given_id, held_id, small_batches
+from .storage import given_id, held_id, kept_in_worker, small_batches
 
 RULES = ("start", "most")
 SEPARATOR = "\n"
 
-_MADE: dict[tuple[str, str], tuple] = {}
-
-
 def encoder(path: str, pattern: str) -> tuple:
-    """A tiktoken encoding and the byte length of each token; one for each worker process."""
-    if (path, pattern) not in _MADE:
+    """A tiktoken encoding and the byte length of each token; one for a worker process."""
+
+    def made() -> tuple:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         size = np.zeros(max(ranks.values()) + 1, np.int64)
         size[list(ranks.values())] = [len(t) for t in ranks]
-        _MADE[path, pattern] = (tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size)
-    return _MADE[path, pattern]
+        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size
+
+    return kept_in_worker(("token-spans", path, pattern), made)
 
 
 def token_spans(text: str, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:

@@ -13,6 +13,8 @@ from itertools import chain
 
 import numpy as np
 
+from .storage import kept_in_worker
+
 #: White space as the file's `\s` has it; Python's own also has four control characters, which are no white space there.
 UNIT = re.compile("[^\t-\r \x85\xa0  -     　]+")
 ODD = re.compile("[\x1c-\x1f]")
@@ -31,7 +33,7 @@ class WordBpe:
     another text is cut at white space, and each distinct unit encoded once.
     """
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -97,11 +99,6 @@ class WordBpe:
         return [b"".join(map(get, u)) for u in units]
 
 
-_MADE: dict[str, WordBpe] = {}
-
-
 def word_bpe(path: str) -> WordBpe:
-    """One for each worker process."""
-    if path not in _MADE:
-        _MADE[path] = WordBpe(path)
-    return _MADE[path]
+    """One for a worker process."""
+    return kept_in_worker(("word-bpe", path), lambda: WordBpe(path))
