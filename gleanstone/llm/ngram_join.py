@@ -54,16 +54,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
-    """Of each text, its sorted distinct 64-bit shingle hashes."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+def shingle_sets(texts: list[str | None], k: int, most: int = 1 << 20) -> list[np.ndarray]:
+    """Of each text, its sorted distinct 64-bit shingle hashes; texts of about `most` bytes are worked on at a time, so memory is bounded by that or by a text."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+    for t in texts:
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        if held and size + len(raw) > most:
+            out += _sets(held, k)
+            held, size = [], 0
+        held.append(raw)
+        size += len(raw)
+    return out + _sets(held, k) if held else out
+
+
+def _sets(raw: list[bytes], k: int) -> list[np.ndarray]:
     buf = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
     stops = np.cumsum([len(r) + 1 for r in raw])
     word = ~_SPACE[buf]
     edge = np.flatnonzero(np.diff(word.astype(np.int8), prepend=0))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return [np.zeros(0, U) for _ in texts]
+        return [np.zeros(0, U) for _ in raw]
     sizes = ends - starts
     first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     power = np.cumprod(np.full(int(sizes.max()), _STEP, U))

@@ -33,7 +33,7 @@ class WordBpe:
     another text is cut at white space, and each distinct unit encoded once.
     """
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 550_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
