@@ -36,7 +36,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the smallest id; rows with equal ids are one document."""
-    found = written(ngram_join.near_duplicates(docs.select("doc_id", "text"), k=5, num=80, den=100), "pipeline-near")
+    found = written(ngram_join.near_duplicates(docs.select("doc_id", "text"), k=5, num=80, den=100, links=False), "pipeline-near")
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     repeated = not found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty()
     if gone.count() <= BROADCAST_IDS:  # 8 MB; beyond that the join shuffles

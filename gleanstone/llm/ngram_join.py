@@ -16,6 +16,9 @@ components are found, and only where a signature still joins different component
 between these looked at. Sizes, and a lower bound of the difference from 512 parity bits, rule out most pairs; those left are compared
 exactly, on 64-bit shingle hashes.
 
+The star gives components, not all their links. A link never leaves its component, so all links are found by comparing each two different sets of a component
+exactly: shared shingles are counted by matrix products. Small components are dealt to groups together; a large one is cut into blocks, with a group for each two of them.
+
 Defined results: null and wordless texts have an empty set and link with nothing; texts of fewer than k words are one shingle;
 repeated rows are kept, each with its component; an empty table gives an empty result; only doc_id and text are read.
 """
@@ -313,8 +316,110 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, docs: DataFram
     return links
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bits: int = 23, stars: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id long, text string): links need intersection / union >= num / den."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many members each set of left has in common with each of right, exactly; `width` members at a time."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    x, y = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(x, y)
+
+    def placed(sets: list[np.ndarray], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
+        there = common[at] == values if len(common) else np.zeros(len(values), bool)
+        order = np.argsort(at[there], kind="stable")
+        return owner[there][order], at[there][order]
+
+    (ox, ax), (oy, ay) = placed(left, x), placed(right, y)
+    for lo in range(0, len(common), width):
+        part = []
+        for owner, at, n in ((ox, ax, len(left)), (oy, ay, len(right))):
+            here = slice(*np.searchsorted(at, (lo, lo + width)))
+            one = np.zeros((n, min(width, len(common) - lo)), np.float32)
+            one[owner[here], at[here] - lo] = 1
+            part.append(one)
+        out += (part[0] @ part[1].T).astype(np.int64)  # sums of up to `width` ones are exact
+    return out
+
+
+def _links(docs: DataFrame, whole: DataFrame, k: int, num: int, den: int, block: int = 512, shingles: int = 1 << 22, together: int = 1 << 18) -> DataFrame:
+    """Every link, once: component_id, a, b (ids of representatives), n_shared, ka, kb (keys of their sets).
+
+    A group has at most about `block` texts or `shingles` shingles of each of two blocks, or small components of about `together` shingles.
+    """
+    of = whole.groupBy("component").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_w")).filter("_m > 1")
+    of = written(of.withColumn("_g", F.greatest(F.ceil(F.col("_m") / block), F.ceil(F.col("_w") / shingles)).cast("long")), "ngram-sizes")
+    buckets = int((of.filter("_g = 1").agg(F.sum("_w")).first()[0] or 0) // together) + 1
+    nodes = whole.join(of, "component").select(F.col("rep").alias("doc_id"), "k1", "component", "component_id", "_g")
+    nodes = written(nodes, "ngram-nodes")
+    if nodes.count() <= BROADCAST_IDS // 4:  # a quarter of the rows, as they are wider; beyond that the join shuffles
+        nodes = F.broadcast(nodes)
+    alone = F.col("_g") == 1
+    own = docs.join(nodes, "doc_id").withColumn("_c", F.pmod(F.xxhash64("k1"), F.col("_g")))
+    own = own.withColumn("_u", F.when(alone, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component")))
+    own = own.withColumn("_x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
+    own = own.select("_u", alone.alias("_s"), F.least("_c", "_x").alias("_i"), F.greatest("_c", "_x").alias("_j"), "_c", "doc_id", "k1", "component", "component_id", "text")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()
+        found = []
+        i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
+        sets = shingle_sets(list(pdf["text"]), k)
+        right = [len(s) > 0 and set_key(s)[0] == key for s, key in zip(sets, pdf["k1"])]  # ids may repeat
+        pdf = pdf.drop(columns="text").assign(_at=np.arange(len(pdf))).loc[right].drop_duplicates("k1")
+        for _, part in pdf.groupby("component", sort=False):
+            sides = [part.loc[part["_c"] == i], part.loc[part["_c"] == j]]
+            if not len(sides[0]) or not len(sides[1]):
+                continue
+            left, other = ([sets[x] for x in side["_at"]] for side in sides)
+            both = overlaps(left, other)
+            union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in other])[None, :] - both
+            hit = den * both >= num * union
+            a, b = np.nonzero(np.triu(hit, 1) if i == j else hit)
+            ids, keys = [s["doc_id"].to_numpy(np.int64) for s in sides], [s["k1"].to_numpy(np.int64) for s in sides]
+            ka, kb, ia, ib = keys[0][a], keys[1][b], ids[0][a], ids[1][b]
+            turn = (ia > ib) | ((ia == ib) & (ka > kb))
+            found.append(
+                pd.DataFrame(
+                    {
+                        "component_id": part["component_id"].iloc[0],
+                        "a": np.where(turn, ib, ia),
+                        "b": np.where(turn, ia, ib),
+                        "n_shared": both[a, b],
+                        "ka": np.where(turn, kb, ka),
+                        "kb": np.where(turn, ka, kb),
+                    }
+                )
+            )
+        return pd.concat(found) if found else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("component_id", "a", "b", "n_shared", "ka", "kb")})
+
+    shape = "component_id long, a long, b long, n_shared long, ka long, kb long"
+    return written(own.groupBy("_u", "_s", "_i", "_j").applyInPandas(compare, shape), "ngram-all-links")
+
+
+def near_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bits: int = 23) -> DataFrame:
+    """component_id, a, b, n_shared: every two different shingle sets that link, named by their smallest doc_ids, a <= b."""
+    docs, _, whole = _grouped(docs, k, num, den, bits, 2)
+    return _links(docs, whole, k, num, den).select(*[given_id(c).alias(c) for c in ("component_id", "a", "b")], "n_shared")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bits: int = 23, stars: int = 2, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row of docs (doc_id long, text string): links need intersection / union >= num / den.
+
+    n_links: with how many different sets the row's set links. Without links that column is left out, and only as many pairs are compared as span the components.
+    """
+    docs, rows, whole = _grouped(docs, k, num, den, bits, stars)
+    if links:
+        every = _links(docs, whole, k, num, den)
+        ends = every.select(F.col("ka").alias("k1")).union(every.select("kb")).groupBy("k1").agg(F.count(F.lit(1)).alias("n_links"))
+        whole = whole.join(ends, "k1", "left")
+    also = ["n_links"] if links else []
+    joined = rows.join(whole.select("k1", "k2", "n", "component_id", *also), ["k1", "k2", "n"], "left")
+    out = joined.select(given_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(NO_ID)).alias("component_id"), *also)
+    return out.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))) if links else out
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int, bits: int, stars: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs as they are read, a described row for each, and (k1, k2, n, rep, component, component_id) of each different set."""
     if not 3 * den < 4 * num or num > den:
         raise ValueError("the threshold must be above 3/4 and at most 1")
     spark = docs.sparkSession
@@ -370,6 +475,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     named = reps.join(comp.withColumnRenamed("node", "k1"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
     named = written(named, "ngram-named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    whole = named.join(least, "component").select("k1", "k2", "n", "component_id")
-    joined = rows.join(whole, ["k1", "k2", "n"], "left")
-    return joined.select(given_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(NO_ID)).alias("component_id"))
+    return docs, rows, named.join(least, "component").select("k1", "k2", "n", "rep", "component", "component_id")

@@ -27,7 +27,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    found = near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")  # the columns of its SQL; op2_ngram_jaccard_links has the links
+
+
+def op2_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_links
+
+    return near_links(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op2_ngram_jaccard_links": op2_ngram_jaccard_links,
         "op3_quality_resampling": op3_quality_resampling,
         "op4_token_counts": op4_token_counts,
         "op5_imatch": op5_imatch,

@@ -91,6 +91,30 @@ def test_ngram_join_equals_brute_force(spark, odd, k, num):
     assert len({c for _, c in want.values()}) < len(want) - 20
 
 
+def test_ngram_join_finds_every_link(spark, none):
+    rnd = random.Random(3)
+    data = []
+    for g in range(4):
+        w = prose(rnd, "de", 150).split()
+        for j in range(14):
+            w[rnd.randrange(len(w))] = f"e{rnd.randrange(10**6)}"
+            data += [(100 * g + j, " ".join(w))] + ([(1000 + 100 * g + j, " ".join(w))] if j % 5 == 0 else [])
+    sets = {i: {tuple(t.split()[x : x + 4]) for x in range(len(t.split()) - 3)} for i, t in data}
+    firsts = [i for i in sets if i < 1000]
+    want = {(a, b, len(sets[a] & sets[b])) for a in firsts for b in firsts if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = ngram_join.near_links(df, 4, 80, 100, bits=16).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"], r["n_shared"]) for r in got} == want
+    assert len(want) > 2 * len(firsts)
+    docs, _, whole = ngram_join._grouped(df, 4, 80, 100, 16, 2)
+    for parts in ({"block": 5}, {"shingles": 400}, {"together": 200}):
+        found = ngram_join._links(docs, whole, 4, 80, 100, **parts).collect()
+        assert len(found) == len(want) and {(r["a"], r["b"], r["n_shared"]) for r in found} == want
+    n_links = Counter(x for a, b, _ in want for x in (a, b))
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.near_duplicates(df, 4, 80, 100, bits=16).collect()} == {i: n_links[i % 1000] for i in sets}
+    assert ngram_join.near_links(none, bits=16).count() == 0
+
+
 def test_ngram_join_odd_rows(odd, none):
     got = ngram_join.near_duplicates(odd, bits=16).toPandas()
     assert len(got) == odd.count()
