@@ -9,8 +9,9 @@ a hash of the text's sorted distinct terms in it, 0 if it has none. Two fingerpr
 A text's terms never leave its row. The next text by doc_id comes from a window over ranges of ids (bounded buckets, each with the first row of
 the following one), so texts are shuffled once and no task holds more than its range.
 
-Defined results: a null text is an empty one; texts without a term of the lexicon have the fingerprint of all 0, and two such are alike with 1 if both
-are empty of terms; equal texts have equal fingerprints; rows with equal doc_id are ordered by text; null ids come first; one row alone is its own next; an empty table gives an empty result.
+A text with fewer than FEW terms of the lexicon (a small language, an odd source) is told by all its terms instead; terms that fall into no subset are hashed together.
+
+Defined results: a null text is an empty one; only texts without any term have the fingerprint of all 0, and two such are alike with 1; equal texts have equal fingerprints; rows with equal doc_id are ordered by text; null ids come first; one row alone is its own next; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .storage import parts, written
 #: Of each group of subsets: one term in so many.
 RATES = (4, 16, 64, 256)
 EACH = 8  # by bytes of a hash: 8 at most
+#: A text with fewer lexicon terms is told by all its terms.
+FEW = 4
 
 
 def terms_of(text: Column) -> Column:
@@ -42,13 +45,12 @@ def lexicon(docs: DataFrame, low: float, high: float, text_col: str = "text") ->
     return sorted(r["h"] for r in df.filter((F.col("count") >= least) & (F.col("count") <= most)).select("h").collect())  # at most m / low
 
 
-def lexicon_terms(text: str, words: list[int]) -> Column:
-    """Sorted hashes of the distinct terms, in the lexicon, of the column named text."""
-    if not words:
-        return F.array().cast("array<bigint>")
+def with_kept(rows: DataFrame, text: str, words: list[int]) -> DataFrame:
+    """rows, and as kept the sorted hashes of the text's distinct terms in the lexicon; of all its terms if fewer than FEW are."""
+    hashed = rows.withColumn("_all", F.array_sort(F.transform(terms_of(F.col(text)), lambda t: F.xxhash64(t))))
     listed = ",".join(f"{w}L" for w in words if w != -(2**63))
-    terms = rf"array_remove(array_distinct(split(lower({text}), '[^\\p{{L}}\\p{{N}}]+')), '')"
-    return F.expr(f"array_sort(filter(transform({terms}, t -> xxhash64(t)), h -> h IN ({listed})))")
+    hashed = hashed.withColumn("_in", F.expr(f"filter(_all, h -> h IN ({listed}))" if listed else "filter(_all, h -> false)"))
+    return hashed.withColumn("kept", F.when(F.size("_in") < FEW, F.col("_all")).otherwise(F.col("_in"))).drop("_all", "_in")
 
 
 def _part(kept: Column, rate: int, k: int) -> Column:
@@ -56,8 +58,15 @@ def _part(kept: Column, rate: int, k: int) -> Column:
     return F.when(F.size(chosen) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(chosen, F.lit(rate * 100 + k)))
 
 
+def _in_a_subset(h: Column) -> Column:
+    return reduce(lambda x, y: x | y, [F.pmod(F.shiftright(h, 8 * k), F.lit(rate)) == 0 for rate in RATES for k in range(EACH)])
+
+
 def parts_of(kept: Column) -> Column:
-    return F.array(*[_part(kept, rate, k) for rate in RATES for k in range(EACH)])
+    """A part for each subset; if no subset has a term of kept, each part is a hash of all of kept, so only texts without terms have parts of 0 alone."""
+    chosen = F.array(*[_part(kept, rate, k) for rate in RATES for k in range(EACH)])
+    whole = F.array(*[F.xxhash64(kept, F.lit(rate * 100 + k)) for rate in RATES for k in range(EACH)])
+    return F.when((F.size(kept) > 0) & ~F.exists(kept, _in_a_subset), whole).otherwise(chosen)
 
 
 def shown(values: Column) -> Column:
@@ -65,7 +74,7 @@ def shown(values: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of the rate that suits the two texts best, the share of equal parts among those not 0 in both; 1 if all parts are 0."""
+    """Of the rate that suits the two texts best, the share of equal parts among those not 0 in both; 1 if all parts are 0: both texts have no terms."""
     shares = []
     for group in range(len(RATES)):
         own = range(group * EACH, (group + 1) * EACH)
@@ -110,14 +119,14 @@ def fingerprint_documents(docs: DataFrame, low: float = 0.004, high: float = 0.1
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = lexicon(slim, low, high)
-    own = slim.withColumn("kept", lexicon_terms("text", words)).withColumn("own", parts_of(F.col("kept"))).drop("kept")
+    own = with_kept(slim, "text", words).withColumn("own", parts_of(F.col("kept"))).drop("kept")
     rows = with_next(own, "own")
     half = F.expr("length(text) div 2").cast("int")
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "own", "next_own", edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", "own", "next_own", F.sha2("edited", 256).alias("edited_sha256"), lexicon_terms("edited", words).alias("kept"))
-    rows = rows.withColumn("edited", parts_of(F.col("kept"))).drop("kept")
+    rows = rows.select("doc_id", "n_chars", "own", "next_own", F.sha2("edited", 256).alias("edited_sha256"), "edited")
+    rows = with_kept(rows, "edited", words).withColumn("edited", parts_of(F.col("kept"))).drop("kept")
     made = written(rows, "fingerprint-parts")
     return made.select(
         "doc_id",

@@ -236,6 +236,16 @@ def test_fingerprints(spark, odd, none):
     assert one["edited_sha256"] == sha(b"abab") and one["near_next"] == 1.0
 
 
+def test_fingerprints_of_texts_outside_the_lexicon(spark):
+    data = [(i, " ".join(f"common{(i + x) % 40}" for x in range(12))) for i in range(400)]
+    data += [(1000 + i, " ".join(f"rare{i}x{x}" for x in range(1 + 5 * i))) for i in range(8)] + [(1100, "rare3x0 " * 2 + " ".join(f"rare3x{x}" for x in range(16)))]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprint_documents(spark.createDataFrame(data, "doc_id long, text string"), low=0.02, high=0.9).collect()}
+    rare = [got[1000 + i]["fingerprint"] for i in range(8)]
+    assert len(set(rare)) == 8 and not any(set(f) == {"0"} for f in rare)
+    assert got[1100]["fingerprint"] == rare[3]
+    assert all(got[1000 + i]["near_next"] < 1 for i in range(7))
+
+
 def test_next_rows_over_many_buckets(spark):
     ids = random.Random(1).sample(range(10**6), 2500)
     df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").withColumn("own", F.lit(1))
