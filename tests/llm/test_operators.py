@@ -407,6 +407,18 @@ def test_html(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
+def test_html_counts_runs_over_the_whole_host(spark):
+    notice = "this section is closed until further notice please come back"
+    data = [(i, f"http://big.org/{i}", f"<body><p>q{i} r{i} s{i} t{i}</p>" + (f"<div>{notice}</div>" if i % 20 == 0 else "") + "</body>") for i in range(80)]
+    data += [(0, "http://big.org/again", data[0][2]), (1, "http://small.org/1", f"<p>{notice}</p>"), (2, "http://small.org/2", f"<p>{notice}</p>")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    for each in (8, 512):
+        got = {r["url"]: r["text"] for r in html_text.main_texts(df, pages_each=each).collect()}
+        assert len(got) == len(data)
+        assert all(got[f"http://big.org/{i}"] == f"q{i} r{i} s{i} t{i}" for i in range(80))
+        assert got["http://small.org/1"] == notice
+
+
 def test_suffix_array_and_coverage():
     rnd = np.random.default_rng(2)
     for _ in range(40):
