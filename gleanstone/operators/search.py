@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,15 +39,24 @@ def matches(filters: dict) -> Column:
     return out
 
 
-def vector_search(chunks: DataFrame, queries: DataFrame, limit: int, filters: dict | None = None) -> DataFrame:
+def vector_search(chunks: DataFrame, queries: DataFrame, limit: int, filters: dict | None = None, block: int = 10_000) -> DataFrame:
     """query_id, chunk_id, rank, score: for each of queries (query_id, vector), the `limit` nearest rows of chunks (chunk_id, embedding) by cosine.
 
-    Filters come before the ranking, so a filtered search is exact. Queries are few: they are broadcast if they are at most 10,000.
+    Filters come before the ranking, so a filtered search is exact. Queries are broadcast; more than `block` of them are dealt by their ids to blocks of about
+    half that many, each ranked over all rows.
     """
     rows = chunks.filter(matches(filters or {})).filter("embedding is not null").select("chunk_id", "embedding")
-    if queries.count() > 10_000:
-        raise ValueError("more than 10,000 queries at once; run them in batches")
-    scored = rows.join(F.broadcast(queries.select("query_id", "vector"))).select("query_id", "chunk_id", cosine_similarity(F.col("embedding"), F.col("vector")).alias("score"))
+    asked = queries.select("query_id", "vector")
+    n = asked.count()
+    if n <= block:
+        return _nearest(rows, asked, limit)
+    blocks = -(-2 * n // block)
+    dealt = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [_nearest(rows, asked.filter(dealt == b), limit) for b in range(blocks)])
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    scored = rows.join(F.broadcast(asked)).select("query_id", "chunk_id", cosine_similarity(F.col("embedding"), F.col("vector")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "chunk_id", "rank", "score")
 

@@ -210,3 +210,12 @@ def test_stream(spark, tmp_path):
     q = incremental.ingest_rates(incremental.chunk_stream(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) from rates").first()[0] == 39
+
+
+def test_vector_search_of_many_queries(spark):
+    chunks = spark.createDataFrame([(f"v{i}", [1.0, float(i)]) for i in range(3)], "chunk_id string, embedding array<float>")
+    queries = spark.range(10_001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), (F.col("id") % 3).cast("double")).cast("array<float>").alias("vector"))
+    got = search.vector_search(chunks, queries, 2)
+    assert got.filter("rank = 1").filter("chunk_id = concat('v', query_id % 3)").count() == 10_001 and got.count() == 20_002
+    few = queries.filter("query_id < 20")
+    assert sorted(search.vector_search(chunks, few, 2, block=5).collect()) == sorted(search.vector_search(chunks, few, 2).collect())
