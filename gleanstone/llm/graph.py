@@ -14,6 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     A round hooks each node to its smallest neighbour if that is smaller, follows the hooks to their roots
     by doubling, and puts roots for nodes in the edges that are left; every component with more than one root
     loses roots, so a logarithmic number of rounds ends it. Nothing is collected.
+
+    Defined results: edges with a null end and loops say nothing; repeated edges count once; nodes without edges are not listed; no edges give an empty table.
     """
     spark = edges.sparkSession
     left = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "graph-edges")

@@ -11,26 +11,27 @@ a contradiction. So every link has a common signature. Cells grow with the size
 shingles: sizes are cut into bands, and a text just above a band's start is also indexed in the band below it.
 
 The order comes from a table of 2**bits counters over all texts (a shingle's counter may be shared; any order is right, a rare-first
-one is fast). Equal sets are collapsed before; a signature's texts are then compared with one text of it (a star, linear in the group),
-components are found, and only where a signature still joins different components are the pairs
-between these looked at. Sizes, and a lower bound of the difference from 512 parity bits, rule out most pairs; those left are compared
-exactly, on 64-bit shingle hashes.
+one is fast); bits grow with the bytes of text, up to MOST_BITS. Equal sets are collapsed before. Candidates are verified exactly, on 64-bit shingle hashes, in one of two ways:
 
-The star gives components, not all their links. A link never leaves its component, so all links are found by comparing each two different sets of a component
-exactly: shared shingles are counted by matrix products. Small components are dealt to groups together; a large one is cut into blocks, with a group for each two of them.
+* A signature of at most SMALL texts gives their pairs, so candidates grow with the number of texts. Sketches (parities of hashed members) rule out most of them, the sets of the others are compared.
+* Signatures of more texts join these to clusters (families of near copies). Within a cluster sets are compared block by block, as matrix products inside a task, and
+  only blocks whose sizes allow a link meet. A task gives back, for each text, its number of links and one text that it is connected with: linear in the block, however many links there are.
+
+Small clusters are dealt to tasks together; a large one is cut into blocks, with a task for each two of them.
 
 Defined results: null and wordless texts have an empty set and link with nothing; texts of fewer than k words are one shingle;
-repeated rows are kept, each with its component; an empty table gives an empty result; only doc_id and text are read.
+repeated rows are kept, each with its component; null ids stay null (a component that has no other id is null); an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -49,6 +50,9 @@ _STEP, _A, _B = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111
 BANDS = ((48, 16), (512, 128), (4096, 1024), (32768, 8192))
 BLOCK = 1 << 15
 BROADCAST_IDS = 1_000_000
+#: Signatures of more texts than this make clusters.
+SMALL = 8
+LEAST_BITS, MOST_BITS = 16, 26
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,14 +69,14 @@ def shingle_sets(texts: list[str | None], k: int, most: int = 1 << 20) -> list[n
     for t in texts:
         raw = (t or "").encode("utf-8", "surrogatepass")
         if held and size + len(raw) > most:
-            out += _sets(held, k)
+            out += _sets_of(held, k)
             held, size = [], 0
         held.append(raw)
         size += len(raw)
-    return out + _sets(held, k) if held else out
+    return out + _sets_of(held, k) if held else out
 
 
-def _sets(raw: list[bytes], k: int) -> list[np.ndarray]:
+def _sets_of(raw: list[bytes], k: int) -> list[np.ndarray]:
     buf = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
     stops = np.cumsum([len(r) + 1 for r in raw])
     word = ~_SPACE[buf]
@@ -116,17 +120,6 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(a, dtype=U).astype(np.int64)), int((np.add.reduce(b, dtype=U) ^ np.bitwise_xor.reduce(a)).astype(np.int64))
 
 
-WORDS = 8
-BITS_OF = [f"b{i}" for i in range(WORDS)]
-
-
-def parities(s: np.ndarray) -> np.ndarray:
-    """512 bits: of how many members fall on each, whether it is odd. Two sets differ in at least as many members as their bits do."""
-    place = (mixed(s ^ _A) % U(64 * WORDS)).astype(np.int64)
-    odd = (np.bincount(place, minlength=64 * WORDS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(">i8").astype(np.int64)
-
-
 def sketch(s: np.ndarray) -> bytes:
     """Parities in at least twice as many bits as members, a power of two: a 32nd of the set's size."""
     bits = max(512, 1 << int(2 * len(s) - 1).bit_length())
@@ -180,72 +173,80 @@ def signatures(s: np.ndarray, counts: np.ndarray, frequent: float, num: int, den
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U)
 
 
+def counter_bits(docs: DataFrame) -> int:
+    """About a counter for every 32 bytes of text, so that the mean load stays the same until MOST_BITS (64 MB) is reached."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max(math.ceil(math.log2(max(size, 1) / 32 + 1)), LEAST_BITS), MOST_BITS)
+
+
 def _described(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """A row (doc_id, n, k1, k2) for each document; rows with a block hold counters of shingles, a task's distinct sets counted once."""
+    """A row (doc_id, h: hash of the text, n, k1, k2, sketch) for each document; rows with a block hold counters of shingles, a task's distinct sets counted once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget()
-        counts, seen, waiting, held, salt = np.zeros(1 << bits, np.uint32), set(), [], 0, 0
+        counts, seen, waiting, held, salt = np.zeros(1 << bits, np.uint8), set(), [], 0, 0
 
         def settle() -> None:
             nonlocal held
             if waiting:
-                np.add.at(counts, (np.concatenate(waiting) >> U(64 - bits)).astype(np.int64), 1)
+                at, times = np.unique((np.concatenate(waiting) >> U(64 - bits)).astype(np.uint32), return_counts=True)
+                counts[at] = np.minimum(counts[at] + times, 255)
             waiting.clear()
             held = 0
 
         for batch in batches:
             rows = []
-            for doc_id, s in zip(batch["doc_id"], shingle_sets(list(batch["text"]), k)):
+            for doc_id, h, s in zip(batch["doc_id"], batch["h"], shingle_sets(list(batch["text"]), k)):
                 k1, k2 = set_key(s) if len(s) else (0, 0)
-                rows.append((doc_id, len(s), k1, k2, *parities(s).tolist(), sketch(s)))
+                rows.append((doc_id, h, len(s), k1, k2, sketch(s)))
                 if len(s) and k1 not in seen:
                     seen.add(k1)
                     waiting.append(s)
                     held += len(s)
                     salt = k1 % 16
-            if held > 1 << 20:
-                settle()
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", *BITS_OF, "sketch"]).assign(block=pd.array([None] * len(rows), "Int32"), counts=None)
+                    if held > 1 << 20:
+                        settle()
+            yield pd.DataFrame(rows, columns=["doc_id", "h", "n", "k1", "k2", "sketch"]).assign(block=pd.array([None] * len(rows), "Int32"), counts=None)
         settle()
-        if seen:
-            for b in range(len(counts) // BLOCK):
-                part = np.minimum(counts[b * BLOCK : (b + 1) * BLOCK], 255).astype(np.uint8)
-                yield pd.DataFrame({"doc_id": [salt], "n": 0, "k1": 0, "k2": 0, **dict.fromkeys(BITS_OF, 0), "sketch": None, "block": pd.array([b], "Int32"), "counts": [zlib.compress(part.tobytes(), 1)]})
+        for b in range(-(-len(counts) // BLOCK) if seen else 0):
+            part = counts[b * BLOCK : (b + 1) * BLOCK]
+            if part.any():
+                yield pd.DataFrame({"doc_id": [salt], "h": 0, "n": 0, "k1": 0, "k2": 0, "sketch": None, "block": pd.array([b], "Int32"), "counts": [zlib.compress(part.tobytes(), 1)]})
 
-    bits_of = ", ".join(f"{b} long" for b in BITS_OF)
-    return docs.mapInPandas(run, f"doc_id long, n long, k1 long, k2 long, {bits_of}, sketch binary, block int, counts binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInPandas(run, "doc_id long, h long, n long, k1 long, k2 long, sketch binary, block int, counts binary")
 
 
-def _counters(described: DataFrame, bits: int) -> np.ndarray:
-    """The counters of all tasks, up to 2**16 - 1; summed by block, in two steps."""
+def level(count: np.ndarray | float) -> np.ndarray:
+    """A count as one byte that orders as it does: eight steps for each doubling."""
+    return np.minimum(8 * np.log2(1 + np.asarray(count, np.float64)), 255).astype(np.uint8)
 
-    def packed(total: np.ndarray) -> bytes:
-        return zlib.compress(np.minimum(total, 2**16 - 1).astype(np.uint16).tobytes(), 1)
+
+def _counters(described: DataFrame, bits: int) -> tuple[np.ndarray, float]:
+    """The levels of the counters of all tasks, summed by block in two steps, and their mean count."""
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BLOCK, np.uint32)
+        total = np.zeros(min(BLOCK, 1 << bits), np.uint32)
         for raw in pdf["counts"]:
             total += np.frombuffer(zlib.decompress(raw), np.uint8)
-        return pd.DataFrame({"block": pdf["block"][:1], "counts": [packed(total)]})
+        return pd.DataFrame({"block": pdf["block"][:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     def rest(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BLOCK, np.uint64)
+        total = np.zeros(min(BLOCK, 1 << bits), np.uint64)
         for raw in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(raw), np.uint16)
-        return pd.DataFrame({"block": pdf["block"][:1], "counts": [packed(total)]})
+            total += np.frombuffer(zlib.decompress(raw), np.uint32)
+        return pd.DataFrame({"block": pdf["block"][:1], "counts": [zlib.compress(level(total).tobytes(), 1)], "total": [int(total.sum())]})
 
     part = described.filter("block is not null").groupBy("block", "doc_id").applyInPandas(first, "block int, counts binary")
-    out = np.zeros(1 << bits, np.uint16)
-    for r in part.groupBy("block").applyInPandas(rest, "block int, counts binary").collect():  # 2**bits counters in all
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["counts"]), np.uint16)
-    return out
+    out, load = np.zeros(1 << bits, np.uint8), 0
+    for r in part.groupBy("block").applyInPandas(rest, "block int, counts binary, total long").toLocalIterator():  # 2**bits bytes in all
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
+        load += r["total"]
+    return out, load / len(out)
 
 
-def _signed(docs: DataFrame, k: int, counters: np.ndarray, bits: int, num: int, den: int) -> DataFrame:
+def _signed(docs: DataFrame, k: int, counters: np.ndarray, load: float, bits: int, num: int, den: int) -> DataFrame:
     """(sig, k1), each set once for each task."""
-    load = counters.sum(dtype=np.float64) / len(counters)
-    frequent = load + 4 * load**0.5 + 24
+    frequent = float(level(load + 4 * load**0.5 + 24))
     shared = docs.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,18 +266,44 @@ def _signed(docs: DataFrame, k: int, counters: np.ndarray, bits: int, num: int,
     return docs.select("text").mapInPandas(run, "sig long, k1 long")
 
 
-def _nodes(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(k1, doc_id) of the nodes in pairs, marked for broadcast if they are few: 16 MB at most; beyond that the join shuffles."""
-    nodes = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
-    wanted = written(nodes.join(reps, "k1").select("k1", F.col("rep").alias("doc_id")), "ngram-wanted")
-    return F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+def _few(table: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A written table of numbers, marked for broadcast if it has few rows; beyond that the join shuffles."""
+    return F.broadcast(table) if table.count() <= most else table
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b: k1) that link, as (a, b): sketches rule out what differs too much, then the texts of candidates are read as sets again."""
-    spark = docs.sparkSession
-    all_pairs = written(pairs, "ngram-pairs")
-    sketches = written(rows.select("doc_id", "k1", "n", "sketch").join(_nodes(all_pairs, reps), ["doc_id", "k1"]).select("k1", "n", "sketch"), "ngram-sketches")
+def _shared(sigs: DataFrame) -> DataFrame:
+    """(sig, k1, m) of signatures that m > 1 texts hold; of signatures that the same texts hold one stays."""
+    spark = sigs.sparkSession
+    spans = sigs.groupBy("sig").agg(F.min("k1").alias("_lo"), F.max("k1").alias("_hi")).filter("_lo <> _hi").select("sig")
+    spans = written(spans, "ngram-spans")
+    held = written(sigs.join(_few(spans), "sig").distinct(), "ngram-held")
+    # 128 bits stand for a set of texts.
+    member = held.groupBy("sig").agg(F.bit_xor(F.xxhash64("k1")).alias("x"), F.bit_xor(F.xxhash64("k1", F.lit(7))).alias("y"), F.count(F.lit(1)).alias("m"))
+    one = member.groupBy("x", "y", "m").agg(F.min("sig").alias("sig")).select("sig", "m")
+    shared = written(held.join(one, "sig").select("sig", "k1", "m"), "ngram-shared")
+    dropped(spark, spans, held)
+    return shared
+
+
+def _clusters(shared: DataFrame) -> DataFrame:
+    """(k1, cluster) of the texts that signatures of more than SMALL texts connect."""
+    large = shared.filter(F.col("m") > SMALL).select("sig", "k1")
+    hubs = large.groupBy("sig").agg(F.min("k1").alias("b"))
+    return components(large.join(hubs, "sig").select(F.col("k1").alias("a"), "b")).select(F.col("node").alias("k1"), F.col("component").alias("cluster"))
+
+
+def _candidates(shared: DataFrame, clusters: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of texts out of signatures of at most SMALL texts, not of one cluster, that sizes and sketches allow to link."""
+    spark = shared.sparkSession
+    few = shared.filter(F.col("m") <= SMALL).groupBy("sig").agg(F.sort_array(F.collect_list("k1")).alias("t"))  # at most SMALL each
+    # The pairs of positions are written out for the largest group; those beyond a group's size give null.
+    places = [F.when(F.size("t") > j, F.struct(F.get("t", F.lit(i)).alias("a"), F.get("t", F.lit(j)).alias("b"))) for j in range(1, SMALL) for i in range(j)]
+    pairs = few.select(F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())).alias("p")).select("p.a", "p.b").distinct()
+    of = _few(clusters)
+    pairs = pairs.join(of.select(F.col("k1").alias("a"), F.col("cluster").alias("_ca")), "a", "left").join(of.select(F.col("k1").alias("b"), F.col("cluster").alias("_cb")), "b", "left")
+    pairs = written(pairs.filter("_ca is null or _cb is null or _ca <> _cb").select("a", "b"), "ngram-pairs")
+    ends = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
+    drawn = written(reps.join(ends, "k1").select("k1", "n", "sketch"), "ngram-sketches")
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget()
@@ -284,43 +311,57 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, docs: DataFram
             keep = [sketch_difference(x, y) * (den + num) <= (n + m) * (den - num) for x, y, n, m in zip(batch["xa"], batch["xb"], batch["na"], batch["nb"])]
             yield batch.loc[keep, ["a", "b"]]
 
-    sides = [sketches.select(F.col("k1").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"x{s}")) for s in "ab"]
-    pairs = written(all_pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "xa", "xb", "na", "nb").mapInPandas(near, "a long, b long").distinct(), "ngram-pairs")
-    wanted = _nodes(pairs, reps)
+    # A link needs den * I >= num * (na + nb - I), so the sets differ in na + nb - 2 * I <= (na + nb) * (den - num) / (den + num) members.
+    sides = [drawn.select(F.col("k1").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"x{s}")) for s in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").filter(f"least(na, nb) * {den} >= greatest(na, nb) * {num}")
+    out = written(both.select("a", "b", "xa", "xb", "na", "nb").mapInPandas(near, "a long, b long"), "ngram-pairs")
+    dropped(spark, pairs, drawn)
+    return out
+
 
-    def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(k1, members) of the texts in wanted (k1, doc_id)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget()
         for batch in batches:
             sets = [(key, s) for key, s in zip(batch["k1"], shingle_sets(list(batch["text"]), k)) if len(s) and set_key(s)[0] == key]  # ids may repeat
             if sets:
                 yield pd.DataFrame({"k1": [key for key, _ in sets], "members": [s.tobytes() for _, s in sets]})
 
-    sets = written(docs.join(wanted, "doc_id").select("k1", "text").mapInPandas(to_sets, "k1 long, members binary"), "ngram-sets")
+    found = docs.join(_few(wanted), "doc_id").select("k1", "text").mapInPandas(run, "k1 long, members binary")
+    return written(found, "ngram-sets")
+
+
+def _linked_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that link: (a, b, n_shared)."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget()
         for batch in batches:
-            keep = []
+            keep, shared = [], []
             for x, y in zip(batch["mine"], batch["members"]):
                 x, y = np.frombuffer(x, U), np.frombuffer(y, U)
                 z = np.sort(np.concatenate((x, y)), kind="stable")
                 both = int((z[1:] == z[:-1]).sum())
+                shared.append(both)
                 keep.append(den * both >= num * (len(z) - both))
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.assign(n_shared=shared).loc[keep, ["a", "b", "n_shared"]]
 
     left = pairs.join(sets.select(F.col("k1").alias("b"), F.col("members").alias("mine")), "b")
     both = left.join(sets.withColumnRenamed("k1", "a"), "a").select("a", "b", "mine", "members")
-    links = written(both.mapInPandas(compare, "a long, b long"), "ngram-links")
-    for spent in (sets, pairs, sketches, all_pairs):
-        dropped(spark, spent)
-    return links
+    found = both.mapInPandas(compare, "a long, b long, n_shared long").dropDuplicates(["a", "b"])  # equal ids may give a set twice
+    return written(found, "ngram-linked")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """How many members each set of left has in common with each of right, exactly; `width` members at a time."""
+    """How many members each set of left has in common with each of right, exactly; `width` members at a time. left may be right: only two different ones count then."""
     out = np.zeros((len(left), len(right)), np.int64)
     x, y = np.concatenate(left), np.concatenate(right)
     common = np.intersect1d(x, y)
+    if left is right:
+        values, times = np.unique(x, return_counts=True)
+        common = values[times > 1]  # sizes are known without them: only what two sets share counts
 
     def placed(sets: list[np.ndarray], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -341,138 +382,148 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096)
     return out
 
 
-def _links(docs: DataFrame, whole: DataFrame, k: int, num: int, den: int, block: int = 512, shingles: int = 1 << 22, together: int = 1 << 18) -> DataFrame:
-    """Every link, once: component_id, a, b (ids of representatives), n_shared, ka, kb (keys of their sets).
+def roots(hit: np.ndarray) -> np.ndarray:
+    """Of each node of a symmetric matrix, the first node that it is connected with."""
+    label = np.arange(len(hit))
+    while True:
+        least = np.where(hit, label[None, :], len(hit)).min(axis=1, initial=len(hit))
+        new = np.minimum(label, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _cluster_blocks(clusters: DataFrame, reps: DataFrame, num: int, den: int, block: int, shingles: int, together: int) -> DataFrame:
+    """(k1, the key of a task, size class, part) for every task that a text of a cluster is compared in.
 
-    A group has at most about `block` texts or `shingles` shingles of each of two blocks, or small components of about `together` shingles.
+    Size classes are such that a link joins sizes of the same or of adjacent classes; a class of a cluster is cut into parts of about `block` texts or `shingles` shingles.
     """
-    of = whole.groupBy("component").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_w")).filter("_m > 1")
-    of = written(of.withColumn("_g", F.greatest(F.ceil(F.col("_m") / block), F.ceil(F.col("_w") / shingles)).cast("long")), "ngram-sizes")
-    buckets = int((of.filter("_g = 1").agg(F.sum("_w")).first()[0] or 0) // together) + 1
-    nodes = whole.join(of, "component").select(F.col("rep").alias("doc_id"), "k1", "component", "component_id", "_g")
+    step = max(math.log(den / num), 1e-9) * (1 + 1e-9)
+    nodes = reps.select("k1", "n").join(_few(clusters), "k1").withColumn("_k", F.floor(F.log("n") / step).cast("long"))
     nodes = written(nodes, "ngram-nodes")
-    if nodes.count() <= BROADCAST_IDS // 4:  # a quarter of the rows, as they are wider; beyond that the join shuffles
-        nodes = F.broadcast(nodes)
-    alone = F.col("_g") == 1
-    own = docs.join(nodes, "doc_id").withColumn("_c", F.pmod(F.xxhash64("k1"), F.col("_g")))
-    own = own.withColumn("_u", F.when(alone, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component")))
-    own = own.withColumn("_x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
-    own = own.select("_u", alone.alias("_s"), F.least("_c", "_x").alias("_i"), F.greatest("_c", "_x").alias("_j"), "_c", "doc_id", "k1", "component", "component_id", "text")
+    of = nodes.groupBy("cluster", "_k").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_w"))
+    of = of.withColumn("_g", F.greatest(F.ceil(F.col("_m") / block), F.ceil(F.col("_w") / shingles)).cast("long"))
+    all_of = Window.partitionBy("cluster")  # a row for each size class
+    of = of.select("cluster", "_k", "_g", F.sum("_m").over(all_of).alias("_all"), F.sum("_w").over(all_of).alias("_weight"))
+    alone = (F.col("_all") <= block) & (F.col("_weight") <= shingles)
+    buckets = int((nodes.agg(F.sum("n")).first()[0] or 0) // together) + 1
+    near = [of.select("cluster", (F.col("_k") + by).alias("_k"), F.col("_g").alias(name)) for by, name in ((-1, "_up"), (1, "_down"))]
+    of = of.join(near[0], ["cluster", "_k"], "left").join(near[1], ["cluster", "_k"], "left").fillna(0, ["_up", "_down"])
+    dealt = nodes.join(of, ["cluster", "_k"]).withColumn("_p", F.pmod(F.xxhash64("k1"), F.col("_g")))
+
+    def upto(n: str, task) -> Column:
+        numbers = F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
+        return F.transform(numbers, lambda j: F.struct(*[x.cast("long").alias(name) for x, name in zip(task(j), ("k", "p", "l", "q"))]))
+
+    k, p = F.col("_k"), F.col("_p")
+    tasks = F.concat(upto("_g", lambda j: (k, F.least(p, j), k, F.greatest(p, j))), upto("_up", lambda j: (k, p, k + 1, j)), upto("_down", lambda j: (k - 1, j, k, p)))
+    single = F.array(F.struct(*[F.lit(0).cast("long").alias(x) for x in ("k", "p", "l", "q")]))
+    dealt = dealt.withColumn("_u", F.when(alone, F.pmod(F.xxhash64("cluster"), F.lit(buckets))).otherwise(F.col("cluster")))
+    return dealt.select("k1", "cluster", "_k", "_p", alone.alias("_s"), "_u", F.explode(F.when(alone, single).otherwise(tasks)).alias("_t"))
+
+
+PAIRS = "a long, b long, n_shared long"
+COUNTED = "k1 long, root long, n_links long"
+
+
+def _cluster_links(sets: DataFrame, blocks: DataFrame, num: int, den: int, shape: str = COUNTED) -> DataFrame:
+    """For each two blocks of a cluster, by COUNTED: texts that link, how often, and one text that each is connected with; by PAIRS: every link."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         forget()
         found = []
-        i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
-        sets = shingle_sets(list(pdf["text"]), k)
-        right = [len(s) > 0 and set_key(s)[0] == key for s, key in zip(sets, pdf["k1"])]  # ids may repeat
-        pdf = pdf.drop(columns="text").assign(_at=np.arange(len(pdf))).loc[right].drop_duplicates("k1")
-        for _, part in pdf.groupby("component", sort=False):
-            sides = [part.loc[part["_c"] == i], part.loc[part["_c"] == j]]
-            if not len(sides[0]) or not len(sides[1]):
+        task = pdf.iloc[0]
+        for _, part in pdf.drop_duplicates(["k1"]).groupby("cluster", sort=False):
+            keys, sets = part["k1"].to_numpy(np.int64), [np.frombuffer(m, U) for m in part["members"]]
+            first = np.ones(len(part), bool) if task["_s"] else ((part["_k"] == task["k"]) & (part["_p"] == task["p"])).to_numpy()
+            one = task["_s"] or (task["k"], task["p"]) == (task["l"], task["q"])
+            at = np.flatnonzero(first), np.flatnonzero(first if one else ~first)
+            if not len(at[0]) or not len(at[1]):
                 continue
-            left, other = ([sets[x] for x in side["_at"]] for side in sides)
-            both = overlaps(left, other)
-            union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in other])[None, :] - both
+            left = [sets[x] for x in at[0]]
+            right = left if one else [sets[x] for x in at[1]]
+            both = overlaps(left, right)
+            union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - both
             hit = den * both >= num * union
-            a, b = np.nonzero(np.triu(hit, 1) if i == j else hit)
-            ids, keys = [s["doc_id"].to_numpy(np.int64) for s in sides], [s["k1"].to_numpy(np.int64) for s in sides]
-            ka, kb, ia, ib = keys[0][a], keys[1][b], ids[0][a], ids[1][b]
-            turn = (ia > ib) | ((ia == ib) & (ka > kb))
-            found.append(
-                pd.DataFrame(
-                    {
-                        "component_id": part["component_id"].iloc[0],
-                        "a": np.where(turn, ib, ia),
-                        "b": np.where(turn, ia, ib),
-                        "n_shared": both[a, b],
-                        "ka": np.where(turn, kb, ka),
-                        "kb": np.where(turn, ka, kb),
-                    }
-                )
-            )
-        return pd.concat(found) if found else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("component_id", "a", "b", "n_shared", "ka", "kb")})
-
-    shape = "component_id long, a long, b long, n_shared long, ka long, kb long"
-    return written(own.groupBy("_u", "_s", "_i", "_j").applyInPandas(compare, shape), "ngram-all-links")
-
-
-def near_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bits: int = 23) -> DataFrame:
-    """component_id, a, b, n_shared: every two different shingle sets that link, named by their smallest doc_ids, a <= b."""
-    docs, _, whole = _grouped(docs, k, num, den, bits, 2)
-    return _links(docs, whole, k, num, den).select(*[given_id(c).alias(c) for c in ("component_id", "a", "b")], "n_shared")
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bits: int = 23, stars: int = 2, links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of docs (doc_id long, text string): links need intersection / union >= num / den.
-
-    n_links: with how many different sets the row's set links. Without links that column is left out, and only as many pairs are compared as span the components.
+            if one:
+                np.fill_diagonal(hit, False)
+            if shape == PAIRS:
+                i, j = np.nonzero(np.triu(hit) if one else hit)
+                found.append(pd.DataFrame({"a": keys[at[0][i]], "b": keys[at[1][j]], "n_shared": both[i, j]}))
+                continue
+            whole = np.zeros((len(part), len(part)), bool)
+            whole[np.ix_(at[0], at[1])] = hit
+            whole |= whole.T
+            links = whole.sum(axis=1)
+            out = pd.DataFrame({"k1": keys, "root": keys[roots(whole)], "n_links": links})
+            found.append(out[links > 0])
+        return pd.concat(found) if found else pd.DataFrame({c.split()[0]: np.zeros(0, np.int64) for c in shape.split(", ")})
+
+    own = blocks.select("*", "_t.*").drop("_t").join(sets, "k1")
+    found = own.groupBy("_u", "_s", "k", "p", "l", "q").applyInPandas(compare, shape)
+    return written(found, "ngram-cluster-links")
+
+
+class Links:
+    """What near_duplicates and near_links need: docs as read, a described row for each, each different set, and its verified links."""
+
+    def __init__(self, docs: DataFrame, k: int, num: int, den: int, bits: int | None, shape: str, block: int = 1024, shingles: int = 1 << 21, together: int = 1 << 18):
+        if not 3 * den < 4 * num or num > den:
+            raise ValueError("the threshold must be above 3/4 and at most 1")
+        spark = docs.sparkSession
+        small_batches(spark)
+        docs = docs.select(held_id("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        bits = bits or counter_bits(docs)
+        described = written(_described(docs, k, bits), "ngram-described")
+        self.rows = described.filter("block is null").drop("block", "counts")
+        sets = self.rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+        self.reps = written(sets, "ngram-reps")
+        sigs = written(_signed(docs, k, *_counters(described, bits), bits, num, den), "ngram-signatures")
+        shared = _shared(sigs)
+        dropped(spark, sigs)
+        clusters = _clusters(shared)
+        pairs = _candidates(shared, clusters, self.reps, num, den)
+        dropped(spark, shared)
+        ends = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).union(clusters.select("k1")).distinct()
+        wanted = written(self.reps.join(ends, "k1").select("k1", F.col("rep").alias("doc_id")), "ngram-wanted")
+        members = _sets(docs, wanted, k)
+        self.pairs = _linked_pairs(pairs, members, num, den)
+        blocks = _cluster_blocks(clusters, self.reps, num, den, block, shingles, together)
+        self.in_clusters = _cluster_links(members, blocks, num, den, shape)
+        dropped(spark, members, wanted, pairs)
+
+
+def near_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bits: int | None = None, **blocks: int) -> DataFrame:
+    """a, b, n_shared: every two different shingle sets that link, named by their smallest doc_ids, a <= b."""
+    found = Links(docs, k, num, den, bits, PAIRS, **blocks)
+    every = found.pairs.unionByName(found.in_clusters)
+    ids = found.reps.select("k1", "rep")
+    named = every.join(ids.select(F.col("k1").alias("a"), F.col("rep").alias("_a")), "a").join(ids.select(F.col("k1").alias("b"), F.col("rep").alias("_b")), "b")
+    named = named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "n_shared")
+    return named.select(given_id("a").alias("a"), given_id("b").alias("b"), "n_shared")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bits: int | None = None, **blocks: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links, component_key, text_hash for every row of docs (doc_id long, text string): links need intersection / union >= num / den.
+
+    n_links: with how many different sets the row's set links. component_key: the same for all rows of a component, whatever their ids; null for a text without words.
+    text_hash: xxhash64 of the text, which with doc_id tells rows of equal ids apart.
     """
-    docs, rows, whole = _grouped(docs, k, num, den, bits, stars)
-    if links:
-        every = _links(docs, whole, k, num, den)
-        ends = every.select(F.col("ka").alias("k1")).union(every.select("kb")).groupBy("k1").agg(F.count(F.lit(1)).alias("n_links"))
-        whole = whole.join(ends, "k1", "left")
-    also = ["n_links"] if links else []
-    joined = rows.join(whole.select("k1", "k2", "n", "component_id", *also), ["k1", "k2", "n"], "left")
-    out = joined.select(given_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(NO_ID)).alias("component_id"), *also)
-    return out.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))) if links else out
-
-
-def _grouped(docs: DataFrame, k: int, num: int, den: int, bits: int, stars: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs as they are read, a described row for each, and (k1, k2, n, rep, component, component_id) of each different set."""
-    if not 3 * den < 4 * num or num > den:
-        raise ValueError("the threshold must be above 3/4 and at most 1")
+    found = Links(docs, k, num, den, bits, COUNTED, **blocks)
     spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(held_id("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = written(_described(docs, k, bits), "ngram-described")
-    rows = described.filter("block is null")
-    sets = rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), *[F.first(b).alias(b) for b in BITS_OF])
-    reps = written(sets, "ngram-reps")
-    sigs = written(_signed(docs, k, _counters(described, bits), bits, num, den), "ngram-signatures")
-    spans = sigs.groupBy("sig").agg(F.min("k1").alias("_lo"), F.max("k1").alias("_hi")).filter("_lo <> _hi").select("sig")
-    spans = written(spans, "ngram-spans")
-    if spans.count() <= BROADCAST_IDS:
-        spans = F.broadcast(spans)
-    held = written(sigs.join(spans, "sig").distinct(), "ngram-held")
-    dropped(spark, sigs)
-    # Signatures that the same texts hold say the same: one of them stays. 128 bits stand for a set of texts.
-    member = held.groupBy("sig").agg(F.bit_xor(F.xxhash64("k1")).alias("x"), F.bit_xor(F.xxhash64("k1", F.lit(7))).alias("y"), F.count(F.lit(1)).alias("m"))
-    shared = written(held.join(member.groupBy("x", "y", "m").agg(F.min("sig").alias("sig")).select("sig"), "sig"), "ngram-shared")
-    dropped(spark, held)
-    # A link needs den * I >= num * (na + nb - I), so the sets differ in na + nb - 2 * I <= (na + nb) * (den - num) / (den + num) members.
-    differ = " + ".join(f"bit_count({x}a ^ {x}b)" for x in BITS_OF)
-    fits = f"least(_na, _nb) * {den} >= greatest(_na, _nb) * {num} and ({differ}) * {den + num} <= (_na + _nb) * {den - num}"
-    links, comp = None, None
-    for star in range(stars + 1):
-        if comp is None:
-            here = shared.withColumn("c", F.col("k1"))
-        else:
-            here = shared.join(comp.select(F.col("node").alias("k1"), F.col("component").alias("c")), "k1", "left").withColumn("c", F.coalesce("c", "k1"))
-        if star:
-            open_ = here.groupBy("sig").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("sig")
-            here = written(here.join(open_, "sig"), "ngram-open")
-            if here.isEmpty():
-                break
-            shared = here.select("sig", "k1")  # what is joined in one component stays so
-        sides = [reps.select(F.col("k1").alias(key), F.col("n").alias(f"_n{key}"), *[F.col(x).alias(f"{x}{key}") for x in BITS_OF]) for key in ("a", "b")]
-        if star < stars:
-            draw = F.col("k1") if not star else F.xxhash64("k1", "sig")
-            pivot = here.groupBy("sig").agg(F.min_by("k1", draw).alias("p"), F.min_by("c", draw).alias("pc"))
-            pairs = here.join(pivot, "sig").filter("c <> pc").select(F.least("k1", "p").alias("a"), F.greatest("k1", "p").alias("b")).distinct()
-            pairs = pairs.join(sides[0], "a").join(sides[1], "b").filter(fits).select("a", "b")
-        else:
-            one = here.select("sig", "c", F.col("k1").alias("a")).join(sides[0], "a")
-            one = written(one, "ngram-open")
-            other = one.select("sig", F.col("c").alias("pc"), F.col("a").alias("b"), F.col("_na").alias("_nb"), *[F.col(f"{x}a").alias(f"{x}b") for x in BITS_OF])
-            both = one.join(other, "sig").filter("c < pc").filter(fits)
-            pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = _verified(pairs, reps, rows.filter("n > 0"), docs, k, num, den)
-        links = found if links is None else links.union(found)
-        comp = components(links)
-    if comp is None:
-        comp = spark.createDataFrame([], "node long, component long")
-    named = reps.join(comp.withColumnRenamed("node", "k1"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
-    named = written(named, "ngram-named")
+    edges = found.pairs.select("a", "b").union(found.in_clusters.filter("k1 <> root").select("k1", "root"))
+    comp = components(edges).select(F.col("node").alias("k1"), "component")
+    ends = found.pairs.select(F.col("a").alias("k1"), F.lit(1).cast("long").alias("n_links")).union(found.pairs.select("b", F.lit(1).cast("long")))
+    counts = ends.unionByName(found.in_clusters.select("k1", "n_links")).groupBy("k1").agg(F.sum("n_links").alias("n_links"))
+    # Sets without links are a component each; only linked ones need a look at their component.
+    named = written(found.reps.select("k1", "k2", "n", "rep").join(comp, "k1").join(counts, "k1"), "ngram-named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return docs, rows, named.join(least, "component").select("k1", "k2", "n", "rep", "component", "component_id")
+    linked = named.join(least, "component").select("k1", "k2", "n", "component_id", "n_links", F.col("component").alias("component_key"))
+    single = found.reps.select("k1", "k2", "n", "rep").join(linked.select("k1", "k2", "n"), ["k1", "k2", "n"], "left_anti")
+    whole = linked.unionByName(single.select("k1", "k2", "n", F.col("rep").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("k1").alias("component_key")))
+    shown = found.rows.filter("n > 0").join(written(whole, "ngram-whole"), ["k1", "k2", "n"])
+    empty = found.rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_key"), "h")
+    shown = shown.select(empty.columns).unionByName(empty)
+    dropped(spark, named, found.reps, found.pairs, found.in_clusters)
+    return shown.select(given_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), given_id("component_id").alias("component_id"), "n_links", "component_key", F.col("h").alias("text_hash"))

@@ -27,14 +27,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
-    found = near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
-    return found.select("doc_id", "n_shingles", "component_id")  # the columns of its SQL; op2_ngram_jaccard_links has the links
-
-
-def op2_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .ngram_join import near_links
-
-    return near_links(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +86,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
-        "op2_ngram_jaccard_links": op2_ngram_jaccard_links,
         "op3_quality_resampling": op3_quality_resampling,
         "op4_token_counts": op4_token_counts,
         "op5_imatch": op5_imatch,
@@ -105,15 +97,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-#: Links by a self-join on whole shingles, components by recursion: slow, and plain.
+#: Links between different sets by a self-join on whole shingles, components by recursion: slow, and plain.
 NGRAM_JOIN_SQL = r"""WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i+3], ' ') FOR i IN range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
-n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s), x AS (SELECT doc_id, unnest(g) AS g FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM x a JOIN x b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i+3], ' ') FOR i IN range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w),
+n AS (SELECT doc_id, len(g)::BIGINT AS n, CASE WHEN len(g) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY g) END AS rep, g FROM s),
+x AS (SELECT rep, unnest(g) AS g FROM n WHERE doc_id = rep),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS i FROM x a JOIN x b USING (g) WHERE a.rep <> b.rep GROUP BY ALL),
 l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 85 * (na.n + nb.n - i)),
-r AS (SELECT doc_id AS a, doc_id AS c FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.c)
-SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL"""
+r AS (SELECT doc_id AS a, doc_id AS c FROM n WHERE doc_id = rep UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.c),
+c AS (SELECT a, min(c) AS c FROM r GROUP BY a), k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, c.c AS component_id, coalesce(k.n_links, 0) AS n_links FROM n JOIN c ON c.a = n.rep LEFT JOIN k ON k.a = n.rep"""
 
 
 def oracle_sql() -> dict[str, str]:

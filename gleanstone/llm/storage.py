@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,45 +18,63 @@ from pyspark.sql import types as T
 
 
 _OWN: dict[str, str] = {}
+_FOLDERS: set[str] = set()
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 #: Stands for a null id inside Python workers, where a column of integers with nulls would become one of floats.
 NO_ID = 2**63 - 1
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir.
+    """The folder named in spark.checkpoint.dir, which all executors share.
 
-    Where it is unset (tests on one machine) a temporary folder is made, one for each application.
+    Where it is unset, a session with a local master (tests) gets a temporary folder; any other raises an error, as executors would not see each other's files.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="gleanstone-")
-        path = _OWN[app]
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="gleanstone-")
+        path = _OWN[context.applicationId]
     return path.rstrip("/")
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, kept if executors are lost."""
+    """df as a Parquet table in the shared folder: computed once, kept if executors are lost, deleted when the program ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gleanstone/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/gleanstone/{spark.sparkContext.applicationId}"
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
+    if own not in _FOLDERS:
+        _FOLDERS.add(own)
+        atexit.register(_clean, spark, own)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # nothing reads this plan's shuffle files again: the table stands for it
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def _clean(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        _delete(spark, folder)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table made by written() that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(conf).delete(folder, True)
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables made by written() that no later plan reads; others are left."""
+    for table in tables:
+        if path := _PATHS.pop(table, None):
+            _delete(spark, path)
 
 
 _KEPT: dict = {}
