@@ -1,13 +1,13 @@
 """I-Match fingerprints (native): terms in a band of inverse document frequency, hashed in randomised lexicon subsets.
 
-The lexicon has the terms that occur in at least the share `low` and at most the share `high` of all texts. A term is in at least low * N of N
-texts, and all texts together have N * m distinct terms (m: their mean), so there are at most m / low terms
-however many texts there are; the lexicon is sent as a set of hashes. A subset has each term of the lexicon with a chance of 1 / rate by the bits of its hash; there are
+The lexicon has the terms that occur in at least the share `low` and at most the share `high` of all texts. It is kept as a bitmap of 2**LEXICON_BITS bits (512 KB, whatever the input): a term is
+in it if the bit of its hash is set, so a few rarer terms are in it, too, the same for all texts. The bitmap is a constant of the plan. A subset has each term of the lexicon with a chance of 1 / rate by the bits of its hash; there are
 subsets of several rates, rough ones for short texts and fine ones for long texts. The part of a fingerprint for a subset is
 a hash of the text's sorted distinct terms in it, 0 if it has none. Two fingerprints' likeness is, for the rate at which it is largest, the share of equal parts among those that are not 0 in both.
 
-A text's terms never leave its row. The next text by doc_id comes from a window over ranges of ids (bounded buckets, each with the first row of
-the following one), so texts are shuffled once and no task holds more than its range.
+A text's terms never leave its row. The next text by doc_id comes from a window over ranges of ids (each with the first row of
+the following one), so texts are shuffled once and no task holds more than its range. The ranges' edges come from a sort of the ids alone, are a constant array of at most MOST_RANGES numbers, and are
+searched by halving.
 
 A text with fewer than FEW terms of the lexicon (a small language, an odd source) is told by all its terms instead; terms that fall into no subset are hashed together.
 
@@ -16,16 +16,19 @@ Defined results: a null text is an empty one; only texts without any term have t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import parts, written
+from .storage import written
 
 #: Of each group of subsets: one term in so many.
 RATES = (4, 16, 64, 256)
 EACH = 8  # by bytes of a hash: 8 at most
+LEXICON_BITS = 22
+MOST_RANGES = 100_000
 #: A text with fewer lexicon terms is told by all its terms.
 FEW = 4
 
@@ -35,22 +38,45 @@ def terms_of(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
-def lexicon(docs: DataFrame, low: float, high: float, text_col: str = "text") -> list[int]:
-    """Hashes of the terms in the band; document frequencies are counted over all texts."""
+def constant(values: list[int]) -> Column:
+    """A literal array of longs: folded from a text, so the plan has one node for it."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
+def _word(h: Column) -> Column:
+    """The word of 64 bits that holds the bit of a hash; the bit's place in it is h mod 64."""
+    return F.pmod(F.shiftright(h, 6), F.lit(1 << (LEXICON_BITS - 6))).cast("int")
+
+
+def lexicon(docs: DataFrame, low: float, high: float, text_col: str = "text") -> Column:
+    """The bitmap of the terms in the band, an array of longs; document frequencies are counted over all texts."""
     rows = docs.select(F.col(text_col).alias("t")).filter("t is not null")
     n = rows.count()
-    hashes = F.explode(F.transform(terms_of(F.col("t")), lambda t: F.xxhash64(t)))
-    df = rows.select(hashes.alias("h")).groupBy("h").count()
-    least, most = low * n, max(2, high * n)
-    return sorted(r["h"] for r in df.filter((F.col("count") >= least) & (F.col("count") <= most)).select("h").collect())  # at most m / low
+    df = rows.select(F.explode(F.transform(terms_of(F.col("t")), lambda t: F.xxhash64(t))).alias("h")).groupBy("h").count()
+    inside = df.filter((F.col("count") >= low * n) & (F.col("count") <= max(2, high * n)))
+    bit = F.expr("shiftleft(1L, cast(pmod(h, 64) as int))")
+    out = [0] * (1 << (LEXICON_BITS - 6))
+    for r in inside.groupBy(_word(F.col("h")).alias("w")).agg(F.bit_or(bit).alias("bits")).collect():  # so many rows at most
+        out[r["w"]] = r["bits"]
+    return constant(out)
+
+
+def kept_of(text: Column, words: Column) -> Column:
+    """The sorted hashes of the text's distinct terms in the lexicon; of all its terms if fewer than FEW are."""
+    return _once(_once(_hashes(text), lambda every: F.struct(every.alias("every"), _inside(every, words).alias("some"))), lambda x: F.when(F.size(x["some"]) < FEW, x["every"]).otherwise(x["some"]))
 
 
-def with_kept(rows: DataFrame, text: str, words: list[int]) -> DataFrame:
-    """rows, and as kept the sorted hashes of the text's distinct terms in the lexicon; of all its terms if fewer than FEW are."""
-    hashed = rows.withColumn("_all", F.array_sort(F.transform(terms_of(F.col(text)), lambda t: F.xxhash64(t))))
-    listed = ",".join(f"{w}L" for w in words if w != -(2**63))
-    hashed = hashed.withColumn("_in", F.expr(f"filter(_all, h -> h IN ({listed}))" if listed else "filter(_all, h -> false)"))
-    return hashed.withColumn("kept", F.when(F.size("_in") < FEW, F.col("_all")).otherwise(F.col("_in"))).drop("_all", "_in")
+def _hashes(text: Column) -> Column:
+    return F.array_sort(F.transform(terms_of(text), lambda t: F.xxhash64(t)))
+
+
+def _inside(hashes: Column, words: Column) -> Column:
+    return F.filter(hashes, lambda h: F.bit_get(F.get(words, _word(h)), F.pmod(h, F.lit(64)).cast("int")) == 1)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used: it becomes the variable of a function."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def _part(kept: Column, rate: int, k: int) -> Column:
@@ -84,49 +110,50 @@ def likeness(a: Column, b: Column) -> Column:
     return F.coalesce(F.greatest(*shares), F.lit(1.0))
 
 
-def with_next(docs: DataFrame, also: str, per_bucket: int = 20_000) -> DataFrame:
-    """doc_id, text, the column also, and as next_ of the last two those of the next row by (doc_id, text); after the last comes the first."""
-    spark = docs.sparkSession
-    n = docs.select("doc_id").count()
-    buckets = max(1, min(-(-n // per_bucket), 100_000), min(parts(spark), -(-n // 500)))
-    edges: list[int] = []
-    if buckets > 1:
-        found = docs.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0]
-        edges = sorted(set(found or []))
-    flagged = docs.withColumn("_b", _bucket(F.col("doc_id"), edges))
-    lowest = flagged.groupBy("_b").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("_id"))
-    starts = written(lowest, "fingerprint-starts")  # one row for each bucket that has rows
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    first = flagged.join(F.broadcast(starts), (flagged["_b"] == starts["_b"]) & (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("_id"))).drop(starts["_b"])
+def with_next(docs: DataFrame, also: str, made: Column, per_range: int = 2_000) -> DataFrame:
+    """doc_id, text, the column also (made from a text), and as next_ of the last two those of the next row by (doc_id, text); after the last comes the first."""
+    least = -(2**63)
+    key = F.coalesce("doc_id", F.lit(least))  # null ids come first
+    keys = docs.select(key.alias("k"))
+    ranges = min(max(-(-keys.count() // per_range), 1), MOST_RANGES)
+    edges = keys.repartitionByRange(ranges, "k").groupBy(F.spark_partition_id()).agg(F.min("k").alias("k")).select("k")
+    edges = sorted(r["k"] for r in edges.collect())  # at most MOST_RANGES
+    flagged = docs.withColumn("_b", _range_of(key, constant(edges), len(edges)))
+    starts = written(flagged.groupBy("_b").agg(F.min(key).alias("_id")), "fingerprint-starts")  # one row for each range
+    few = F.broadcast(starts.withColumnRenamed("_b", "_s"))
+    first = flagged.join(few, (F.col("_b") == F.col("_s")) & (key == F.col("_id"))).groupBy("_b").agg(F.min("text").alias("text"))
     ring = starts.select("_b", F.lag("_b").over(Window.orderBy("_b")).alias("_to"))
     last = starts.agg(F.max("_b")).first()[0]
-    halo = first.drop("_id").join(F.broadcast(ring), "_b").withColumn("_b", F.coalesce("_to", F.lit(last))).drop("_to").withColumn("_halo", F.lit(1))
-    rows = flagged.withColumn("_halo", F.lit(0)).unionByName(halo)
-    w = Window.partitionBy("_b").orderBy("_halo", *order)
+    halo = first.join(F.broadcast(ring), "_b").select(F.lit(None).cast("long").alias("doc_id"), "text", F.coalesce("_to", F.lit(last)).alias("_b"), F.lit(1).alias("_halo"))
+    rows = flagged.select("doc_id", "text", "_b", F.lit(0).alias("_halo")).unionByName(halo).withColumn(also, made)
+    w = Window.partitionBy("_b").orderBy("_halo", F.col("doc_id").asc_nulls_first(), "text")
     rows = rows.select("*", F.lead("text").over(w).alias("next_text"), F.lead(also).over(w).alias(f"next_{also}")).filter("_halo = 0")
     return rows.select("doc_id", "text", also, "next_text", f"next_{also}")
 
 
-def _bucket(key: Column, edges: list[int], lo: int = 0) -> Column:
-    """How many edges key is above (a balanced tree of comparisons); null ids are in the first bucket."""
-    if not edges:
-        return F.lit(lo)
-    mid = len(edges) // 2
-    return F.when(key > edges[mid], _bucket(key, edges[mid + 1 :], lo + mid + 1)).otherwise(_bucket(key, edges[:mid], lo))
+def _range_of(key: Column, edges: Column, most: int) -> Column:
+    """How many of at most `most` sorted edges are not above key, by halving."""
+    begin = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
+
+    def half(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(edges, mid) <= key
+        return F.when(s["lo"] >= s["hi"], s).when(below, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(most.bit_length())), begin, half, lambda s: s["lo"])
 
 
 def fingerprint_documents(docs: DataFrame, low: float = 0.004, high: float = 0.1) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = lexicon(slim, low, high)
-    own = with_kept(slim, "text", words).withColumn("own", parts_of(F.col("kept"))).drop("kept")
-    rows = with_next(own, "own")
+    parts = lambda text: _once(kept_of(text, words), parts_of)
+    rows = with_next(slim, "own", parts(F.col("text")))
     half = F.expr("length(text) div 2").cast("int")
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "own", "next_own", edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", "own", "next_own", F.sha2("edited", 256).alias("edited_sha256"), "edited")
-    rows = with_kept(rows, "edited", words).withColumn("edited", parts_of(F.col("kept"))).drop("kept")
+    rows = rows.select("doc_id", "n_chars", "own", "next_own", F.sha2("edited", 256).alias("edited_sha256"), parts(F.col("edited")).alias("edited"))
     made = written(rows, "fingerprint-parts")
     return made.select(
         "doc_id",
