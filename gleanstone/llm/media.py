@@ -1,7 +1,8 @@
 """Media columns: Netpbm and BMP decoded to arrays, area-resized by integral images, kept as NPY tiles with difference hashes.
 
-Arrays are (height, width, channels), uint8 or uint16. A payload of bytes becomes a grey picture 24 pixels wide,
-stored as a binary Netpbm file (P5), read back by the same decoder that reads any file, cut into tiles and hashed.
+Arrays are (height, width, channels), uint8 or uint16. A payload of bytes is a grey picture 24 pixels wide; an odd number of blocks comes as a binary Netpbm file (P5),
+an even one as a BMP of 8 bits. Its file is decoded as any file is, cut into tiles of 24 * 24 samples, and stored as one NPY array of tiles (number, 24, 24) for each document.
+That table is written; digests and features come from the NPY bytes that are read back.
 
 Defined results: a null text is an empty one, one block of padding; equal texts get equal values; damaged files raise ValueError in the
 decoders and give a null array in decode_table; an empty table gives an empty result; only doc_id and text are read.
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import given_id, held_id, small_batches
+from .storage import given_id, held_id, small_batches, written
 
 WIDTH = 24
 BLOCK = 576
@@ -87,6 +88,17 @@ def encode_pgm(rows: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (rows.shape[1], rows.shape[0]) + rows.tobytes()
 
 
+def encode_bmp(rows: np.ndarray) -> bytes:
+    """A BMP file of 8 bits with a grey palette, bottom-up, of a (height, width) array of uint8."""
+    height, width = rows.shape
+    palette = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 4, axis=1)
+    palette[:, 3] = 0
+    raster = np.pad(rows[::-1], ((0, 0), (0, -width % 4))).tobytes()
+    start = 54 + palette.size
+    head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", start + len(raster), 0, 0, start, 40, width, height, 1, 8, 0, len(raster), 0, 0, 256, 0)
+    return head + palette.tobytes() + raster
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
     """Uncompressed BMP of 1, 4, 8, 24 or 32 bits, bottom-up or top-down, as RGB."""
     if data[:2] != b"BM" or len(data) < 54:
@@ -176,41 +188,56 @@ def decode_table(files: DataFrame, id_col: str, data_col: str, tile: int = 64) -
     return slim.mapInPandas(run, f"id {kind}, row int, col int, height int, width int, npy binary, dhash string")
 
 
-def stored(text: str | None) -> tuple[int, bytes]:
-    """The size of a text in UTF-8, and the Netpbm file of its padded bytes."""
+def media_file(text: str | None) -> tuple[int, bytes]:
+    """The size of a text in UTF-8, and the picture file of its padded bytes."""
     raw = (text or "").encode("utf-8", "replace")
-    whole = max(BLOCK, -(-len(raw) // BLOCK) * BLOCK)
-    return len(raw), encode_pgm(np.frombuffer(raw.ljust(whole, PAD), np.uint8).reshape(-1, WIDTH))
+    blocks = max(1, -(-len(raw) // BLOCK))
+    picture = np.frombuffer(raw.ljust(blocks * BLOCK, PAD), np.uint8).reshape(-1, WIDTH)
+    return len(raw), encode_bmp(picture) if blocks % 2 == 0 else encode_pgm(picture)
+
+
+def cut_tiles(image: np.ndarray, side: int) -> np.ndarray:
+    """The tiles (number, side, side) of a picture of whole tiles, row by row; of several channels the first."""
+    height, width = image.shape[:2]
+    return image[..., 0].reshape(height // side, side, width // side, side).swapaxes(1, 2).reshape(-1, side, side)
 
 
 def media_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (binary): every text as a Netpbm file, to be written or read by media_digests."""
+    """doc_id, n_bytes, media (binary), dhash: every text's picture file, decoded and stored as NPY tiles, with the picture's difference hash. To be written."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [stored(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [n for n, _ in made], "media": [m for _, m in made]})
+            out = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                n, data = media_file(text)
+                image = decode(data)
+                out.append((doc_id, n, npy_tile(cut_tiles(image, WIDTH)), difference_hash(image[..., :1])))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "media", "dhash"])
 
-    rows = docs.select(held_id("doc_id").alias("doc_id"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    rows = docs.select(held_id("doc_id").alias("doc_id"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_bytes long, media binary, dhash string")
     return rows.withColumn("doc_id", given_id("doc_id"))
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Of each row of media (doc_id, n_bytes, media), digests of the payload as decoded and of the file, and the picture's difference hash."""
+    """Of each row of media (doc_id, n_bytes, media, dhash), digests of the payload as read back from its NPY bytes and of those bytes, and the feature: difference hash of the picture, and of its tiles' means."""
     small_batches(media.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, n, data in zip(batch["doc_id"], batch["n_bytes"], batch["media"]):
-                image = decode_netpbm(data)
-                payload = image.tobytes()
-                rows.append(
-                    (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image))
-                )
+            for doc_id, n, data, dhash in zip(batch["doc_id"], batch["n_bytes"], batch["media"], batch["dhash"]):
+                tiles = np.load(io.BytesIO(data), allow_pickle=False)
+                payload = tiles.tobytes()
+                feature = dhash + difference_hash(tiles.mean(axis=0)[..., None])
+                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pd.DataFrame(rows, columns=columns)
 
     shape = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select(held_id("doc_id").alias("doc_id"), "n_bytes", "media").mapInPandas(run, shape).withColumn("doc_id", given_id("doc_id"))
+    return media.select(held_id("doc_id").alias("doc_id"), "n_bytes", "media", "dhash").mapInPandas(run, shape).withColumn("doc_id", given_id("doc_id"))
+
+
+def media_documents(docs: DataFrame) -> DataFrame:
+    """The digests of every row of docs (doc_id, text), read back from a written table of NPY tiles."""
+    return media_digests(written(media_table(docs), "media-tiles"))

@@ -57,9 +57,9 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .media import media_digests, media_table
+    from .media import media_documents
 
-    return media_digests(media_table(table(spark, sf_dir, "documents")))
+    return media_documents(table(spark, sf_dir, "documents"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,4 +111,6 @@ SELECT n.doc_id, n.n AS n_shingles, c.c AS component_id, coalesce(k.n_links, 0)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": NGRAM_JOIN_SQL}
+    from .sharding import sharding_sql
+
+    return {"op2_ngram_jaccard_join": NGRAM_JOIN_SQL, "op8_sharding": sharding_sql()}
