@@ -10,7 +10,8 @@ The frequencies add up in a table of 2**bits counters for each task, summed by b
 reaches the driver has a fixed size.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; an empty or unlabelled training table
-gives `und` for all; null languages are not learned; equal texts get equal results; only the named columns are read.
+gives `und` for all; null languages and null ids are not learned; of training rows with equal ids the one of the least language and text counts;
+equal texts get equal results; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -32,33 +33,36 @@ _MULT = np.uint32(0x9E3779B1)
 _SIZE_SEED = (0, 0x2545F491, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
 
 
-def _classes() -> np.ndarray:
-    """Of each code point below 2**16, the lower-case letter it counts as; other characters count as a space."""
-    table = np.full(1 << 16, 32, np.uint32)
-    for c in range(1 << 16):
-        ch = chr(c)
-        if unicodedata.category(ch)[0] in "LM":
-            low = ch.lower()
-            table[c] = ord(low) if len(low) == 1 else c
-    return table
+def _class_of(c: int) -> tuple[int, bool]:
+    """The code that a code point counts as (a letter's lower case, a mark itself, else a space), and whether it is a letter."""
+    ch = chr(c)
+    kind = unicodedata.category(ch)[0]
+    low = ch.lower() if kind == "L" else ch
+    return (ord(low) if len(low) == 1 else c) if kind in "LM" else 32, kind == "L"
 
 
-_TABLE: list[np.ndarray] = []
+_TABLE: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def codes(text: str) -> np.ndarray:
-    """Lower-case letters, with one space for each run of anything else, and at both ends; empty without a letter."""
+    """Lower-case letters and marks, with one space for each run of anything else, and at both ends; empty without a letter of any plane."""
     if not _TABLE:
-        _TABLE.append(_classes())
+        pairs = [_class_of(c) for c in range(1 << 16)]
+        _TABLE.append((np.array([c for c, _ in pairs], np.uint32), np.array([own for _, own in pairs])))
     raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     low = np.minimum(raw, 0xFFFF)
-    out = np.where(raw < 0x10000, _TABLE[0][low], raw)
+    out, letter = _TABLE[0][0][low], _TABLE[0][1][low]
+    high = np.flatnonzero(raw > 0xFFFF)
+    if len(high):
+        few, place = np.unique(raw[high], return_inverse=True)
+        pairs = [_class_of(c) for c in few.tolist()]
+        out[high], letter[high] = np.array([c for c, _ in pairs], np.uint32)[place], np.array([own for _, own in pairs])[place]
+    if not letter.any():
+        return out[:0]
     space = out == 32
     keep = ~space
     keep[1:] |= ~space[:-1]
     out = out[keep]
-    if not len(out) or (len(out) == 1 and out[0] == 32):
-        return out[:0]
     return np.pad(out, (int(out[0] != 32), int(out[-1] != 32)), constant_values=32)
 
 
@@ -74,6 +78,16 @@ def hashed(c: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield h >> np.uint32(32 - bits)
 
 
+def grams_of(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counters of a text's n-grams, sorted, and how often each occurs."""
+    c = codes(text) if text else np.zeros(0, np.uint32)
+    if not len(c):
+        return np.zeros(0, np.uint32), np.zeros(0)
+    counts = np.bincount(np.concatenate(list(hashed(c, bits))), minlength=1 << bits)
+    f = np.flatnonzero(counts)
+    return f.astype(np.uint32), counts[f].astype(np.float64)
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -82,24 +96,20 @@ class Model:
     temperature: float
     bits: int
 
-    def logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Logits, and whether the text has a letter."""
-        out, there = np.tile(self.bias, (len(texts), 1)), np.zeros(len(texts), bool)
-        for i, text in enumerate(texts):
-            c = codes(text) if text else np.zeros(0, np.uint32)
-            if not len(c):
-                continue
-            there[i], total, n = True, 0, 0
-            for h in hashed(c, self.bits):
-                total, n = total + self.table[h].sum(0, dtype=np.float64), n + len(h)
-            out[i] += SCALE * total / n
-        return out, there
+    def logits(self, grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of texts given by their counters and how often each occurs; without any, the biases."""
+        out = np.tile(self.bias, (len(grams), 1))
+        for i, (f, c) in enumerate(grams):
+            if len(f):
+                out[i] += SCALE * (c @ self.table[f]) / c.sum()
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if not self.labels:
             return np.full(len(texts), UND, object), np.zeros(len(texts))
-        z, there = self.logits(texts)
-        p = _softmax(z / self.temperature)
+        grams = [grams_of(t, self.bits) for t in texts]
+        there = np.array([len(f) > 0 for f, _ in grams], bool)
+        p = _softmax(self.logits(grams) / self.temperature)
         best = p.argmax(1)
         return np.where(there, np.array(self.labels, object)[best], UND), np.where(there, p[np.arange(len(p)), best], 0.0)
 
@@ -196,22 +206,29 @@ def fit(train: DataFrame, bits: int = 16, per_language: int = 320, l1: float = 0
     keys = labelled.select("doc_id", "lang", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_h"))
     few = keys.withColumn("_r", F.row_number().over(Window.partitionBy("lang", F.pmod("_h", F.lit(64))).orderBy("_h", "doc_id"))).filter(F.col("_r") <= per_language)
     top = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).filter(F.col("_r") <= per_language)
-    sample = labelled.join(F.broadcast(top.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "lang", "text").dropDuplicates(["doc_id"])  # languages * per_language ids
-    rows = sample.orderBy("doc_id").collect()
+    sample = labelled.join(F.broadcast(top.select("doc_id").distinct()), "doc_id", "left_semi")  # languages * per_language ids
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.lang", "r.text")
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
+        for batch in batches:
+            found = [grams_of(t, bits) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "f": [f.tobytes() for f, _ in found], "c": [c.astype(np.uint32).tobytes() for _, c in found]})
+
+    small_batches(train.sparkSession)
+    rows = sample.mapInPandas(features, "doc_id long, lang string, f binary, c binary").orderBy("doc_id").collect()  # 8 bytes for each of at most 2**bits counters of a row
     labels = sorted({r["lang"] for r in rows})
     if not labels:
         return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), 1.0, bits)
     df, docs = document_frequencies(labelled.select("text"), bits)
     idf = np.log((1 + docs) / (1 + df)) + 1
-    features, y = [], np.array([labels.index(r["lang"]) for r in rows])
-    for r in rows:
-        h = np.concatenate(list(hashed(codes(r["text"]), bits)))
-        f, c = np.unique(h, return_counts=True)
-        features.append((np.append(f, 1 << bits), np.append(SCALE * idf[f] * c / len(h), 1.0)))
+    y = np.array([labels.index(r["lang"]) for r in rows])
+    grams = [(np.frombuffer(r["f"], np.uint32).astype(np.int64), np.frombuffer(r["c"], np.uint32).astype(np.float64)) for r in rows]
+    made = [(np.append(f, 1 << bits), np.append(SCALE * idf[f] * c / c.sum(), 1.0)) for f, c in grams]
     held = np.arange(len(rows)) % 4 == 3 if len(rows) >= 8 else np.zeros(len(rows), bool)
-    w, b = fit_ftrl([f for f, no in zip(features, held) if not no], y[~held], len(labels), 1 << bits, l1, l2, alpha)
+    w, b = fit_ftrl([x for x, no in zip(made, held) if not no], y[~held], len(labels), 1 << bits, l1, l2, alpha)
     model = Model(labels, (idf[:, None] * w).astype(np.float32), b, 1.0, bits)
-    model.temperature = fit_temperature(model.logits([r["text"] for r, own in zip(rows, held) if own])[0], y[held])
+    model.temperature = fit_temperature(model.logits([g for g, own in zip(grams, held) if own]), y[held])
     return model
 
 

@@ -6,7 +6,8 @@ log ratio of its n-grams, shrunk by `prior` n-grams of ratio 1, so that length a
 
 * `keep` is the classifier's decision: the mean is at least `threshold`, which lies where labelled bad and good documents are best told apart,
   but never so high that more than `spare` of the labelled good ones would go.
-* `sampled` is the resample: the k = round(fraction * rows) largest values of weight / tau + Gumbel noise of the document's id, exactly k of them.
+* `sampled` is the resample: the k = round(fraction * rows) largest values of log weight + Gumbel noise of the document's id, exactly k of them. The log weight is the log of the
+  importance weight, the sum of the document's log ratios, divided by `temperature` (1: as it is).
 
 Defined results: null and empty texts, or texts without a visible character, have no n-grams, weight null, and are neither kept nor sampled ahead of others;
 without good labels the target equals the raw model and all weights are 0; rows that tie in everything are sampled in any order; several labels
@@ -63,8 +64,10 @@ class Ratio:
     prior: float
     threshold: float = 0.0
 
-    def weight(self, grams: np.ndarray) -> float | None:
-        return float(self.table[grams].sum() / (len(grams) + self.prior)) if len(grams) else None
+    def weights(self, grams: np.ndarray) -> tuple[float | None, float | None]:
+        """The shrunk mean of the log ratios, and their sum."""
+        total = float(self.table[grams].sum())
+        return (total / (len(grams) + self.prior), total) if len(grams) else (None, None)
 
 
 def _summed(rows: DataFrame, bits: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -144,43 +147,55 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 16, prior: float = 8.0,
 
 
 def weigh(docs: DataFrame, model: Ratio, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns keep (all, if none are named) with weight (null without n-grams)."""
+    """docs' columns keep (all, if none are named) with weight, the mean log ratio, and log_weight, their sum (null without n-grams)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits numbers
 
     def start() -> Callable:
         hasher = kept_in_worker(("quality", shared.value.bits), lambda: Hasher(shared.value.bits))
-        return lambda texts: ([shared.value.weight(hasher(t)) for t in texts],)
+        return lambda texts: zip(*[shared.value.weights(hasher(t)) for t in texts]) if texts else ((), ())
 
-    return with_columns(docs, start, "weight double", keep)
+    return with_columns(docs, start, "weight double, log_weight double", keep)
 
 
-def gumbel_top(rows: DataFrame, key: str, k: int, digits: int = 12) -> DataFrame:
-    """rows with `sampled`: whether key (double, no nulls) is among the k largest; exact, by narrowing a histogram.
+def _nth(rows: DataFrame, column: str, n: int, digits: int) -> tuple[int, int, int]:
+    """The n-th largest value of a column of longs below 2**63, how many rows are above it, and how many equal it.
 
-    The key becomes a number of 62 bits that orders as it does. Each pass counts the rows by the next `digits` bits
-    (at most 2**digits counters reach the driver) below the prefix that holds the k-th largest. Rows equal to it in all bits are ordered by doc_id.
+    Each pass counts the rows by the next `digits` bits below the prefix that holds it: at most 2**digits counters reach the driver.
     """
-    rows = written(rows.withColumn("_bits", _ordered_bits(key)), "quality-keys")
-    left, prefix, done = k, 0, 0
-    if k <= 0:
-        return rows.withColumn("sampled", F.lit(False)).drop("_bits")
+    prefix, above, done = 0, 0, 0
     while done < 63:
         width = min(digits, 63 - done)
-        shift = 63 - done - width
-        inside = rows if not done else rows.filter(F.shiftright("_bits", 63 - done) == prefix)
-        found = inside.groupBy(F.shiftright("_bits", shift).alias("p")).count().collect()
+        inside = rows if not done else rows.filter(F.shiftright(column, 63 - done) == prefix)
+        found = inside.groupBy(F.shiftright(column, 63 - done - width).alias("p")).count().collect()
         for r in sorted(found, key=lambda r: -r["p"]):
-            if r["count"] >= left:
-                prefix = r["p"]
+            if above + r["count"] >= n:
+                prefix, equal = r["p"], r["count"]
                 break
-            left -= r["count"]
-        else:
-            return rows.withColumn("sampled", F.lit(True)).drop("_bits")
+            above += r["count"]
         done += width
-    ties = rows.filter(F.col("_bits") == prefix).select("doc_id").orderBy("doc_id").limit(left)
-    last = ties.agg(F.max("doc_id")).first()[0]
-    tie = F.lit(False) if last is None else (F.col("_bits") == prefix) & (F.col("doc_id") <= last)
-    return rows.withColumn("sampled", F.coalesce((F.col("_bits") > prefix) | tie, F.lit(False))).drop("_bits")
+    return prefix, above, equal
+
+
+def gumbel_top(rows: DataFrame, key: str, k: int, digits: int = 12) -> DataFrame:
+    """rows with `sampled`: whether key (double, no nulls) is among the k largest; exactly k of them, or all rows if there are fewer.
+
+    The key becomes a number of 62 bits that orders as it does. Rows equal in all bits are ordered by a hash of doc_id, and rows that are equal in that, too, by a number of their own.
+    """
+    numbered = rows.withColumn("_a", _ordered_bits(key)).withColumn("_b", F.shiftrightunsigned(F.xxhash64("doc_id"), 1)).withColumn("_c", F.monotonically_increasing_id())
+    rows = written(numbered, "quality-keys")  # the numbers stay as they are written
+    plain = rows.drop("_a", "_b", "_c")
+    if k <= 0 or k >= rows.count():
+        return plain.withColumn("sampled", F.lit(k > 0))
+    sampled, equal, left, inside = F.lit(False), F.lit(True), k, rows
+    for column in ("_a", "_b", "_c"):
+        value, above, n = _nth(inside, column, left, digits)
+        sampled |= equal & (F.col(column) > value)
+        equal &= F.col(column) == value
+        left -= above
+        if n == left:
+            break
+        inside = inside.filter(F.col(column) == value)
+    return rows.withColumn("sampled", sampled | equal).drop("_a", "_b", "_c")
 
 
 def _ordered_bits(key: str) -> Column:
@@ -189,13 +204,13 @@ def _ordered_bits(key: str) -> Column:
     return ((bounded + F.lit(2.0**20)) * F.lit(2.0**40)).cast("long")
 
 
-def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.5, tau: float = 0.05, seed: int = 5, model: Ratio | None = None) -> DataFrame:
-    """doc_id, weight, keep, gumbel_key, sampled for every row of docs (doc_id, text)."""
+def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.5, temperature: float = 1.0, seed: int = 5, model: Ratio | None = None) -> DataFrame:
+    """doc_id, weight, log_weight, keep, gumbel_key, sampled for every row of docs (doc_id, text)."""
     model = model or fit(docs, labels)
     weighed = weigh(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), model, ["doc_id"])
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) + 0.5) / F.lit(2.0**53)
-    key = F.coalesce(F.col("weight") / tau, F.lit(-1e4)) - F.log(-F.log(uniform))
+    key = F.coalesce(F.col("log_weight") / temperature, F.lit(-1e5)) - F.log(-F.log(uniform))
     rows = weighed.withColumn("gumbel_key", key).withColumn("keep", F.coalesce(F.col("weight") >= model.threshold, F.lit(False)))
     rows = written(rows, "quality-weights")
     out = gumbel_top(rows, "gumbel_key", round(fraction * rows.count()))
-    return out.select("doc_id", "weight", "keep", "gumbel_key", "sampled")
+    return out.select("doc_id", "weight", "log_weight", "keep", "gumbel_key", "sampled")

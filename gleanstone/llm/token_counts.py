@@ -10,13 +10,14 @@ of the two sorted lists attributes each token to a section. A token whose span c
 A separator belongs to the section before it. Tokens of no section do not exist: sections cover the text. The counts of a
 document's sections add up to its number of tokens.
 
-Defined results: null fields have no section, empty fields have one without characters and without tokens; a document without any text has no rows; repeated rows
+Defined results: very long texts and runs of white space are encoded whole; null fields have no section, empty fields have one without characters and without tokens; a document without any text has no rows; repeated rows
 get rows each; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ from .storage import given_id, held_id, kept_in_worker, small_batches
 RULES = ("start", "most")
 SEPARATOR = "\n"
 
+
 def encoder(path: str, pattern: str) -> tuple:
     """A tiktoken encoding and the byte length of each token; one for a worker process."""
 
@@ -44,10 +46,25 @@ def encoder(path: str, pattern: str) -> tuple:
     return kept_in_worker(("token-spans", path, pattern), made)
 
 
+#: Runs of white space that are too long for the library's pattern matcher, and the texts between them.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def token_ids(text: str, path: str, pattern: str) -> np.ndarray:
+    """The ids of a whole text. A long run of white space is a match of the pattern by itself, but for its last character if more text follows (as `\\s+(?!\\S)` has it)."""
+    own, _ = encoder(path, pattern)
+    out, at = [], 0
+    for run in LONG_RUN.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        out += [own.encode_to_numpy(text[at : run.start()], disallowed_special=()), np.array(own._encode_single_piece(text[run.start() : stop]), np.uint32)]
+        at = stop
+    return np.concatenate([*out, own.encode_to_numpy(text[at:], disallowed_special=())]).astype(np.int64)
+
+
 def token_spans(text: str, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """The first character of each token, and the one behind its last."""
-    own, size = encoder(path, pattern)
-    ids = np.asarray(own.encode_to_numpy(text, disallowed_special=()), np.int64)
+    _, size = encoder(path, pattern)
+    ids = token_ids(text, path, pattern)
     stop = np.cumsum(size[ids])
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     char = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte

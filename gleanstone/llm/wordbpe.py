@@ -37,7 +37,7 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep = keep
         self.memory: dict[str | bytes, bytes] = {}
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
@@ -87,7 +87,11 @@ class WordBpe:
         return UNIT.findall(text) if ODD.search(text) else text.split()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Of each text, its ids as little-endian unsigned 32-bit integers."""
+        """Of each text, its ids as little-endian unsigned 32-bit integers. A text that spells an added token of the file goes to the library whole."""
+        whole = {i: self._one(t) for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        if whole:
+            rest = iter(self.ids([t for i, t in enumerate(texts) if i not in whole]))
+            return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
         units = [self.cut(t) for t in texts]
         new = set(chain.from_iterable(units)).difference(self.memory)
         if len(self.memory) + len(new) > self.keep:

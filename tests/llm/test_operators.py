@@ -269,8 +269,10 @@ def test_fingerprints_of_texts_outside_the_lexicon(spark):
 
 def test_next_rows_over_many_buckets(spark):
     ids = random.Random(1).sample(range(10**6), 2500)
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").withColumn("own", F.lit(1))
-    got = {r["doc_id"]: r["next_text"] for r in fingerprint.with_next(df, "own", per_bucket=100).collect()}
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    rows_ = fingerprint.with_next(df, "own", F.length("text"), per_range=100).collect()
+    assert all(r["own"] == len(r["text"]) and r["next_own"] == len(r["next_text"]) for r in rows_)
+    got = {r["doc_id"]: r["next_text"] for r in rows_}
     order = sorted(ids)
     assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
 
@@ -318,14 +320,14 @@ def test_packing(odd, none):
 
 
 def test_media(odd, none):
-    got = media.media_digests(media.media_table(odd)).toPandas()
+    got = media.media_documents(odd).toPandas()
     assert len(got) == odd.count()
     texts = {r["doc_id"]: r["text"] for r in odd.collect()}
     for r in got.dropna(subset=["doc_id"]).itertuples():
         raw = (texts[int(r.doc_id)] or "").encode()
         full = raw.ljust(max(576, -(-len(raw) // 576) * 576), b"\xff")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), sha(full), zlib.crc32(full[-32:]))
-    assert media.media_digests(media.media_table(none)).count() == 0
+    assert media.media_documents(none).count() == 0
 
 
 def test_decoders(spark):
