@@ -4,31 +4,57 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import CHUNKS, conform, struct
 
 
-def latest(rows: DataFrame, key: str = "chunk_id", order: str = "seq") -> DataFrame:
+#: What orders the rows of a batch: their own number, then source and place in it.
+BATCH_ORDER = ("seq", "repo", "path", "source_url", "chunk_index")
+RANGES = 256
+
+
+def latest(rows: DataFrame, key: str = "chunk_id", order: str | list[str] = "seq") -> DataFrame:
     """The last row of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
+    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in ([order] if isinstance(order, str) else order)])
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def numbered(rows: DataFrame, order: list[str], key: str, start: Column | int = 0, name: str = "seq") -> DataFrame:
+    """rows with `name`: start, start + 1, ... in the order of `order` and key (nulls first), without one task that sorts everything.
+
+    The rows with the smallest hashes of their keys, 2,047 at most, give the ends of 256 ranges; each range is numbered by itself, from the count of the ranges before it.
+    The ends are values in the plan, so it gives the same numbers whenever it is evaluated.
+    """
+    by = [*dict.fromkeys([*order, key])]
+    place = F.struct(*[F.col(c) for c in by])
+    some = rows.select(*by).orderBy(F.xxhash64(F.col(key)), *by).limit(RANGES * 8 - 1).orderBy(*by)
+    ends = some.select(F.to_json(place).alias("v")).collect()[7::8]  # 255 at most
+    listed = F.from_json(F.lit("[" + ",".join(r["v"] for r in ends) + "]"), T.ArrayType(rows.select(*by).schema))
+    dealt = rows.withColumn("_range", F.size(F.filter(listed, lambda e: e <= place)))
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    begins = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_begin"))  # 256 rows
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1
+    out = dealt.withColumn("_nth", nth).join(F.broadcast(begins), "_range")
+    return out.withColumn(name, (start if isinstance(start, Column) else F.lit(start)) + F.col("_begin") + F.col("_nth")).drop("_range", "_nth", "_begin")
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """old with the rows of new put in: replaced rows keep their seq, new ones follow the last."""
-    fresh = latest(new.withColumn("seq", F.coalesce("seq", F.lit(0)) if "seq" in new.columns else F.lit(0)), key)
-    known = old.select(key, F.col("seq").alias("_seq"))
-    top = old.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_top"))
-    joined = fresh.join(known, key, "left")
-    salt = F.pmod(F.xxhash64(key), F.lit(256))
-    unknown = joined.filter("_seq is null").withColumn("_salt", salt)
-    starts = unknown.groupBy("_salt").agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.select("_salt", (F.sum("_n").over(Window.orderBy("_salt")) - F.col("_n")).alias("_start"))  # 256 rows
-    nth = F.row_number().over(Window.partitionBy("_salt").orderBy("seq", key))
-    added = unknown.withColumn("_nth", nth).join(F.broadcast(starts), "_salt").join(F.broadcast(top)).withColumn("seq", F.col("_top") + F.col("_start") + F.col("_nth"))
+    """old with the rows of new put in: replaced rows keep their seq, new ones follow the last in the order of BATCH_ORDER, as far as new has those columns.
+
+    Of rows of new with one key, the last counts, in its own place.
+    """
+    order = [c for c in BATCH_ORDER if c in new.columns]
+    fresh = latest(new, key, order) if order else new.dropDuplicates([key])
+    if "seq" not in fresh.columns:
+        fresh = fresh.withColumn("seq", F.lit(None).cast("long"))
+    joined = fresh.join(old.select(key, F.col("seq").alias("_seq")), key, "left")
     replaced = joined.filter("_seq is not null").withColumn("seq", F.col("_seq"))
+    top = old.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("_top"))
+    added = joined.filter("_seq is null").join(F.broadcast(top))
+    added = numbered(added, order, key, F.col("_top"))
     kept = old.join(fresh.select(key), key, "left_anti")
     return kept.unionByName(replaced.select(old.columns)).unionByName(added.select(old.columns))
 
@@ -45,7 +71,11 @@ def deleted(rows: DataFrame, column: str, value) -> tuple[DataFrame, DataFrame]:
 
 
 class ChunkStore:
-    """A chunk table as Parquet versions below a folder; a pointer file names the current one, so readers never see half a write."""
+    """A chunk table as Parquet versions below a folder. Numbered pointer files name the versions; the highest is the current one.
+
+    A pointer appears by one rename after its version is whole, and none is taken away before the next is there: readers see a whole version at any time, and a writer that dies leaves the last one.
+    The version before the current one stays for readers that began with it; older ones go with the next write. One writer at a time: a second one that took the same number raises an error.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -55,26 +85,38 @@ class ChunkStore:
         path = jvm.org.apache.hadoop.fs.Path(self.folder)
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self) -> str | None:
+    def _pointers(self) -> list[int]:
+        """The numbers of all pointers, ascending."""
         jvm, fs = self._fs()
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT")):
-            return None
-        return self.spark.read.text(f"{self.folder}/CURRENT").first()[0]
+        top = jvm.org.apache.hadoop.fs.Path(self.folder)
+        names = [f.getPath().getName() for f in fs.listStatus(top)] if fs.exists(top) else []
+        return sorted(int(n.removeprefix("current-")) for n in names if n.startswith("current-"))
+
+    def _version(self, n: int) -> str:
+        return self.spark.read.text(f"{self.folder}/current-{n:012d}").first()[0]
 
     def read(self) -> DataFrame:
-        now = self._current()
-        return self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/{now}") if now else self.spark.createDataFrame([], CHUNKS)
+        there = self._pointers()
+        return self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/{self._version(there[-1])}") if there else self.spark.createDataFrame([], CHUNKS)
 
     def write(self, rows: DataFrame) -> None:
+        before = self._pointers()
+        name = f"v-{uuid.uuid4().hex}"
+        conform(rows).write.parquet(f"{self.folder}/{name}")
+        self._point(before[-1] + 1 if before else 0, name)
+        jvm, fs = self._fs()
+        for n in before[:-1]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self._version(n)}"), True)
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/current-{n:012d}"), False)
+
+    def _point(self, n: int, name: str) -> None:
         jvm, fs = self._fs()
-        Path = jvm.org.apache.hadoop.fs.Path
-        name, before = f"v-{uuid.uuid4().hex}", self._current()
-        conform(rows).write.partitionBy().parquet(f"{self.folder}/{name}")
-        self.spark.createDataFrame([(name,)], "v string").coalesce(1).write.text(f"{self.folder}/CURRENT-{name}")
-        fs.delete(Path(f"{self.folder}/CURRENT"), True)
-        fs.rename(Path(f"{self.folder}/CURRENT-{name}"), Path(f"{self.folder}/CURRENT"))
-        if before:
-            fs.delete(Path(f"{self.folder}/{before}"), True)
+        begun, done = (jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{p}") for p in (f"next-{name}", f"current-{n:012d}"))
+        out = fs.create(begun)
+        out.write(bytearray(name.encode()))
+        out.close()
+        if fs.exists(done) or not fs.rename(begun, done):
+            raise RuntimeError(f"another writer made version {n} of {self.folder}")
 
     def upsert(self, rows: DataFrame) -> int:
         rows = conform(rows)

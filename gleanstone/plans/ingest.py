@@ -21,7 +21,7 @@ def docs_chunks(spark: SparkSession, path: str) -> DataFrame:
     return conform(markdown.chunk_pages(markdown.split_pages(dumps, "dump")).withColumn("indexed_at", F.current_timestamp()))
 
 
-def example_chunks(files: DataFrame, sha: str, package: str = "pipecat-ai", framework: str | None = None) -> DataFrame:
+def example_chunks(files: DataFrame, sha: str, package: str, framework: str | None = None) -> DataFrame:
     """Chunk rows of example code with tags, pins, domain, mode and readme of their example. framework: the version for examples without a pin of their own."""
     dirs = code.example_dirs(files)
     entries = taxonomy.entries(files, dirs)
@@ -40,7 +40,7 @@ def example_chunks(files: DataFrame, sha: str, package: str = "pipecat-ai", fram
     return conform(out)
 
 
-def source_chunks(files: DataFrame, sha: str, types: DataFrame | None = None, package: str = "pipecat") -> DataFrame:
+def source_chunks(files: DataFrame, sha: str, package: str, types: DataFrame | None = None) -> DataFrame:
     """Chunk rows of the symbols of Python, stub, TypeScript and RST files."""
     found = code.source_files(files)
     python = found.filter(F.col("kind").isin("python", "stub")).withColumn("module_path", module_path(F.col("path")))

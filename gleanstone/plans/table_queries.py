@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import aggregates, deprecation, evidence, fusion, search, store
-from ..sources import markdown
+from ..schema import conform
+from ..sources import code, markdown
+from . import refresh, tools
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -223,7 +225,20 @@ def _(spark, d):
     return fusion.interleave(rows, 50).select("query_id", "concept", "chunk_id", "place")
 
 
-@query("win_diversity")
+#: The greedy order of diversify(), for items i (query_id, chunk_id, repo, path, score, src_order): `ranked`.
+GREEDY = """o AS (SELECT query_id, list(struct_pack(id := chunk_id, r := coalesce(repo, ''), p := coalesce(path, '')) ORDER BY score DESC, src_order) AS rest FROM i GROUP BY query_id),
+  g AS (SELECT query_id, rest, rest[1:0] AS done FROM o UNION ALL SELECT query_id, list_filter(rest, lambda x: x.id <> pick.id), list_append(done, pick) FROM (
+    SELECT *, coalesce(list_filter(rest, lambda x: NOT (len(done) >= 3 AND ((done[-1].r = x.r AND done[-2].r = x.r AND done[-3].r = x.r) OR (done[-1].p = x.p AND done[-2].p = x.p AND done[-3].p = x.p))))[1], rest[1]) AS pick
+    FROM g WHERE len(rest) > 0)),
+  ranked AS (SELECT query_id, unnest(list_transform(done, lambda x: x.id)) AS chunk_id, generate_subscripts(done, 1) AS rank FROM g WHERE len(rest) = 0)"""
+
+
+@query(
+    "win_diversity",
+    f"""WITH RECURSIVE {CHUNKS}, n AS (SELECT content_type AS query_id, chunk_id, repo, path, row_number() OVER (PARTITION BY content_type ORDER BY n_chars DESC, seq) AS src_order FROM c QUALIFY src_order <= 100),
+    i AS (SELECT query_id, chunk_id, repo, path, 1.0::DOUBLE / src_order AS score, src_order FROM n), {GREEDY}
+    SELECT query_id, chunk_id, repo, path, score, src_order, rank FROM i JOIN ranked USING (query_id, chunk_id)""",
+)
 def _(spark, d):
     w = Window.partitionBy("content_type").orderBy(F.desc("n_chars"), "seq")
     rows = chunks(spark, d).withColumn("src_order", F.row_number().over(w)).filter("src_order <= 100")  # what two searches return at most
@@ -391,9 +406,9 @@ def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(scoring.sigmoid(F.col("l_discount") * 100 - 5), 9).alias("p"))
 
 
-@query("set_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("set_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def _(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, d, "customer").join(table(spark, d, "orders").filter("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("set_intersect_except", "(SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 2")
@@ -405,13 +420,14 @@ def _(spark, d):
 @query(
     "snk_upsert",
     """WITH o AS (SELECT p_partkey AS k, p_retailprice AS v FROM part WHERE p_size <= 30), n AS (SELECT p_partkey AS k, p_retailprice * 2 AS v FROM part WHERE p_size >= 20)
-    SELECT k AS chunk_id, v FROM n UNION ALL SELECT k, v FROM o WHERE k NOT IN (SELECT k FROM n)""",
+    SELECT k AS chunk_id, v, CASE WHEN k IN (SELECT k FROM o) THEN k ELSE (SELECT max(k) FROM o) + row_number() OVER (PARTITION BY k IN (SELECT k FROM o) ORDER BY k) END AS seq FROM n
+    UNION ALL SELECT k, v, k FROM o WHERE k NOT IN (SELECT k FROM n)""",
 )
 def _(spark, d):
     p = table(spark, d, "part")
     old = p.filter("p_size <= 30").select(F.col("p_partkey").alias("chunk_id"), F.col("p_retailprice").alias("v"), F.col("p_partkey").alias("seq"))
     new = p.filter("p_size >= 20").select(F.col("p_partkey").alias("chunk_id"), (F.col("p_retailprice") * 2).alias("v"))
-    return store.upserted(old, new).select("chunk_id", "v")
+    return store.upserted(old, new).select("chunk_id", "v", "seq")
 
 
 @query("snk_delete", f"WITH {CHUNKS} SELECT 'kept' AS what, count(*) AS n FROM c WHERE repo IS DISTINCT FROM 'src3' UNION ALL SELECT 'gone', count(*) FROM c WHERE repo = 'src3'")
@@ -433,15 +449,9 @@ def _(spark, d):
     FROM customer FULL JOIN o ON c_custkey = k""",
 )
 def _(spark, d):
-    stored = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg((F.count(F.lit(1)) % 25).alias("old"))
-    now = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("new"))
-    return changes(stored, now).select("k", "status")
-
-
-def changes(stored: DataFrame, now: DataFrame, key: str = "k") -> DataFrame:
-    """key, status of two fingerprint tables (key, old) and (key, new)."""
-    status = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "gone").when(F.col("old") == F.col("new"), "same").otherwise("changed")
-    return stored.join(now, key, "full_outer").select(key, status.alias("status"))
+    stored = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg((F.count(F.lit(1)) % 25).cast("string").alias("fingerprint"))
+    now = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("string").alias("fingerprint"))
+    return refresh.plan_changes(stored, now, "k").select("k", "status")
 
 
 @query(
@@ -449,8 +459,10 @@ def changes(stored: DataFrame, now: DataFrame, key: str = "k") -> DataFrame:
     """WITH m(event_type, related) AS (VALUES ('click', 'A|B'), ('view', 'C')) SELECT event_id, event_type, related FROM events LEFT JOIN m USING (event_type)""",
 )
 def _(spark, d):
-    types = spark.createDataFrame([("click", "A|B"), ("view", "C")], "event_type string, related string")
-    return table(spark, d, "events").join(F.broadcast(types), "event_type", "left").select("event_id", "event_type", "related")
+    types = spark.createDataFrame([("click", ["A", "B"]), ("view", ["C"])], "method_name string, related_types array<string>")
+    said = F.lit("x")
+    symbols = table(spark, d, "events").select("event_id", F.col("event_type").alias("method_name"), *[said.alias(c) for c in ("repo", "path", "module_path", "class_name", "chunk_type")], F.lit(1).alias("line_start"))
+    return code.symbol_chunks(symbols, types=types).select("event_id", F.col("method_name").alias("event_type"), F.array_join("related_types", "|").alias("related"))
 
 
 @query(
@@ -512,3 +524,87 @@ def _(spark, d):
     )
     queries = spark.createDataFrame([("doc", "how to run a thing"), ("none", "nothing here at all")], "query_id string, query string")
     return evidence.assemble(queries, results, {"content_type": "doc"})
+
+
+def _hub(spark: SparkSession, d: str) -> tools.Hub:
+    """A hub over the documents; the embedding of number n belongs to document n, and every question has that of number 0."""
+    e = table(spark, d, "embeddings")
+    rows = conform(chunks(spark, d).join(e.select(F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding"), "chunk_id", "left"))
+    asked = list(e.filter("vec_id = 0").first()["embedding"])
+    return tools.Hub(rows, search.build_text_index(rows, stems=False), embed=lambda _: asked)
+
+
+def _hybrid_sql(words: str, kind: str, limit: int) -> str:
+    """Both searches, fusion, adjustment and diversity for a question of plain words: c, i and ranked."""
+    asked = ", ".join(f"('{w}')" for w in words.split())
+    return rf"""WITH RECURSIVE {CHUNKS}, e AS (SELECT 'd' || vec_id AS chunk_id, embedding::DOUBLE[] AS v FROM embeddings), z AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0),
+    v AS (SELECT chunk_id, row_number() OVER (ORDER BY list_cosine_similarity(v, qv) DESC, chunk_id) AS r FROM c JOIN e USING (chunk_id), z WHERE content_type = '{kind}' QUALIFY r <= {limit}),
+    t AS (SELECT chunk_id, regexp_extract_all(strip_accents(lower(content)), '[\p{{L}}\p{{N}}]+') AS w FROM c),
+    l AS (SELECT chunk_id, len(w) AS dl FROM t), n AS (SELECT count(*) AS docs, avg(dl) AS mean FROM l), q(term) AS (VALUES {asked}),
+    x AS (SELECT chunk_id, unnest(w) AS term FROM t), tf AS (SELECT term, chunk_id, count(*) AS tf FROM x JOIN q USING (term) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+    s AS (SELECT chunk_id, count(*) AS hits, sum((CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - df + 0.5) / (df + 0.5)) END)
+      * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM tf JOIN df USING (term) JOIN l USING (chunk_id), n GROUP BY ALL),
+    b AS (SELECT chunk_id, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) AS r FROM s JOIN c USING (chunk_id) WHERE hits = (SELECT count(*) FROM q) AND content_type = '{kind}' QUALIFY r <= {limit}),
+    u AS (SELECT chunk_id, 0 AS l, r FROM v UNION ALL SELECT chunk_id, 1, r FROM b),
+    f AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + r) / (2.0::DOUBLE / 61)) AS rrf, count(*) AS n_lists, min(l * 1000000 + r) AS src_order FROM u GROUP BY chunk_id),
+    i AS (SELECT 0 AS query_id, chunk_id, repo, path, greatest(0, least(1, rrf + CASE WHEN n_lists > 1 THEN 0.1::DOUBLE ELSE 0 END)) AS score, src_order FROM f JOIN c USING (chunk_id)),
+    {GREEDY}, top AS (SELECT rank, chunk_id, score, content, c.repo, c.path, c.commit_sha, c.language, c.capability_tags FROM ranked JOIN i USING (chunk_id) JOIN c USING (chunk_id) WHERE rank <= {limit})"""
+
+
+@query("api_search_docs", _hybrid_sql("that with", "doc", 10) + " SELECT rank, chunk_id AS doc_id, path AS title, substr(content, 1, 300) AS snippet, commit_sha, round(score, 9) AS score FROM top")
+def _(spark, d):
+    return _hub(spark, d).search_docs("that with").hits.select("rank", "doc_id", "title", "snippet", "citation.commit_sha", F.round("score", 9).alias("score"))
+
+
+@query(
+    "api_search_examples",
+    _hybrid_sql("les", "code", 20) + " SELECT rank, chunk_id AS example_id, substr(content, 1, 200) AS summary, coalesce(repo, '') AS repo, path, array_to_string(capability_tags, '|') AS tags, round(score, 9) AS score FROM top",
+)
+def _(spark, d):
+    hits = _hub(spark, d).search_examples("les", limit=20).hits
+    return hits.select("rank", "example_id", "summary", "repo", "path", F.array_join("capability_tags", "|").alias("tags"), F.round("score", 9).alias("score"))
+
+
+@query("api_search_api", _hybrid_sql("die", "source", 10) + " SELECT rank, chunk_id, 'unknown' AS chunk_type, substr(content, 1, 500) AS snippet, round(score, 9) AS score FROM top")
+def _(spark, d):
+    return _hub(spark, d).search_api("die").hits.select("rank", "chunk_id", "chunk_type", "snippet", F.round("score", 9).alias("score"))
+
+
+@query(
+    "api_code_snippet",
+    _hybrid_sql("les", "code", 5)
+    + " SELECT rank, array_to_string((string_split(content, chr(10)))[1:40], chr(10)) AS content, path, 1 AS line_start, least(40, len(string_split(regexp_replace(content, '\\n$', ''), chr(10))))::INT AS line_end, language FROM top",
+)
+def _(spark, d):
+    return _hub(spark, d).get_code_snippet(intent="les", max_lines=40).hits.select("rank", "content", "path", "line_start", F.col("line_end").cast("int").alias("line_end"), "language")
+
+
+@query("api_get_example", f"WITH {CHUNKS} SELECT 'd7' AS key, path, content, language, repo, commit_sha, array_to_string(capability_tags, '|') AS tags, 1.0::DOUBLE AS confidence FROM c WHERE chunk_id = 'd7'")
+def _(spark, d):
+    one = _hub(spark, d).get_example("d7").withColumn("f", F.get("files", F.lit(0)))
+    return one.select("key", "f.path", "f.content", "f.language", "repo", "commit_sha", F.array_join("capability_tags", "|").alias("tags"), F.col("evidence.confidence").alias("confidence"))
+
+
+@query(
+    "api_get_doc",
+    """WITH p AS (SELECT * FROM conversations WHERE conv_id = (SELECT max(conv_id) FROM conversations)) SELECT 't' || conv_id || '-' || min(turn) AS doc_id, '/' || conv_id AS title,
+    string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content, string_agg(role, '|' ORDER BY turn) AS sections, 1.0::DOUBLE AS confidence FROM p GROUP BY conv_id""",
+)
+def _(spark, d):
+    t = table(spark, d, "conversations")
+    path = F.concat(F.lit("/"), F.col("conv_id").cast("string"))
+    turns = t.select(F.concat_ws("-", F.concat(F.lit("t"), F.col("conv_id").cast("string")), F.col("turn").cast("string")).alias("chunk_id"), F.col("text").alias("content"), F.lit("doc").alias("content_type"), path.alias("path"), F.col("role").alias("section"), F.col("turn").cast("int").alias("chunk_index"))
+    rows = store.upserted(conform(turns).limit(0), conform(turns))
+    last = t.agg(F.max("conv_id")).first()[0]
+    page = tools.Hub(rows, None).get_doc(path=f"/{last}")
+    return page.select("doc_id", "title", "content", F.array_join("sections", "|").alias("sections"), F.col("evidence.confidence").alias("confidence"))
+
+
+@query(
+    "api_hub_status",
+    f"""WITH {CHUNKS} SELECT 'count:' || content_type AS name, count(*)::VARCHAR AS value FROM c GROUP BY content_type UNION ALL SELECT 'total', count(*)::VARCHAR FROM c
+    UNION ALL SELECT 'commits', count(DISTINCT commit_sha)::VARCHAR FROM c UNION ALL SELECT 'repo:' || repo, count(*)::VARCHAR FROM c WHERE repo IS NOT NULL GROUP BY repo
+    UNION ALL SELECT 'repo:docs', count(*)::VARCHAR FROM c WHERE content_type = 'doc' HAVING count(*) > 0 UNION ALL SELECT 'reranker', 'off'""",
+)
+def _(spark, d):
+    return _hub(spark, d).get_hub_status()

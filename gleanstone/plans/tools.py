@@ -157,13 +157,15 @@ class Hub:
         if not (doc_id and doc_id.strip()) and path is None:
             raise ValueError("doc_id or path is needed")
         if doc_id and doc_id.strip():
-            key, rows = doc_id, search.lookup(self.chunks, doc_id).withColumn("page", F.col("content"))
+            key, rows = doc_id, search.lookup(self.chunks, doc_id).withColumn("page", F.col("content")).withColumn("sections", F.array_compact(F.array("section")))
         else:
             key = path
             rows = search.filter_only(self.chunks, {"content_type": "doc", "path": path}, 200).filter(F.col("path") == path)
             whole = aggregates.reassembled(rows, "path").withColumnRenamed("content", "page")
+            names = F.array_sort(F.collect_list(F.when(F.col("section").isNotNull(), F.struct("seq", "section"))))
+            whole = whole.join(rows.groupBy("path").agg(F.transform(names, lambda s: s["section"]).alias("sections")), "path")  # 200 rows at most
             rows = rows.orderBy("seq").limit(1).join(F.broadcast(whole), "path")
-        found = rows.select("chunk_id", F.coalesce("title", "path").alias("title"), "page", "source_url", "indexed_at")
+        found = rows.select("chunk_id", F.coalesce("title", "path").alias("title"), "page", "source_url", "indexed_at", "sections")
         asked = self.spark.createDataFrame([(key,)], "key string")
         out = asked.join(F.broadcast(found), F.lit(True), "left")
         there = F.col("chunk_id").isNotNull()
@@ -173,7 +175,8 @@ class Hub:
             content = F.coalesce(part(content), content)
         return out.select(
             F.coalesce("chunk_id", "key").alias("doc_id"), F.coalesce("title", F.lit("Not Found")).alias("title"), content.alias("content"), F.coalesce("source_url", F.lit("")).alias("source_url"),
-            F.coalesce("indexed_at", F.timestamp_seconds(F.lit(0))).alias("indexed_at"), evidence.single_item(there, F.col("key"), "document").alias("evidence"),
+            F.coalesce("indexed_at", F.timestamp_seconds(F.lit(0))).alias("indexed_at"), F.coalesce("sections", F.array().cast("array<string>")).alias("sections"),
+            evidence.single_item(there, F.col("key"), "document").alias("evidence"),
         )
 
     def get_example(self, example_id: str, include_readme: bool = True) -> DataFrame:

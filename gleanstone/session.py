@@ -7,10 +7,23 @@ import os
 from pyspark.sql import SparkSession
 
 
+def _has_master(conf: dict[str, str]) -> bool:
+    """Whether a master comes from conf, a running session, spark-submit, the environment or the defaults file."""
+    named = ("PYSPARK_GATEWAY_PORT", "SPARK_MASTER", "MASTER", "SPARK_REMOTE")  # the first is set by spark-submit
+    if "spark.master" in conf or SparkSession.getActiveSession() or any(n in os.environ for n in named) or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
+        return True
+    folder = os.environ.get("SPARK_CONF_DIR") or os.path.join(os.environ.get("SPARK_HOME", ""), "conf")
+    try:
+        with open(os.path.join(folder, "spark-defaults.conf")) as f:
+            return any(line.split()[:1] == ["spark.master"] or line.startswith("spark.master=") for line in f)
+    except OSError:
+        return False
+
+
 def session(name: str = "gleanstone", cores: str | int = "*", partitions: int | None = None, **conf: str) -> SparkSession:
-    """Times are UTC; adaptive execution and runtime filters are on. On a cluster, the master and checkpoint folder come from its own configuration."""
+    """Times are UTC; adaptive execution and runtime filters are on. The master and checkpoint folder come from the cluster's own configuration; only where no master is configured is it local."""
     builder = SparkSession.builder.appName(name)
-    if "SPARK_MASTER" not in os.environ and "spark.master" not in conf:
+    if not _has_master(conf):
         builder = builder.master(f"local[{cores}]")
     settings = {
         "spark.sql.session.timeZone": "UTC",

@@ -17,35 +17,47 @@ from pyspark.sql import functions as F
 from ..functions.text import extension, hex_id, language
 
 MAX_FILE_BYTES = 512_000
-#: What counts as code, and folders that are never entered.
-CODE_EXTENSIONS = ("py", "ts", "tsx", "js", "jsx", "yaml", "yml", "toml", "json", "md", "sh")
-SKIPPED = (".git", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache", ".tox", "site-packages")
+#: What counts as code, folders that are never entered, and folders at the top that hold no examples.
+CODE_EXTENSIONS = ("py", "js", "ts", "jsx", "tsx", "json", "yaml", "yml", "toml")
+SKIPPED = ("__pycache__", ".git", "node_modules", ".venv", "venv", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", ".egg-info")
+NO_EXAMPLES = ("src", "lib", "docs", "doc", "tests", "test", "scripts", "tools", "ci", ".github", ".tox", ".nox", "assets", "static", "bin", "include", "man", "config", "deploy")
 CHARS_PER_TOKEN = 4
 
 
 def read_files(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
-    """repo, path (below root), length, content of all files below root; on a local file system, links and what lies behind them are left out.
+    """repo, path (below root), length, content of all files below root.
 
-    Spark's readers pass over names that begin with an underscore. Of those, the files named *.py or *.pyi (a package's own modules, few and small) are read through the file system's interface by the driver.
+    Paths are listed once, and links are neither followed nor read, whatever lies behind them. Files of a local root, which all executors must see, are read by the tasks. Those of any other
+    file system are read by Spark; as its readers pass over names that begin with an underscore, files named so (*.py and *.pyi up to MAX_FILE_BYTES, few) are read by the driver.
     """
+    local = re.sub(r"^file:/+", "/", root).rstrip("/") or "/"
+    out = _stored_files(spark, root) if "://" in local else _local_files(spark, local)
+    return out.select(F.lit(repo).alias("repo"), "path", "length", "content")
+
+
+FILES = "path string, length long, content string"
+
+
+def _local_files(spark: SparkSession, root: str) -> DataFrame:
+    paths = [(os.path.relpath(at, root),) for folder, _, names in os.walk(root) for name in names if os.path.isfile(at := os.path.join(folder, name)) and not os.path.islink(at)]  # os.walk enters no links
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                with open(os.open(os.path.join(root, path), os.O_RDONLY | os.O_NOFOLLOW), "rb") as f:
+                    raw = f.read()
+                yield pd.DataFrame({"path": [path], "length": [len(raw)], "content": [raw.decode("utf-8", "replace")]})
+
+    listed = spark.createDataFrame(paths, "path string")
+    return listed.repartition(max(1, min(len(paths) // 64 + 1, 4096))).mapInPandas(read, FILES)
+
+
+def _stored_files(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1]
-    inner = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), "^/*" + re.escape(base.lstrip("/")) + "/", "")
-    plain = files.select(inner.alias("path"), "length", F.decode("content", "UTF-8").alias("content"))
-    own = spark.createDataFrame(_underscored(spark, root, base.lstrip("/")), "path string, length long, content string")
-    both = plain.unionByName(own)
-    for link in _links(root):
-        both = both.filter(~((F.col("path") == link) | F.col("path").startswith(link + "/")))
-    return both.select(F.lit(repo).alias("repo"), "path", "length", "content")
-
-
-def _links(root: str) -> list[str]:
-    """Symbolic links below a local root."""
-    local = re.sub(r"^file:/+", "/", root)
-    if "://" in local:
-        return []
-    found = (os.path.join(folder, name) for folder, dirs, names in os.walk(local) for name in (*dirs, *names))
-    return [os.path.relpath(f, local) for f in found if os.path.islink(f)]
+    base = root.rstrip("/").split("://")[-1].partition("/")[2]
+    inner = F.regexp_replace(F.regexp_replace("path", r"^[A-Za-z0-9+.-]+:/+[^/]*/", "/"), "^/*" + re.escape(base) + "/*", "")
+    plain = files.select(inner.alias("path"), "length", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return plain.unionByName(spark.createDataFrame(_underscored(spark, root, base), FILES))
 
 
 def _underscored(spark: SparkSession, root: str, base: str) -> list[tuple[str, int, str]]:
@@ -79,17 +91,22 @@ def code_files(files: DataFrame, skip_roots: tuple[str, ...] = (), deep: bool =
 
 
 def example_dirs(files: DataFrame, repo: str = "repo") -> DataFrame:
-    """repo, dir: below examples/ its children with code of their own, else those children's children; examples/ itself if it holds code; without examples/, root folders with code, else the root."""
-    code = code_files(files).filter(extension(F.col("path")) == "py").select(repo, F.split("path", "/").alias("p"))
-    inside = code.filter(F.get("p", 0) == "examples")
-    flat = inside.filter(F.size("p") == 2).select(repo, F.lit("examples").alias("dir")).distinct()
-    direct = inside.filter(F.size("p") == 3).select(repo, F.concat_ws("/", F.slice("p", 1, 2)).alias("dir")).distinct()
-    deeper = inside.filter(F.size("p") > 3).select(repo, F.concat_ws("/", F.slice("p", 1, 2)).alias("top"), F.concat_ws("/", F.slice("p", 1, 3)).alias("dir")).distinct()
+    """repo, dir: the folders of examples, where code is any file of CODE_EXTENSIONS.
+
+    With examples/: its children that hold code, the children of those that hold none, and examples/ itself if it holds code. Without it: folders at the top that hold code, but for hidden ones and NO_EXAMPLES; if there is none, the root.
+    """
+    entered = lambda parts: ~F.arrays_overlap(parts, F.array(*[F.lit(s) for s in SKIPPED]))
+    rows = files.select(repo, F.split("path", "/").alias("p"), extension(F.col("path")).isin(*CODE_EXTENSIONS).alias("code"))
+    inside = rows.filter((F.get("p", F.lit(0)) == "examples") & (F.size("p") > 1)).filter(entered(F.slice("p", 2, 2)) | (F.size("p") == 2))
+    flat = inside.filter("code and size(p) = 2").select(repo, F.lit("examples").alias("dir")).distinct()
+    direct = inside.filter("code and size(p) = 3").select(repo, F.concat_ws("/", F.slice("p", 1, 2)).alias("dir")).distinct()
+    deeper = inside.filter("size(p) > 3").select(repo, F.concat_ws("/", F.slice("p", 1, 2)).alias("top"), F.concat_ws("/", F.slice("p", 1, 3)).alias("dir")).distinct()
     deeper = deeper.join(direct.select(repo, F.col("dir").alias("top")), [repo, "top"], "left_anti").select(repo, "dir")
-    with_examples = flat.unionByName(direct).unionByName(deeper)
-    roots = code.filter(F.size("p") > 1).select(repo, F.get("p", 0).alias("dir")).distinct().join(inside.select(repo).distinct(), repo, "left_anti")
-    none = files.select(repo).distinct().join(with_examples.select(repo).union(roots.select(repo)).distinct(), repo, "left_anti").select(repo, F.lit(".").alias("dir"))
-    return with_examples.unionByName(roots).unionByName(none)
+    whole = rows.filter((F.get("p", F.lit(0)) == "examples") & (F.size("p") > 1)).select(repo).distinct()
+    top = F.get("p", F.lit(0))
+    roots = rows.filter(F.col("code") & (F.size("p") == 2) & ~top.startswith(".") & ~top.isin(*SKIPPED, *NO_EXAMPLES)).select(repo, top.alias("dir")).distinct().join(whole, repo, "left_anti")
+    none = files.select(repo).distinct().join(whole.union(roots.select(repo)).distinct(), repo, "left_anti").select(repo, F.lit(".").alias("dir"))
+    return flat.unionByName(direct).unionByName(deeper).unionByName(roots).unionByName(none)
 
 
 def source_files(files: DataFrame) -> DataFrame:
@@ -250,7 +267,7 @@ def _exports(tree: ast.Module) -> list[str]:
     return []
 
 
-def python_symbols(source: str, module: str, package: str = "pipecat", stub: bool = False, least_lines: int = 3) -> list[dict]:
+def python_symbols(source: str, module: str, package: str, stub: bool = False, least_lines: int = 3) -> list[dict]:
     """Rows for a module: an overview, each class, and each method and function of least_lines or more (all, in a stub). Raises SyntaxError."""
     if not source.strip():
         return []
@@ -303,7 +320,7 @@ SYMBOL_COLUMNS = (
 )
 
 
-def parse_python(files: DataFrame, package: str = "pipecat") -> DataFrame:
+def parse_python(files: DataFrame, package: str) -> DataFrame:
     """Rows of python_symbols for files (repo, path, module_path, content); a file that does not parse gives one row with `error`."""
     names = [c.split()[0] for c in SYMBOL_COLUMNS.split(", ")]
 

@@ -148,6 +148,42 @@ def test_store(spark, tmp_path):
     assert s.read().count() == 0
 
 
+def test_new_rows_follow_in_order_of_the_batch(spark, tmp_path):
+    s = store.ChunkStore(spark, f"file://{tmp_path}/store")
+    pages = spark.createDataFrame([(f"https://d/p{p}", "\n".join(f"## H{h}\n\ntext {h}" for h in range(12))) for p in range(3)], "source_url string, body string")
+    from gleanstone.sources import markdown
+
+    rows = conform(markdown.chunk_pages(pages))
+    s.upsert(rows.repartition(5))
+    got = s.read().orderBy("seq").select("path", "chunk_index", "seq").collect()
+    assert [tuple(r) for r in got] == [(f"/p{p}", h, p * 12 + h) for p in range(3) for h in range(12)]
+    page = tools.Hub.of(s.read()).get_doc(path="/p1").first()
+    assert page["sections"] == [f"H{h}" for h in range(12)] and page["content"].index("text 3") < page["content"].index("text 11")
+    many = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("chunk_id"), F.col("id").alias("seq"), F.lit("c").alias("content"))
+    s.upsert(many)
+    tail = s.read().filter("chunk_id like 'k%'").selectExpr("seq - 36 as n", "cast(substr(chunk_id, 2) as long) as k")
+    assert tail.filter("n <> k").count() == 0 and tail.count() == 5000
+
+
+def test_a_writer_that_dies_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    s = store.ChunkStore(spark, f"file://{tmp_path}/store")
+    s.upsert(chunk_rows(spark))
+    reader = s.read()
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(store.ChunkStore, "_point", dies)
+        with pytest.raises(KeyboardInterrupt):
+            s.delete("content_type", "code")
+    assert s.read().count() == 36
+    assert s.delete("content_type", "code") == 12 and s.read().count() == 24
+    assert reader.count() == 36  # the version before stays for readers that began with it
+    with pytest.raises(RuntimeError):
+        s._point(s._pointers()[-1], "v-other")
+
+
 def test_key_values(spark):
     table = spark.createDataFrame([("a", "1", NOW)], store.KEY_VALUES)
     later = spark.createDataFrame([("a", "2", datetime(2027, 1, 1, tzinfo=timezone.utc)), ("b", "3", NOW)], store.KEY_VALUES)

@@ -89,7 +89,7 @@ def top(A):
 
 
 def test_python_symbols():
-    rows = code.python_symbols(SOURCE, "pkg.mod")
+    rows = code.python_symbols(SOURCE, "pkg.mod", "pipecat")
     kinds = [(r["chunk_type"], r.get("class_name"), r.get("method_name")) for r in rows]
     assert kinds == [("module_overview", None, None), ("class_overview", "K", None), ("method", "K", "run"), ("function", None, "top")]
     overview, cls, run, top = rows
@@ -98,12 +98,12 @@ def test_python_symbols():
     assert run["yields"] == ["Bee"] and run["calls"] == ["go", "K.make", "super().run"]
     assert run["imports"] == ["from pipecat.frames import A", "from pipecat.frames import B as Bee", "from . import near"]
     assert top["imports"] == [] and top["calls"] == ["m"]
-    assert any(r.get("method_name") == "tiny" for r in code.python_symbols(SOURCE, "m", stub=True)) and code.python_symbols(" ", "m") == []
+    assert any(r.get("method_name") == "tiny" for r in code.python_symbols(SOURCE, "m", "pipecat", stub=True)) and code.python_symbols(" ", "m", "pipecat") == []
 
 
 def test_files_that_do_not_parse_are_rows(spark):
     files = spark.createDataFrame([("r", "src/p/a.py", "p.a", "def f(:"), ("r", "src/p/b.py", "p.b", SOURCE)], "repo string, path string, module_path string, content string")
-    rows = code.parse_python(files)
+    rows = code.parse_python(files, "pipecat")
     assert rows.filter("error like 'SyntaxError%'").count() == 1
     types = spark.createDataFrame([("run", ["T"])], "method_name string, related_types array<string>")
     chunks = code.symbol_chunks(rows, "sha", types)
@@ -138,15 +138,38 @@ def test_discovery(spark, tmp_path):
     assert taxonomy.by_tag(taxonomy.entries(files, dirs), "daily").count() == 1
     chunks = code.chunk_files(files.filter("path = 'examples/flat/main.py'"), "sha").first()
     assert (chunks["line_start"], chunks["line_end"], chunks["language"]) == (1, 2, "python")
-    rows = {r["path"]: r for r in ingest.example_chunks(files, "sha", framework="1.0").filter("path like 'examples/%py'").collect()}
+    rows = {r["path"]: r for r in ingest.example_chunks(files, "sha", "pipecat-ai", framework="1.0").filter("path like 'examples/%py'").collect()}
     assert rows["examples/flat/main.py"]["capability_tags"] == ["daily", "bot"] and rows["examples/flat/main.py"]["execution_mode"] == "cloud" and rows["examples/flat/main.py"]["pipeline_version_pin"] == "1.0"
     assert rows["examples/topic/one/bot.py"]["readme_content"].startswith("# T")
-    kinds = {r["chunk_type"] for r in ingest.source_chunks(files, "sha").collect()}
+    kinds = {r["chunk_type"] for r in ingest.source_chunks(files, "sha", "pipecat").collect()}
     assert kinds == {"module_overview"}
     (tmp_path / "dump.txt").write_text("# A\nSource: https://d/a\nbody")
     assert ingest.docs_chunks(spark, f"file://{tmp_path}/dump.txt").first()["path"] == "/a"
 
 
+def test_example_folders_of_all_code_kinds(spark):
+    listed = {
+        "a": ["examples/web/app.ts", "examples/topic/one/bot.js", "examples/topic/two/notes.md", "examples/node_modules/x/y.js", "examples/top.yaml"],
+        "b": ["bot/main.tsx", "docs/conf.py", ".hidden/x.py", "deep/in/x.py", "README.md"],
+        "c": ["src/pkg/m.py"],
+        "d": ["examples/readme.md", "bot/main.py"],
+    }
+    files = spark.createDataFrame([(r, p) for r, ps in listed.items() for p in ps], "repo string, path string")
+    got = sorted(tuple(r) for r in code.example_dirs(files).collect())
+    assert got == [("a", "examples"), ("a", "examples/topic/one"), ("a", "examples/topic/two"), ("a", "examples/web"), ("b", "bot"), ("c", ".")]
+    kinds = spark.createDataFrame([("r", p, 1) for p in ("x.md", "x.sh", "x.jsx", "a/.ruff_cache/x.py", ".tox/x.py")], "repo string, path string, length long")
+    assert {r["path"] for r in code.code_files(kinds).collect()} == {"x.jsx", ".tox/x.py"}
+
+
+def test_fingerprint_regards_content_not_order(spark):
+    from gleanstone.plans.refresh import fingerprint
+
+    def of(*rows):
+        return fingerprint(spark.createDataFrame([("s", r) for r in rows], "k string, c string"), "k", "c").first()["fingerprint"]
+
+    assert of("a", "b", None) == of("b", None, "a") and len({of("a", "b"), of("a", "a"), of("a"), of("a", "a", "b"), of("ab")}) == 5
+
+
 def test_readme_summary():
     assert taxonomy.readme_summary("# H\n\n" + "w " * 200) == ("w " * 99)[:197].strip() + "..." or len(taxonomy.readme_summary("# H\n\n" + "w " * 200)) == 200
     assert taxonomy.readme_summary("# only") == ""
