@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import NO_ID, dropped, forget, given_id, held_id, small_batches, written
+from .storage import NO_ID, dropped, forget, given_id, held_id, part_dropped, small_batches, written
 
 U = np.uint64
 _rng = np.random.default_rng(99)
@@ -53,6 +54,8 @@ BROADCAST_IDS = 1_000_000
 #: Signatures of more texts than this make clusters.
 SMALL = 8
 LEAST_BITS, MOST_BITS = 16, 26
+#: Signatures are grouped in so many slices of their values, one after the other: shuffle files of one slice are on disk at a time.
+SLICES = 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -272,16 +275,23 @@ def _few(table: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
 
 
 def _shared(sigs: DataFrame) -> DataFrame:
-    """(sig, k1, m) of signatures that m > 1 texts hold; of signatures that the same texts hold one stays."""
+    """(sig, k1, m) of signatures that m > 1 texts hold; of signatures that the same texts hold one stays. sigs is used up, slice by slice."""
     spark = sigs.sparkSession
-    spans = sigs.groupBy("sig").agg(F.min("k1").alias("_lo"), F.max("k1").alias("_hi")).filter("_lo <> _hi").select("sig")
-    spans = written(spans, "ngram-spans")
-    held = written(sigs.join(_few(spans), "sig").distinct(), "ngram-held")
+    held = []
+    for i in range(SLICES):
+        part = sigs.filter(F.col("slice") == i).select("sig", "k1")
+        spans = part.groupBy("sig").agg(F.min("k1").alias("_lo"), F.max("k1").alias("_hi")).filter("_lo <> _hi").select("sig")
+        spans = written(spans, "ngram-spans")
+        held.append(written(part.join(_few(spans), "sig").distinct(), "ngram-held"))
+        dropped(spark, spans)
+        part_dropped(sigs, "slice", i)
+    dropped(spark, sigs)
+    whole = reduce(DataFrame.unionByName, held)
     # 128 bits stand for a set of texts.
-    member = held.groupBy("sig").agg(F.bit_xor(F.xxhash64("k1")).alias("x"), F.bit_xor(F.xxhash64("k1", F.lit(7))).alias("y"), F.count(F.lit(1)).alias("m"))
-    one = member.groupBy("x", "y", "m").agg(F.min("sig").alias("sig")).select("sig", "m")
-    shared = written(held.join(one, "sig").select("sig", "k1", "m"), "ngram-shared")
-    dropped(spark, spans, held)
+    member = whole.groupBy("sig").agg(F.bit_xor(F.xxhash64("k1")).alias("x"), F.bit_xor(F.xxhash64("k1", F.lit(7))).alias("y"), F.count(F.lit(1)).alias("m"))
+    one = written(member.groupBy("x", "y", "m").agg(F.min("sig").alias("sig")).select("sig", "m"), "ngram-one")
+    shared = written(whole.join(_few(one), "sig").select("sig", "k1", "m"), "ngram-shared")
+    dropped(spark, one, *held)
     return shared
 
 
@@ -479,9 +489,8 @@ class Links:
         self.rows = described.filter("block is null").drop("block", "counts")
         sets = self.rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
         self.reps = written(sets, "ngram-reps")
-        sigs = written(_signed(docs, k, *_counters(described, bits), bits, num, den), "ngram-signatures")
-        shared = _shared(sigs)
-        dropped(spark, sigs)
+        sigs = _signed(docs, k, *_counters(described, bits), bits, num, den)
+        shared = _shared(written(sigs.withColumn("slice", F.pmod("sig", F.lit(SLICES)).cast("int")), "ngram-signatures", "slice"))
         clusters = _clusters(shared)
         pairs = _candidates(shared, clusters, self.reps, num, den)
         dropped(spark, shared)

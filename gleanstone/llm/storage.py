@@ -46,8 +46,8 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, kept if executors are lost, deleted when the program ends."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, kept if executors are lost, deleted when the program ends. by: a column that deals its rows to folders."""
     spark = df.sparkSession
     own = f"{shared_dir(spark)}/gleanstone/{spark.sparkContext.applicationId}"
     path = f"{own}/{name}-{uuid.uuid4().hex}"
@@ -57,7 +57,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # nothing reads this plan's shuffle files again: the table stands for it
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -77,6 +77,12 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
             _delete(spark, path)
 
 
+def part_dropped(table: DataFrame, by: str, value: int) -> None:
+    """Delete the rows of a value of `by`, the column that written() dealt by; no later plan reads them."""
+    if path := _PATHS.get(table):
+        _delete(table.sparkSession, f"{path}/{by}={value}")
+
+
 _KEPT: dict = {}
 
 
