@@ -82,6 +82,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import middle_digests
+
+    return middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -94,6 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_html_text": op10_html_text,
+        "op11_fill_middle": op11_fill_middle,
+        "op12_decontamination": op12_decontamination,
     }
 
 
@@ -111,6 +125,8 @@ SELECT n.doc_id, n.n AS n_shingles, c.c AS component_id, coalesce(k.n_links, 0)
 
 
 def oracle_sql() -> dict[str, str]:
+    from .decontaminate import contamination_sql
+    from .fill_middle import middle_sql
     from .sharding import sharding_sql
 
-    return {"op2_ngram_jaccard_join": NGRAM_JOIN_SQL, "op8_sharding": sharding_sql()}
+    return {"op2_ngram_jaccard_join": NGRAM_JOIN_SQL, "op8_sharding": sharding_sql(), "op11_fill_middle": middle_sql(), "op12_decontamination": contamination_sql()}

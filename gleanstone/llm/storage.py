@@ -122,6 +122,20 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, str(rows))
 
 
+def text_blocks(texts: list[bytes], size: int = 1 << 22) -> Iterator[list[bytes]]:
+    """texts in lists of `size` bytes at most; a longer text is alone."""
+    block: list[bytes] = []
+    held = 0
+    for text in texts:
+        if block and held + len(text) > size:
+            yield block
+            block, held = [], 0
+        block.append(text)
+        held += len(text)
+    if block:
+        yield block
+
+
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
