@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import aggregates, deprecation, evidence, fusion, search, store
+from ..operators import aggregates, deprecation, evidence, fusion, search, store, text_index
 from ..schema import conform
+from ..session import scratch
 from ..sources import code, markdown
 from . import refresh, tools
 
@@ -282,8 +283,52 @@ _VALUES = ", ".join(f"({q}, {k}, '{w}')" for q, t in TEXT_QUERIES for k, w in en
     SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s JOIN m USING (query_id) WHERE hits = m QUALIFY rank <= 50""",
 )
 def _(spark, d):
-    index = search.build_text_index(chunks(spark, d), stems=False)
-    return search.text_search(index, TEXT_QUERIES, 50).select("query_id", "chunk_id", "rank")
+    return text_index.block_search(_saved_index(spark, chunks(spark, d)), TEXT_QUERIES, 50).select("query_id", "chunk_id", "rank")
+
+
+@query(
+    "top_phrase_search",
+    rf"""WITH {CHUNKS}, t AS (SELECT chunk_id, seq, regexp_extract_all(strip_accents(lower(content)), '[\p{{L}}\p{{N}}]+') AS w FROM c),
+    n AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM t), q AS (SELECT seq AS query_id, w[2] AS a, w[3] AS b, w[5] AS z FROM t WHERE seq % 20 = 0 AND len(w) >= 5),
+    x AS (SELECT chunk_id, len(w) AS dl, w[i] AS a, w[i + 1] AS b FROM (SELECT chunk_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+    tf AS (SELECT query_id, 0 AS k, chunk_id, dl, count(*) AS tf FROM x JOIN q USING (a, b) GROUP BY ALL UNION ALL SELECT query_id, 1, chunk_id, dl, count(*) FROM x JOIN q ON x.a = q.z GROUP BY ALL),
+    df AS (SELECT query_id, k, count(*) AS df FROM tf GROUP BY ALL),
+    s AS (SELECT query_id, chunk_id, sum((CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score
+      FROM tf JOIN df USING (query_id, k), n GROUP BY ALL HAVING count(*) = 2)
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10""",
+)
+def _(spark, d):
+    """Each row whose number is divisible by 20 asks for its second and third word side by side, and its fifth."""
+    rows = chunks(spark, d)
+    spelled = rows.filter("seq % 20 = 0").select("seq", text.words(F.col("content")).alias("w")).filter("size(w) >= 5")
+    asked = spelled.select(F.col("seq").alias("query_id"), F.concat(F.get("w", F.lit(1)), F.lit("-"), F.get("w", F.lit(2)), F.lit(" "), F.get("w", F.lit(4))).alias("query"))
+    return text_index.block_search(_saved_index(spark, rows), asked, 10).withColumn("score", F.round("score", 6))
+
+
+def _saved_index(spark: SparkSession, rows: DataFrame) -> text_index.BlockIndex:
+    folder = scratch(spark, "text-index")
+    text_index.save_blocks(rows, folder, stems=False)
+    return text_index.load_blocks(spark, folder, stems=False)
+
+
+@query(
+    "snk_index_segments",
+    rf"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN source || ' ' || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 5 = 0),
+    t AS (SELECT 'd' || doc_id AS chunk_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') AS w FROM n), p AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(w) AS term FROM t) GROUP BY ALL)
+    SELECT 'term' AS kind, term AS name, count(*) AS n, sum(tf)::BIGINT AS uses FROM p GROUP BY term UNION ALL SELECT 'chunk', chunk_id, len(w), NULL FROM t UNION ALL SELECT 'corpus', NULL, count(*), sum(len(w))::BIGINT FROM t""",
+)
+def _(spark, d):
+    """An index of two changes: a part of the documents; then the others, new texts for each fifth, and without each seventh."""
+    rows = chunks(spark, d).select("chunk_id", "content", F.col("seq").alias("k"), F.concat_ws(" ", F.coalesce("repo", F.lit("src0")), "content").alias("longer"))
+    kept = text_index.TextSegments(spark, scratch(spark, "segments"), stems=False)
+    kept.put(rows.filter("k % 3 <> 0"))
+    renewed = rows.filter("k % 5 = 0").select("chunk_id", F.col("longer").alias("content"))
+    kept.put(renewed.unionByName(rows.filter("k % 3 = 0 and k % 5 <> 0 and k % 7 <> 0").select("chunk_id", "content")), rows.filter("k % 7 = 0 and k % 5 <> 0"))
+    now = kept.index()
+    uses = now.postings.groupBy("term").agg(F.sum("tf").alias("uses"))
+    out = now.terms.join(uses, "term").select(F.lit("term").alias("kind"), F.col("term").alias("name"), F.col("df").alias("n"), "uses")
+    out = out.unionByName(now.lengths.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("name"), F.col("dl").alias("n"), F.lit(None).cast("long").alias("uses")))
+    return out.unionByName(now.corpus.select(F.lit("corpus").alias("kind"), F.lit(None).cast("string").alias("name"), F.col("docs").alias("n"), F.round(F.col("docs") * F.col("mean")).cast("long").alias("uses")))
 
 
 @query("agg_index_stats", f"WITH {CHUNKS} SELECT 'count:' || content_type AS name, count(*) AS value FROM c GROUP BY ALL UNION ALL SELECT 'total', count(*) FROM c UNION ALL SELECT 'commits', count(DISTINCT commit_sha) FROM c")
@@ -526,12 +571,12 @@ def _(spark, d):
     return evidence.assemble(queries, results, {"content_type": "doc"})
 
 
-def _hub(spark: SparkSession, d: str) -> tools.Hub:
+def _hub(spark: SparkSession, d: str, searched: bool = True) -> tools.Hub:
     """A hub over the documents; the embedding of number n belongs to document n, and every question has that of number 0."""
     e = table(spark, d, "embeddings")
     rows = conform(chunks(spark, d).join(e.select(F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding"), "chunk_id", "left"))
     asked = list(e.filter("vec_id = 0").first()["embedding"])
-    return tools.Hub(rows, search.build_text_index(rows, stems=False), embed=lambda _: asked)
+    return tools.Hub.of(rows, stems=False, embed=lambda _: asked) if searched else tools.Hub(rows, None)
 
 
 def _hybrid_sql(words: str, kind: str, limit: int) -> str:
@@ -581,7 +626,7 @@ def _(spark, d):
 
 @query("api_get_example", f"WITH {CHUNKS} SELECT 'd7' AS key, path, content, language, repo, commit_sha, array_to_string(capability_tags, '|') AS tags, 1.0::DOUBLE AS confidence FROM c WHERE chunk_id = 'd7'")
 def _(spark, d):
-    one = _hub(spark, d).get_example("d7").withColumn("f", F.get("files", F.lit(0)))
+    one = _hub(spark, d, searched=False).get_example("d7").withColumn("f", F.get("files", F.lit(0)))
     return one.select("key", "f.path", "f.content", "f.language", "repo", "commit_sha", F.array_join("capability_tags", "|").alias("tags"), F.col("evidence.confidence").alias("confidence"))
 
 
@@ -607,4 +652,4 @@ def _(spark, d):
     UNION ALL SELECT 'repo:docs', count(*)::VARCHAR FROM c WHERE content_type = 'doc' HAVING count(*) > 0 UNION ALL SELECT 'reranker', 'off'""",
 )
 def _(spark, d):
-    return _hub(spark, d).get_hub_status()
+    return _hub(spark, d, searched=False).get_hub_status()

@@ -1,7 +1,7 @@
 """The eight tools: each validates its input, builds one plan, and returns hits and evidence as DataFrames.
 
-A hub holds the chunk table and its text index. Both searches, fusion, adjustments and evidence are one lazily built plan; concepts of a query run together in
-one batched plan. Only the diversity pass leaves Catalyst, on lists of at most twice the limit.
+A hub holds the chunk table and its text index: in blocks that were saved (Hub.of), or derived from the table at each call (TextIndex). Fusion, adjustments and evidence are one lazily built plan over both
+searches; concepts of a query run together in one batched plan. Only the diversity pass leaves Catalyst, on lists of at most twice the limit.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..functions.embedding import hashed_embedding, score_pairs
 from ..functions.versions import compatible_only, with_compatibility
-from ..operators import aggregates, deprecation, evidence, fusion, search
+from ..operators import aggregates, deprecation, evidence, fusion, search, text_index
+from ..session import scratch
 from ..sources.markdown import section_of
 
 MOST = 50
@@ -52,7 +53,7 @@ def split_concepts(query: str, most: int = 5) -> list[str]:
 @dataclass
 class Hub:
     chunks: DataFrame
-    index: search.TextIndex
+    index: search.TextIndex | text_index.BlockIndex | None
     deprecations: DataFrame | None = None
     metadata: DataFrame | None = None
     taxonomy: DataFrame | None = None
@@ -61,8 +62,11 @@ class Hub:
     now: Column = field(default_factory=F.current_timestamp)
 
     @classmethod
-    def of(cls, chunks: DataFrame, **options) -> Hub:
-        return cls(chunks, search.build_text_index(chunks), **options)
+    def of(cls, chunks: DataFrame, folder: str | None = None, stems: bool = True, **options) -> Hub:
+        """A hub whose text index is written once, below folder or a new folder of the session's."""
+        folder = folder or scratch(chunks.sparkSession, "text-index")
+        text_index.save_blocks(chunks, folder, stems)
+        return cls(chunks, text_index.load_blocks(chunks.sparkSession, folder, stems), **options)
 
     @property
     def spark(self) -> SparkSession:
@@ -80,7 +84,8 @@ class Hub:
         shape = "query_id int, query string, vector array<float>"
         asked = self.spark.createDataFrame([(k, c, self.embed(c)) for k, c in enumerate(concepts)], shape)
         near = search.vector_search(allowed, asked, each).select("query_id", "chunk_id", "rank", F.lit(0).alias("list"))
-        words = search.text_search(self.index, list(enumerate(concepts)), each, allowed).select("query_id", "chunk_id", "rank", F.lit(1).alias("list"))
+        find = text_index.block_search if isinstance(self.index, text_index.BlockIndex) else search.text_search
+        words = find(self.index, list(enumerate(concepts)), each, allowed).select("query_id", "chunk_id", "rank", F.lit(1).alias("list"))
         fused = fusion.fuse(near.unionByName(words)).join(F.broadcast(asked.select("query_id", "query")), "query_id")
         rows = fused.join(self.chunks, "chunk_id")
         penalty = None

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -34,3 +36,22 @@ def session(name: str = "gleanstone", cores: str | int = "*", partitions: int |
         **conf,
     }
     return builder.config(map=settings).getOrCreate()
+
+
+_OWN: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a session with a local master (tests) gets a temporary folder; any other raises an error, as executors would not see each other's files.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = _OWN.setdefault(context.applicationId, "")
+        if not top:
+            top = _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="gleanstone-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
