@@ -5,15 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import bm25, cosine_similarity, idf
+from ..functions.scoring import bm25, idf
 from ..functions.stemming import porter
 from ..functions.text import words
+from .vector_index import nearest_by_scan
 
 #: Columns that are compared for equality, by prefix, and by membership.
 EQUAL = ("repo", "content_type", "foundational_class", "language", "domain", "execution_mode", "method_name", "chunk_type", "is_dataclass")
@@ -40,25 +40,11 @@ def matches(filters: dict) -> Column:
 
 
 def vector_search(chunks: DataFrame, queries: DataFrame, limit: int, filters: dict | None = None, block: int = 10_000) -> DataFrame:
-    """query_id, chunk_id, rank, score: for each of queries (query_id, vector), the `limit` nearest rows of chunks (chunk_id, embedding) by cosine.
+    """query_id, chunk_id, rank, score: for each of queries (query_id, vector), the `limit` nearest rows of chunks (chunk_id, embedding) by cosine, of all that pass the filters.
 
-    Filters come before the ranking, so a filtered search is exact. Queries are broadcast; more than `block` of them are dealt by their ids to blocks of about
-    half that many, each ranked over all rows.
+    Every row is scored; with cells that were saved (vector_index.nearest) most are not read.
     """
-    rows = chunks.filter(matches(filters or {})).filter("embedding is not null").select("chunk_id", "embedding")
-    asked = queries.select("query_id", "vector")
-    n = asked.count()
-    if n <= block:
-        return _nearest(rows, asked, limit)
-    blocks = -(-2 * n // block)
-    dealt = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [_nearest(rows, asked.filter(dealt == b), limit) for b in range(blocks)])
-
-
-def _nearest(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
-    scored = rows.join(F.broadcast(asked)).select("query_id", "chunk_id", cosine_similarity(F.col("embedding"), F.col("vector")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "chunk_id", "rank", "score")
+    return nearest_by_scan(chunks.filter(matches(filters or {})).select("chunk_id", "embedding"), queries.select("query_id", "vector"), limit, block)
 
 
 def stemmed(vocabulary: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import aggregates, deprecation, evidence, fusion, search, store, text_index
+from ..operators import aggregates, deprecation, evidence, fusion, search, store, text_index, vector_index
 from ..schema import conform
 from ..session import scratch
 from ..sources import code, markdown
@@ -265,7 +265,9 @@ def _(spark, d):
     e = table(spark, d, "embeddings")
     queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     rows = e.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding")
-    return search.vector_search(rows, queries, 10).withColumn("score", F.round("score", 6))
+    folder = scratch(spark, "vector-index")
+    vector_index.save_cells(rows, folder)
+    return vector_index.nearest(vector_index.load_cells(spark, folder), queries, 10).withColumn("score", F.round("score", 6))
 
 
 TEXT_QUERIES = [(1, "the and"), (2, "für die"), (3, "of that with"), (4, "que los"), (5, "zzzz")]

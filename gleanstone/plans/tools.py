@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..functions.embedding import hashed_embedding, score_pairs
 from ..functions.versions import compatible_only, with_compatibility
-from ..operators import aggregates, deprecation, evidence, fusion, search, text_index
+from ..operators import aggregates, deprecation, evidence, fusion, search, text_index, vector_index
 from ..session import scratch
 from ..sources.markdown import section_of
 
@@ -59,14 +59,16 @@ class Hub:
     taxonomy: DataFrame | None = None
     embed: Callable[[str], list[float]] = hashed_embedding
     rescorer: Callable | None = None
+    vectors: vector_index.CellIndex | None = None
     now: Column = field(default_factory=F.current_timestamp)
 
     @classmethod
     def of(cls, chunks: DataFrame, folder: str | None = None, stems: bool = True, **options) -> Hub:
-        """A hub whose text index is written once, below folder or a new folder of the session's."""
-        folder = folder or scratch(chunks.sparkSession, "text-index")
-        text_index.save_blocks(chunks, folder, stems)
-        return cls(chunks, text_index.load_blocks(chunks.sparkSession, folder, stems), **options)
+        """A hub whose indexes are written once, below folder or a new folder of the session's."""
+        spark, folder = chunks.sparkSession, folder or scratch(chunks.sparkSession, "hub")
+        text_index.save_blocks(chunks, f"{folder}/text", stems)
+        vector_index.save_cells(chunks, f"{folder}/vectors")
+        return cls(chunks, text_index.load_blocks(spark, f"{folder}/text", stems), vectors=vector_index.load_cells(spark, f"{folder}/vectors"), **options)
 
     @property
     def spark(self) -> SparkSession:
@@ -83,7 +85,8 @@ class Hub:
         allowed = self.chunks.filter(search.matches(filters))
         shape = "query_id int, query string, vector array<float>"
         asked = self.spark.createDataFrame([(k, c, self.embed(c)) for k, c in enumerate(concepts)], shape)
-        near = search.vector_search(allowed, asked, each).select("query_id", "chunk_id", "rank", F.lit(0).alias("list"))
+        near = vector_index.nearest(self.vectors, asked, each, allowed if filters else None) if self.vectors else search.vector_search(allowed, asked, each)
+        near = near.select("query_id", "chunk_id", "rank", F.lit(0).alias("list"))
         find = text_index.block_search if isinstance(self.index, text_index.BlockIndex) else search.text_search
         words = find(self.index, list(enumerate(concepts)), each, allowed).select("query_id", "chunk_id", "rank", F.lit(1).alias("list"))
         fused = fusion.fuse(near.unionByName(words)).join(F.broadcast(asked.select("query_id", "query")), "query_id")
