@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,22 +42,27 @@ def numbered(rows: DataFrame, order: list[str], key: str, start: Column | int =
     return out.withColumn(name, (start if isinstance(start, Column) else F.lit(start)) + F.col("_begin") + F.col("_nth")).drop("_range", "_nth", "_begin")
 
 
-def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """old with the rows of new put in: replaced rows keep their seq, new ones follow the last in the order of BATCH_ORDER, as far as new has those columns.
+def placed(new: DataFrame, old: DataFrame, top: Column, key: str = "chunk_id") -> DataFrame:
+    """The rows of new with their seq: that of the row of old (key, seq) with the same key, else from top on in the order of BATCH_ORDER, as far as new has those columns.
 
-    Of rows of new with one key, the last counts, in its own place.
+    Of rows of new with one key, the last counts, in its own place. old's row of the same key comes along as `_old`.
     """
     order = [c for c in BATCH_ORDER if c in new.columns]
     fresh = latest(new, key, order) if order else new.dropDuplicates([key])
     if "seq" not in fresh.columns:
         fresh = fresh.withColumn("seq", F.lit(None).cast("long"))
-    joined = fresh.join(old.select(key, F.col("seq").alias("_seq")), key, "left")
-    replaced = joined.filter("_seq is not null").withColumn("seq", F.col("_seq"))
-    top = old.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("_top"))
-    added = joined.filter("_seq is null").join(F.broadcast(top))
-    added = numbered(added, order, key, F.col("_top"))
-    kept = old.join(fresh.select(key), key, "left_anti")
-    return kept.unionByName(replaced.select(old.columns)).unionByName(added.select(old.columns))
+    joined = fresh.join(old.select(key, F.struct(*old.columns).alias("_old")), key, "left")
+    replaced = joined.filter("_old is not null").withColumn("seq", F.col("_old.seq"))
+    added = numbered(joined.filter("_old is null").withColumn("_top", top), order, key, F.col("_top")).drop("_top")
+    return replaced.unionByName(added.select(replaced.columns))
+
+
+def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """old with the rows of new put in: replaced rows keep their seq, new ones follow the last in the order of BATCH_ORDER."""
+    top = old.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("_first"))
+    fresh = placed(new.join(F.broadcast(top)), old.select(key, "seq"), F.col("_first"), key)
+    kept = old.join(new.select(key), key, "left_anti")
+    return kept.unionByName(fresh.select(old.columns))
 
 
 def vector_rows(rows: DataFrame) -> DataFrame:
@@ -70,13 +76,21 @@ def deleted(rows: DataFrame, column: str, value) -> tuple[DataFrame, DataFrame]:
     return rows.filter(~hit), rows.filter(hit).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: A row of a change: a chunk, and the number of the change that brought it. And what a change takes away: a chunk, and the number of the change that its row came with.
+ROWS = T.StructType([*CHUNKS, T.StructField("change", T.LongType())])
+GONE = struct("chunk_id string, of long")
+
+
 class ChunkStore:
-    """A chunk table as Parquet versions below a folder. Numbered pointer files name the versions; the highest is the current one.
+    """A chunk table as changes below a folder: each is a small table of new rows and one of the older rows that they replace or that were deleted; readers merge them.
 
-    A pointer appears by one rename after its version is whole, and none is taken away before the next is there: readers see a whole version at any time, and a writer that dies leaves the last one.
-    The version before the current one stays for readers that began with it; older ones go with the next write. One writer at a time: a second one that took the same number raises an error.
+    Numbered pointer files name the changes. A change may be a base, which holds the whole table, so that no change before it is read; write() makes one, and so does a change that follows MOST_CHANGES others.
+    A pointer appears by one rename after its change is whole: readers see a whole table at any time, and a writer that dies leaves the last one. What lies before a base stays for
+    readers that began with it until the next base. One writer at a time: a second one that took the same number raises an error.
     """
 
+    MOST_CHANGES = 64
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
@@ -92,44 +106,98 @@ class ChunkStore:
         names = [f.getPath().getName() for f in fs.listStatus(top)] if fs.exists(top) else []
         return sorted(int(n.removeprefix("current-")) for n in names if n.startswith("current-"))
 
-    def _version(self, n: int) -> str:
-        return self.spark.read.text(f"{self.folder}/current-{n:012d}").first()[0]
+    def _change(self, n: int) -> dict:
+        """name, base, gone (whether it takes rows away), top (one more than the largest seq so far)."""
+        return json.loads(self.spark.read.text(f"{self.folder}/current-{n:012d}").first()[0])
+
+    def _changes(self) -> list[dict]:
+        """The changes that readers merge, the last base first."""
+        out: list[dict] = []
+        for n in reversed(self._pointers()):
+            out.insert(0, self._change(n))
+            if out[0]["base"]:
+                break
+        return out
+
+    def _alive(self, changes: list[dict]) -> DataFrame:
+        if not changes:
+            return self.spark.createDataFrame([], ROWS)
+        rows = self.spark.read.schema(ROWS).parquet(*[f"{self.folder}/{c['name']}/rows" for c in changes])
+        if not any(c["gone"] for c in changes):
+            return rows
+        gone = self.spark.read.schema(GONE).parquet(*[f"{self.folder}/{c['name']}/gone" for c in changes if c["gone"]])
+        gone = gone.select(F.col("chunk_id").alias("_id"), "of")
+        return rows.join(gone, (F.col("chunk_id") == F.col("_id")) & (F.col("change") == F.col("of")), "left_anti")
 
     def read(self) -> DataFrame:
-        there = self._pointers()
-        return self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/{self._version(there[-1])}") if there else self.spark.createDataFrame([], CHUNKS)
+        return self._alive(self._changes()).drop("change")
 
-    def write(self, rows: DataFrame) -> None:
+    def _put(self, rows: DataFrame, gone: DataFrame | None, top: int) -> int:
+        """Write a change, a base if gone is None; returns the number of its rows."""
         before = self._pointers()
-        name = f"v-{uuid.uuid4().hex}"
-        conform(rows).write.parquet(f"{self.folder}/{name}")
-        self._point(before[-1] + 1 if before else 0, name)
+        n, name = (before[-1] + 1 if before else 0), f"v-{uuid.uuid4().hex}"
+        conform(rows).withColumn("change", F.lit(n).cast("long")).write.parquet(f"{self.folder}/{name}/rows")
+        count, last = self.spark.read.schema(ROWS).parquet(f"{self.folder}/{name}/rows").agg(F.count(F.lit(1)), F.max("seq")).first()
+        if gone is not None:
+            gone.write.parquet(f"{self.folder}/{name}/gone")
+        self._point(n, name, gone is None, gone is not None, max(top, -1 if last is None else last + 1))
+        if gone is None:
+            self._clear_before(before)
+        return count
+
+    def _clear_before(self, pointers: list[int]) -> None:
+        """Delete the changes before the last base among pointers."""
         jvm, fs = self._fs()
-        for n in before[:-1]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self._version(n)}"), True)
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/current-{n:012d}"), False)
-
-    def _point(self, n: int, name: str) -> None:
+        stays = True
+        for n in reversed(pointers):
+            change = self._change(n)
+            if not stays:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{change['name']}"), True)
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/current-{n:012d}"), False)
+            stays = stays and not change["base"]
+
+    def _point(self, n: int, name: str, base: bool, gone: bool, top: int) -> None:
         jvm, fs = self._fs()
         begun, done = (jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{p}") for p in (f"next-{name}", f"current-{n:012d}"))
         out = fs.create(begun)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(json.dumps({"name": name, "base": base, "gone": gone, "top": top}).encode()))
         out.close()
         if fs.exists(done) or not fs.rename(begun, done):
             raise RuntimeError(f"another writer made version {n} of {self.folder}")
 
+    def write(self, rows: DataFrame) -> None:
+        """rows are the whole table from now on."""
+        self._put(rows, None, 0)
+
+    def compact(self) -> None:
+        """All changes as one base."""
+        self.write(self.read())
+
+    def change(self, new: DataFrame | None = None, gone: Column | None = None) -> int:
+        """Take away the rows for which gone holds, put in those of new by chunk_id, and return how many new rows there are. What is written grows with the rows that come and go."""
+        changes = self._changes()
+        alive, top = self._alive(changes), max((c["top"] for c in changes), default=0)
+        hit = F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))
+        old = alive.filter(~hit).select("chunk_id", "seq", "change")
+        rows = self.spark.createDataFrame([], CHUNKS) if new is None else conform(new)
+        marks = alive.filter(hit).select("chunk_id", F.col("change").alias("of"))
+        if new is not None:
+            marks = marks.unionByName(old.join(rows.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", F.col("change").alias("of")))
+        count = self._put(placed(rows, old, F.lit(top)) if new is not None else rows, marks, top)
+        if len(changes) >= self.MOST_CHANGES:
+            self.compact()
+        return count
+
     def upsert(self, rows: DataFrame) -> int:
-        rows = conform(rows)
-        self.write(upserted(self.read(), rows))
-        return rows.select("chunk_id").distinct().count()
+        return self.change(rows)
 
     def delete(self, column: str, value) -> int:
         if column not in ("content_type", "repo", "source_url", "path", "chunk_id"):
             raise ValueError(f"no delete by {column}")
-        kept, gone = deleted(self.read(), column, value)
-        n = gone.first()["n"]
+        hit = F.col(column) == F.lit(value)
+        n = self.read().filter(hit).count()
         if n:
-            self.write(kept)
+            self.change(gone=hit)
         return n
 
     def clear(self) -> None:

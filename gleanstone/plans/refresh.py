@@ -1,16 +1,17 @@
-"""Refresh: fingerprints decide which sources are made anew; their old rows go and the new ones come in one write."""
+"""Refresh: fingerprints decide which sources are made anew; their old rows go and the new ones come in one change of the store."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.embedding import embed
 from ..operators.aggregates import refresh_totals, summary_order
-from ..operators.store import ChunkStore, upserted
+from ..operators.store import ChunkStore
 from ..schema import conform
 
 STATUS = ("new", "changed", "same", "gone")
@@ -67,11 +68,11 @@ def refresh(spark: SparkSession, store: ChunkStore, sources: list[Source], store
         return F.coalesce((F.col("content_type") == "doc") & F.col("repo").isNull(), F.lit(False)) if name == "docs" else F.coalesce(F.col("repo") == name, F.lit(False))
 
     before = {name: rows.filter(own(name)).count() for name in plan}
-    kept, added, out, errors = rows, [], [], {}
+    goes, added, out, errors = F.lit(False), [], [], {}
     by_name = {s.name: s for s in sources}
     for name, (status, print_) in plan.items():
         if status == "gone":
-            kept = kept.filter(~own(name))
+            goes |= own(name)
             out.append((name, "removed", before[name], 0, None))
         elif status == "same" and not force:
             out.append((name, "skipped", before[name], 0, print_))
@@ -83,14 +84,11 @@ def refresh(spark: SparkSession, store: ChunkStore, sources: list[Source], store
                 errors[name] = str(e).splitlines()[0]
                 out.append((name, "error", before[name], 0, None))
                 continue
-            kept = kept.filter(~own(name))
+            goes |= own(name)
             added.append(fresh)
             out.append((name, "updated", before[name], n, print_))
     if added or any(o[1] == "removed" for o in out):
-        whole = kept
-        for fresh in added:
-            whole = upserted(whole, fresh)
-        store.write(whole)
+        store.change(reduce(DataFrame.unionByName, added) if added else None, goes)
     summary = spark.createDataFrame(out, "name string, status string, existing long, upserted long, fingerprint string")
     prints = summary.filter("fingerprint is not null").select("name", "fingerprint")
     return Refreshed(summary_order(summary.drop("fingerprint")), prints, errors)

@@ -181,7 +181,30 @@ def test_a_writer_that_dies_leaves_the_last_version(spark, tmp_path, monkeypatch
     assert s.delete("content_type", "code") == 12 and s.read().count() == 24
     assert reader.count() == 36  # the version before stays for readers that began with it
     with pytest.raises(RuntimeError):
-        s._point(s._pointers()[-1], "v-other")
+        s._point(s._pointers()[-1], "v-other", True, False, 0)
+
+
+def test_changes_are_small_and_merge(spark, tmp_path, monkeypatch):
+    s = store.ChunkStore(spark, f"file://{tmp_path}/store")
+    many = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("chunk_id"), F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("content"), F.lit("doc").alias("content_type"))
+    s.upsert(many)
+    size = lambda: sum(f.stat().st_size for f in tmp_path.rglob("part-*"))
+    first = size()
+    few = spark.createDataFrame([(f"k{i}", f"new {i}", "code") for i in range(3995, 4005)], "chunk_id string, content string, content_type string")
+    assert s.upsert(few) == 10 and size() - first < first / 8
+    assert s.delete("chunk_id", "k7") == 1 and s.delete("chunk_id", "k7") == 0
+    got = {r["chunk_id"]: (r["seq"], r["content_type"]) for r in s.read().select("chunk_id", "seq", "content_type").collect()}
+    assert len(got) == 4004 and got["k3996"] == (3996, "code") and sorted(v[0] for v in got.values()) == [i for i in range(4005) if i != 7]
+    assert [got[f"k{i}"][0] for i in range(4000, 4005)] == list(range(4000, 4005))
+    s.upsert(spark.createDataFrame([("k7", "again", "doc")], "chunk_id string, content string, content_type string"))
+    assert s.read().filter("chunk_id = 'k7'").first()["seq"] == 4005 and len(s._changes()) == 4 and not s._changes()[-1]["base"]
+    before = sorted(map(str, s.read().collect()))
+    reader = s.read()
+    monkeypatch.setattr(store.ChunkStore, "MOST_CHANGES", 4)
+    s.upsert(few)
+    assert len(s._changes()) == 1 and s._changes()[0]["base"] and sorted(map(str, s.read().collect())) == before and reader.count() == 4005
+    s.compact()
+    assert len(s._pointers()) == 2 and sorted(map(str, s.read().collect())) == before
 
 
 def test_key_values(spark):
