@@ -15,9 +15,8 @@ from ..schema import struct
 
 ENTRIES = struct("old_path string, new_path string, deprecated_in string, removed_in string, note string, ord long")
 
-#: How proxies, module paths and symbols are written.
+#: How proxies and symbols are written.
 PROXY = r'(?s)DeprecatedModuleProxy\s*\(\s*globals\(\)\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,?\s*\)'
-MODULE = re.compile(r"`(pipecat\.[a-zA-Z0-9_.]+)`")
 SYMBOL = re.compile(r"`([A-Z][a-zA-Z0-9]+(?:Service|Processor|Transport|Filter|Strategy|Analyzer|Observer|Frame|Params|Settings))`")
 DOTTED = re.compile(r"`([A-Z][a-zA-Z0-9]+(?:\.[A-Z][a-zA-Z0-9]+)+)`")
 
@@ -59,7 +58,7 @@ def from_proxies(files: DataFrame) -> DataFrame:
 
 
 def from_changelog(logs: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
-    """Notes of changelogs: items below `### Deprecated` or `### Removed` of a version, by the last headings above them."""
+    """Notes of changelogs, whose headings are fixed by their format: items below `### Deprecated` or `### Removed` of a version, by the last headings above them."""
     line = logs.select(key, F.posexplode(F.split(text, "\r?\n")).alias("pos", "line"))
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     version, heading = F.regexp_extract("line", r"^##\s+\[([^\]]+)\]", 1), F.regexp_extract("line", r"^###\s+(Deprecated|Removed)", 1)
@@ -92,25 +91,25 @@ def release_items(body: str) -> list[tuple[str, str]]:
     return [(p, t) for p, t in out]
 
 
-def release_entries(version: str, body: str) -> list[dict]:
-    """Entries of a release: paths before the word `use` are deprecated, those after it replace them; without paths the named symbols, else the item itself."""
-    out = []
+def release_entries(version: str, body: str, package: str) -> list[dict]:
+    """Entries of a release of package: its module paths before the word `use` are deprecated, those after it replace them; without paths the named symbols, else the item itself."""
+    module, out = re.compile(rf"`({re.escape(package)}\.[a-zA-Z0-9_.]+)`"), []
     for part, text in release_items(body):
         use = re.search(r"\b[Uu]se\b", text)
-        new = sorted(set(MODULE.findall(text[use.start() :]))) if use else []
-        old = [p for p in dict.fromkeys(MODULE.findall(text)) if p not in new]
+        new = sorted(set(module.findall(text[use.start() :]))) if use else []
+        old = [p for p in dict.fromkeys(module.findall(text)) if p not in new]
         keys = old or list(dict.fromkeys(DOTTED.findall(text) + SYMBOL.findall(text))) or [f"release:{version}:{text[:60]}"]
         lifecycle = {"deprecated_in": version if part == "Deprecated" else None, "removed_in": version if part == "Removed" else None}
         out += [{"old_path": k, "new_path": ", ".join(new) or None, **lifecycle, "note": text[:500]} for k in keys]
     return out
 
 
-def from_releases(releases: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(entries, notes) of releases (version, body), oldest first by version text; existing entries come before and keep what they have."""
+def from_releases(releases: DataFrame, package: str, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, notes) of releases (version, body) of package, oldest first by version text; existing entries come before and keep what they have."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(e["old_path"], e["new_path"], e["deprecated_in"], e["removed_in"], e["note"], v, k) for v, b in zip(batch["version"], batch["body"]) for k, e in enumerate(release_entries(v, b or ""))]
+            rows = [(e["old_path"], e["new_path"], e["deprecated_in"], e["removed_in"], e["note"], v, k) for v, b in zip(batch["version"], batch["body"]) for k, e in enumerate(release_entries(v, b or "", package))]
             if rows:
                 yield pd.DataFrame(rows, columns=["old_path", "new_path", "deprecated_in", "removed_in", "note", "version", "k"])
 

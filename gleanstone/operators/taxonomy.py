@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import extension
+from ..sources.code import CODE_EXTENSIONS, example_dirs
 from .aggregates import best_tags
 
 #: Fragments of folder names and the tags they give.
@@ -36,15 +38,20 @@ CLASS_TAGS = {
 }
 #: Topics that give other tags than their own name.
 TOPIC_TAGS = {"function-calling": ["function-calling", "tools"], "realtime": ["realtime", "voice-ai"]}
+#: The folder of numbered examples, and folders at the top of a package that are no examples.
+NUMBERED = "examples/foundational"
+PACKAGE_FOLDERS = ("src", "tests", "docs", "scripts", "dashboard", ".github", ".claude")
 
 
-def _rules(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, "part string, fragment string, name string, confidence double, source string, rule int"))  # fixed tables
+def _given(rules: list[tuple[Column, str]], confidence: float, source: str) -> Column:
+    """The tags (name, confidence, source, ord) of the rules that hold."""
+    tag = lambda name, k: F.struct(F.lit(name).alias("name"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"), F.lit(k).cast("long").alias("ord"))
+    return F.array_compact(F.array(*[F.when(holds, tag(name, k)) for k, (holds, name) in enumerate(rules)]))
 
 
 def folder_tags(dirs: DataFrame, key: str, name: str) -> DataFrame:
-    rules = _rules(dirs.sparkSession, [("dir", f, t, 1.0, "directory", k) for k, (f, t) in enumerate(FOLDER_TAGS.items())])
-    return dirs.select(key, F.lower(name).alias("_n")).join(rules, F.col("_n").contains(F.col("fragment"))).select(key, "name", "confidence", "source", F.col("rule").cast("long").alias("ord"))
+    low = F.lower(F.col(name))
+    return dirs.select(key, F.inline(_given([(low.contains(f), t) for f, t in FOLDER_TAGS.items()], 1.0, "directory")))
 
 
 def topic_tags(dirs: DataFrame, key: str, topic: str) -> DataFrame:
@@ -54,18 +61,19 @@ def topic_tags(dirs: DataFrame, key: str, topic: str) -> DataFrame:
 
 
 def readme_tags(readmes: DataFrame, key: str, text: str) -> DataFrame:
-    rules = _rules(readmes.sparkSession, [("readme", p, t, 0.8, "readme", k) for k, (p, t) in enumerate(README_TAGS)])
-    return readmes.select(key, F.lower(text).alias("_t")).join(rules, F.expr("_t rlike fragment")).select(key, "name", "confidence", "source", F.col("rule").cast("long").alias("ord"))
+    low = F.lower(F.col(text))
+    return readmes.select(key, F.inline(_given([(low.rlike(p), t) for p, t in README_TAGS], 0.8, "readme")))
 
 
 def code_tags(code: DataFrame, key: str, text: str) -> DataFrame:
     """Tags of imports (.9) and of class names (.85); for each tag the first line that gives it counts."""
-    rules = [("import", f, t, 0.9, "code", k) for k, (f, t) in enumerate(IMPORT_TAGS.items())] + [("class", f, t, 0.85, "code", 100 + k) for k, (f, t) in enumerate(CLASS_TAGS.items())]
     line = code.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
-    is_import = F.col("line").rlike("^(import|from) ")
-    hit = line.join(_rules(code.sparkSession, rules), F.col("line").contains(F.col("fragment")) & ((F.col("part") == "class") | is_import))
-    w = Window.partitionBy(key, "name").orderBy("pos", "rule")
-    return hit.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(key, "name", "confidence", "source", (F.col("pos") * 1000 + F.col("rule")).cast("long").alias("ord"))
+    said, is_import = F.col("line"), F.col("line").rlike("^(import|from) ")
+    imports = _given([(is_import & said.contains(f), t) for f, t in IMPORT_TAGS.items()], 0.9, "code")
+    classes = F.transform(_given([(said.contains(f), t) for f, t in CLASS_TAGS.items()], 0.85, "code"), lambda t: t.withField("ord", t["ord"] + 100))
+    hit = line.select(key, "pos", F.inline(F.concat(imports, classes)))
+    w = Window.partitionBy(key, "name").orderBy("pos", "ord")
+    return hit.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(key, "name", "confidence", "source", (F.col("pos") * 1000 + F.col("ord")).cast("long").alias("ord"))
 
 
 def readme_summary(text: str, most: int = 200) -> str:
@@ -88,17 +96,56 @@ def summaries(readmes: DataFrame, key: str, text: str) -> DataFrame:
     return readmes.select(key, text).mapInPandas(run, f"{key} string, summary string")
 
 
+def path_tree(files: DataFrame) -> DataFrame:
+    """repo, dir, depth, code, below of every folder above a file: how many code files lie in it, and how many in it or below. A path has as many folders as parts, so the tree is summed up in one shuffle."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir")))
+    is_code = extension(F.col("path")).isin(*CODE_EXTENSIONS).cast("int")
+    rows = files.select("repo", F.size(parts).alias("_n"), is_code.alias("_code"), F.explode(above).alias("a")).select("repo", "a.dir", "a.depth", "_code", (F.col("a.depth") == F.col("_n") - 1).alias("_own"))
+    return rows.groupBy("repo", "dir", "depth").agg(F.sum(F.when(F.col("_own"), F.col("_code")).otherwise(0)).alias("code"), F.sum("_code").alias("below"))
+
+
+def layouts(files: DataFrame) -> DataFrame:
+    """repo, layout of each repository: numbered (it has the folder NUMBERED), topics (examples/ has folders), else root."""
+    tree = path_tree(files)
+    numbered, topics = F.max((F.col("dir") == NUMBERED).cast("int")), F.max(((F.col("depth") == 2) & F.col("dir").startswith("examples/")).cast("int"))
+    return tree.groupBy("repo").agg(F.when(numbered == 1, "numbered").when(topics == 1, "topics").otherwise("root").alias("layout"))
+
+
+def example_nodes(files: DataFrame) -> DataFrame:
+    """repo, dir, kind: the examples of each repository by its layout.
+
+    numbered: folders (folder) and Python files (file) right below NUMBERED, and the other examples as topics. topics: folders below examples/ that hold code themselves, else their own folders (topic).
+    root: folders at the top but for hidden and skipped ones and, where src/ or a project file shows a package, PACKAGE_FOLDERS (project); if there is none, the root itself.
+    """
+    how = layouts(files)
+    tree, rows = path_tree(files).join(how, "repo"), files.join(how, "repo")
+    inside = F.col("dir").startswith(f"{NUMBERED}/") & (F.col("depth") == 3)
+    folders = tree.filter((F.col("layout") == "numbered") & inside).select("repo", "dir", F.lit("folder").alias("kind"))
+    single = rows.filter((F.col("layout") == "numbered") & F.col("path").rlike(f"^{NUMBERED}/[^/]+[.]py$")).select("repo", F.col("path").alias("dir"), F.lit("file").alias("kind")).distinct()
+    topics = example_dirs(rows.filter("layout <> 'root'")).filter((F.col("dir") != NUMBERED) & ~F.col("dir").startswith(f"{NUMBERED}/")).select("repo", "dir", F.lit("topic").alias("kind"))
+    package = rows.groupBy("repo").agg(F.max((F.col("path").startswith("src/") | (F.col("path") == "pyproject.toml")).cast("int")).alias("_package"))
+    top = tree.filter((F.col("layout") == "root") & (F.col("depth") == 1)).join(package, "repo")
+    top = top.filter(~F.col("dir").startswith(".") & ~F.col("dir").isin("__pycache__", "node_modules") & ((F.col("_package") == 0) | ~F.col("dir").isin(*PACKAGE_FOLDERS)))
+    top = top.select("repo", "dir", F.lit("project").alias("kind"))
+    bare = how.filter("layout = 'root'").select("repo").join(top, "repo", "left_anti").select("repo", F.lit(".").alias("dir"), F.lit("project").alias("kind"))
+    return folders.unionByName(single).unionByName(topics).unionByName(top).unionByName(bare)
+
+
 def entries(files: DataFrame, dirs: DataFrame) -> DataFrame:
-    """One entry for each example folder (repo, dir): example_id, tags, key files, summary, foundational class."""
-    d = dirs.select("repo", "dir").distinct().withColumn("example_id", F.concat_ws("/", "repo", F.nullif("dir", F.lit("."))))
+    """One entry for each example (repo, dir, and kind, if example_nodes gave it): example_id, tags, key files, summary, foundational class. An example of kind file is one file, which gives its tags and its name."""
+    kind = F.col("kind") if "kind" in dirs.columns else F.lit("folder")
+    d = dirs.select("repo", "dir", kind.alias("kind")).distinct().withColumn("example_id", F.concat_ws("/", "repo", F.nullif("dir", F.lit("."))))
     parent = F.regexp_replace(F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1), "^$", ".")
-    own = files.withColumn("dir", parent).join(d, ["repo", "dir"])
+    own = files.withColumn("dir", parent).join(d.filter("kind <> 'file'"), ["repo", "dir"])
+    own = own.unionByName(files.withColumn("dir", F.col("path")).join(d.filter("kind = 'file'"), ["repo", "dir"]))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     keys = own.filter(name.endswith(".py") | name.isin("README.md", "requirements.txt")).groupBy("example_id").agg(F.sort_array(F.collect_set(name)).alias("key_files"))
     readme = own.filter(name == "README.md").groupBy("example_id").agg(F.min("content").alias("readme"))
     code = own.filter(name.endswith(".py")).select(F.col("example_id"), "content")
     parts = F.split("dir", "/")
-    named = d.withColumn("leaf", F.element_at(parts, -1)).withColumn("topic", F.when((F.get(parts, 0) == "examples") & (F.size(parts) > 2), F.get(parts, 1)))
+    leaf = F.when(F.col("kind") == "file", F.regexp_replace(F.element_at(parts, -1), r"\.py$", "")).otherwise(F.element_at(parts, -1))
+    named = d.withColumn("leaf", leaf).withColumn("topic", F.when((F.get(parts, F.lit(0)) == "examples") & (F.size(parts) > 2) & (F.col("kind") != "file") & ~F.col("dir").startswith(f"{NUMBERED}/"), F.get(parts, F.lit(1))))
     tags = folder_tags(named.filter("leaf <> '.'"), "example_id", "leaf").unionByName(topic_tags(named.filter("topic is not null"), "example_id", "topic"))
     tags = tags.unionByName(readme_tags(readme, "example_id", "readme")).unionByName(code_tags(code, "example_id", "content"))
     best = best_tags(tags, "example_id")

@@ -21,14 +21,14 @@ def docs_chunks(spark: SparkSession, path: str) -> DataFrame:
     return conform(markdown.chunk_pages(markdown.split_pages(dumps, "dump")).withColumn("indexed_at", F.current_timestamp()))
 
 
-def example_chunks(files: DataFrame, sha: str, package: str, framework: str | None = None) -> DataFrame:
-    """Chunk rows of example code with tags, pins, domain, mode and readme of their example. framework: the version for examples without a pin of their own."""
+def example_chunks(files: DataFrame, sha: str, package: str, framework: str | None = None, npm_scope: str | None = None) -> DataFrame:
+    """Chunk rows of example code with tags, pins, domain, mode and readme of their example. npm_scope: whose npm packages count as the package. framework: the version for examples without a pin of their own."""
     dirs = code.example_dirs(files)
     entries = taxonomy.entries(files, dirs)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     folder = F.regexp_replace(F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1), "^$", ".")
     readmes = files.filter(name == "README.md").select("repo", folder.alias("_dir"), F.substring("content", 1, README_CHARS).alias("readme_content"))
-    nearest = pins.nearest_pins(files.select("repo", folder.alias("dir")), pins.file_pins(files, package)).select("repo", F.col("dir").alias("_dir"), "pin")
+    nearest = pins.nearest_pins(files.select("repo", folder.alias("dir")), pins.file_pins(files, package, npm_scope)).select("repo", F.col("dir").alias("_dir"), "pin")
     chunks = code.chunk_files(code.code_files(files), sha)
     rows = taxonomy.for_files(chunks, entries).withColumn("_dir", folder).join(readmes, ["repo", "_dir"], "left").join(nearest, ["repo", "_dir"], "left")
     tags = F.coalesce(F.col("entry.tags"), F.array().cast("array<string>"))

@@ -168,7 +168,7 @@ class Hub:
             key, rows = doc_id, search.lookup(self.chunks, doc_id).withColumn("page", F.col("content")).withColumn("sections", F.array_compact(F.array("section")))
         else:
             key = path
-            rows = search.filter_only(self.chunks, {"content_type": "doc", "path": path}, 200).filter(F.col("path") == path)
+            rows = search.filter_only(self.chunks.filter(F.col("path") == path), {"content_type": "doc"}, 200)  # of the page itself; no page has more
             whole = aggregates.reassembled(rows, "path").withColumnRenamed("content", "page")
             names = F.array_sort(F.collect_list(F.when(F.col("section").isNotNull(), F.struct("seq", "section"))))
             whole = whole.join(rows.groupBy("path").agg(F.transform(names, lambda s: s["section"]).alias("sections")), "path")  # 200 rows at most

@@ -26,8 +26,9 @@ CHARS_PER_TOKEN = 4
 
 
 def read_dump(spark, path: str) -> DataFrame:
-    """(value): the whole text of each documentation dump of at most MAX_DUMP_BYTES."""
-    return spark.read.text(path, wholetext=True).filter(F.octet_length("value") <= MAX_DUMP_BYTES)
+    """(value): the whole text of each documentation dump. One of more than MAX_DUMP_BYTES fails the read, as a part of it would look whole."""
+    fits = F.octet_length("value") <= MAX_DUMP_BYTES
+    return spark.read.text(path, wholetext=True).select(F.when(fits, F.col("value")).otherwise(F.raise_error(F.lit(f"a dump has more than {MAX_DUMP_BYTES} bytes")).cast("string")).alias("value"))
 
 
 def split_pages(dumps: DataFrame, key: str, text: str = "value") -> DataFrame:

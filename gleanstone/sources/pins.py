@@ -29,8 +29,8 @@ def _requirement(line: str, package: str) -> str | None:
         return None
 
 
-def pin_of(name: str, text: str, package: str, npm_prefix: str = "@pipecat-ai/") -> str | None:
-    """The pin in a dependency file; npm ranges stay as written; damaged files have none."""
+def pin_of(name: str, text: str, package: str, npm_scope: str | None = None) -> str | None:
+    """The pin in a dependency file; npm ranges stay as written, and any package of npm_scope (such as `@name/`) counts, too; damaged files have none."""
     try:
         if name == "requirements.txt":
             return next((p for line in text.splitlines() if (p := _requirement(line, package))), None)
@@ -41,18 +41,18 @@ def pin_of(name: str, text: str, package: str, npm_prefix: str = "@pipecat-ai/")
         if name == "package.json":
             data = json.loads(text)
             found = {**data.get("devDependencies", {}), **data.get("dependencies", {})}
-            return next((str(v) for k, v in found.items() if k == package or k.startswith(npm_prefix)), None)
+            return next((str(v) for k, v in found.items() if k == package or (npm_scope and k.startswith(npm_scope))), None)
     except (tomllib.TOMLDecodeError, json.JSONDecodeError, AttributeError, TypeError):
         pass
     return None
 
 
-def file_pins(files: DataFrame, package: str) -> DataFrame:
+def file_pins(files: DataFrame, package: str, npm_scope: str | None = None) -> DataFrame:
     """repo, dir, prio, pin of every dependency file that has one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(pin=[pin_of(n, t or "", package) for n, t in zip(batch["name"], batch["content"])]).drop(columns="content")
+            yield batch.assign(pin=[pin_of(n, t or "", package, npm_scope) for n, t in zip(batch["name"], batch["content"])]).drop(columns="content")
 
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     own = files.filter(name.isin(*FILES)).select("repo", F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1).alias("dir"), name.alias("name"), "content")

@@ -64,8 +64,8 @@ def test_porter(word, stem):
 
 
 def test_symbols_and_concepts(spark):
-    q = F.lit("use DailyTransport with run_bot and pipecat.frames TTS in a Plain I word")
-    assert one(spark, text.query_symbols(q)) == ["DailyTransport", "run_bot", "pipecat.frames", "TTS"]
+    q = F.lit("use DailyTransport with run_bot and acme.frames TTS in a Plain I word")
+    assert one(spark, text.query_symbols(q)) == ["DailyTransport", "run_bot", "acme.frames", "TTS"]
     assert one(spark, text.concepts(F.lit("a + b & c"))) == ["a", "b", "c"]
     assert one(spark, text.concepts(F.lit("a+b"))) == [] and one(spark, text.concepts(F.lit(" + only"))) == []
     assert len(one(spark, text.concepts(F.lit(" + ".join("abcdefg"))))) == 5
@@ -73,8 +73,8 @@ def test_symbols_and_concepts(spark):
 
 def test_text_shapes(spark):
     assert one(spark, text.bracket_modules(F.lit("a.[x, y].z"))) == ["a.x.z", "a.y.z"] and one(spark, text.bracket_modules(F.lit("a.b"))) == ["a.b"]
-    assert one(spark, text.module_path(F.lit("src/pipecat/services/grok/__init__.py"))) == "pipecat.services.grok"
-    assert one(spark, text.module_path(F.lit("src/pipecat/services/ai.py"))) == "pipecat.services.ai"
+    assert one(spark, text.module_path(F.lit("src/acme/services/grok/__init__.py"))) == "acme.services.grok"
+    assert one(spark, text.module_path(F.lit("src/acme/services/ai.py"))) == "acme.services.ai"
     assert one(spark, text.url_path(F.lit("https://x.y/guides/a?b#c"))) == "/guides/a"
     assert one(spark, text.domain(F.lit("deploy/x.py"))) == "infra" and one(spark, text.domain(F.lit("a/b.yaml"))) == "config"
     assert one(spark, text.domain(F.lit("client/x.py"))) == "frontend" and one(spark, text.domain(F.lit("bot.py"))) == "backend"

@@ -56,7 +56,7 @@ def test_code_chunks():
 
 
 SOURCE = '''"""Doc."""
-from pipecat.frames import A, B as Bee
+from acme.frames import A, B as Bee
 import os
 from . import near
 
@@ -89,21 +89,21 @@ def top(A):
 
 
 def test_python_symbols():
-    rows = code.python_symbols(SOURCE, "pkg.mod", "pipecat")
+    rows = code.python_symbols(SOURCE, "pkg.mod", "acme")
     kinds = [(r["chunk_type"], r.get("class_name"), r.get("method_name")) for r in rows]
     assert kinds == [("module_overview", None, None), ("class_overview", "K", None), ("method", "K", "run"), ("function", None, "top")]
     overview, cls, run, top = rows
     assert "Exports: K" in overview["content"] and cls["is_dataclass"] and cls["base_classes"] == ["Base", "mixin.M"]
     assert run["method_signature"] == "(self, a, /, b: int = 1, *args, c, d = 2, **kw) -> str" and run["is_abstract"] and run["return_type"] == "str"
     assert run["yields"] == ["Bee"] and run["calls"] == ["go", "K.make", "super().run"]
-    assert run["imports"] == ["from pipecat.frames import A", "from pipecat.frames import B as Bee", "from . import near"]
+    assert run["imports"] == ["from acme.frames import A", "from acme.frames import B as Bee", "from . import near"]
     assert top["imports"] == [] and top["calls"] == ["m"]
-    assert any(r.get("method_name") == "tiny" for r in code.python_symbols(SOURCE, "m", "pipecat", stub=True)) and code.python_symbols(" ", "m", "pipecat") == []
+    assert any(r.get("method_name") == "tiny" for r in code.python_symbols(SOURCE, "m", "acme", stub=True)) and code.python_symbols(" ", "m", "acme") == []
 
 
 def test_files_that_do_not_parse_are_rows(spark):
     files = spark.createDataFrame([("r", "src/p/a.py", "p.a", "def f(:"), ("r", "src/p/b.py", "p.b", SOURCE)], "repo string, path string, module_path string, content string")
-    rows = code.parse_python(files, "pipecat")
+    rows = code.parse_python(files, "acme")
     assert rows.filter("error like 'SyntaxError%'").count() == 1
     types = spark.createDataFrame([("run", ["T"])], "method_name string, related_types array<string>")
     chunks = code.symbol_chunks(rows, "sha", types)
@@ -138,10 +138,10 @@ def test_discovery(spark, tmp_path):
     assert taxonomy.by_tag(taxonomy.entries(files, dirs), "daily").count() == 1
     chunks = code.chunk_files(files.filter("path = 'examples/flat/main.py'"), "sha").first()
     assert (chunks["line_start"], chunks["line_end"], chunks["language"]) == (1, 2, "python")
-    rows = {r["path"]: r for r in ingest.example_chunks(files, "sha", "pipecat-ai", framework="1.0").filter("path like 'examples/%py'").collect()}
+    rows = {r["path"]: r for r in ingest.example_chunks(files, "sha", "acme-ai", framework="1.0").filter("path like 'examples/%py'").collect()}
     assert rows["examples/flat/main.py"]["capability_tags"] == ["daily", "bot"] and rows["examples/flat/main.py"]["execution_mode"] == "cloud" and rows["examples/flat/main.py"]["pipeline_version_pin"] == "1.0"
     assert rows["examples/topic/one/bot.py"]["readme_content"].startswith("# T")
-    kinds = {r["chunk_type"] for r in ingest.source_chunks(files, "sha", "pipecat").collect()}
+    kinds = {r["chunk_type"] for r in ingest.source_chunks(files, "sha", "acme").collect()}
     assert kinds == {"module_overview"}
     (tmp_path / "dump.txt").write_text("# A\nSource: https://d/a\nbody")
     assert ingest.docs_chunks(spark, f"file://{tmp_path}/dump.txt").first()["path"] == "/a"
@@ -176,15 +176,15 @@ def test_readme_summary():
 
 
 def test_pins(spark):
-    assert pins.pin_of("requirements.txt", "# c\nother==1\npipecat_ai[daily]>=0.0.50 ; python_version > '3'\n", "pipecat-ai") == ">=0.0.50"
-    toml = '[project]\ndependencies = ["x", "pipecat-ai[all]~=0.0.9"]\n'
-    assert pins.pin_of("pyproject.toml", toml, "pipecat-ai") == "~=0.0.9" and pins.pin_of("pyproject.toml", "not toml [", "p") is None
-    assert pins.pin_of("package.json", json.dumps({"dependencies": {"@pipecat-ai/client": "^1.2"}}), "pipecat-ai") == "^1.2" and pins.pin_of("package.json", "[]", "p") is None
+    assert pins.pin_of("requirements.txt", "# c\nother==1\nacme_ai[daily]>=0.0.50 ; python_version > '3'\n", "acme-ai") == ">=0.0.50"
+    toml = '[project]\ndependencies = ["x", "acme-ai[all]~=0.0.9"]\n'
+    assert pins.pin_of("pyproject.toml", toml, "acme-ai") == "~=0.0.9" and pins.pin_of("pyproject.toml", "not toml [", "p") is None
+    assert pins.pin_of("package.json", json.dumps({"dependencies": {"@acme/client": "^1.2"}}), "acme-ai", "@acme/") == "^1.2" and pins.pin_of("package.json", "[]", "p") is None
     found = spark.createDataFrame([("r", "", "requirements.txt", "1", 2), ("r", "a", "pyproject.toml", "2", 1), ("r", "a", "requirements.txt", "3", 2)], "repo string, dir string, name string, pin string, prio int")
     dirs = spark.createDataFrame([("r", "a/b"), ("r", "c"), ("r", "."), ("q", "a")], "repo string, dir string")
     assert {(r["repo"], r["dir"]): r["pin"] for r in pins.nearest_pins(dirs, found).collect()} == {("r", "a/b"): "2", ("r", "c"): "1", ("r", "."): "1"}
-    files = spark.createDataFrame([("r", "a/requirements.txt", "pipecat-ai==1.0"), ("r", "b/x.py", "")], "repo string, path string, content string")
-    assert [(r["dir"], r["pin"]) for r in pins.file_pins(files, "pipecat-ai").collect()] == [("a", "==1.0")]
+    files = spark.createDataFrame([("r", "a/requirements.txt", "acme-ai==1.0"), ("r", "b/x.py", "")], "repo string, path string, content string")
+    assert [(r["dir"], r["pin"]) for r in pins.file_pins(files, "acme-ai").collect()] == [("a", "==1.0")]
 
 
 RST = """.. _Opts:
@@ -259,15 +259,15 @@ def test_typescript(spark):
 
 def test_deprecations(spark, tmp_path):
     proxy = 'DeprecatedModuleProxy(globals(), "grok", "xai.[llm,tts]")\nDeprecatedModuleProxy(\n  globals(),\n "old",\n "new",\n)'
-    entries = deprecation.from_proxies(spark.createDataFrame([("src/pipecat/services/grok/__init__.py", proxy)], "path string, content string")).orderBy("old_path").collect()
-    assert [(e["old_path"], e["new_path"]) for e in entries] == [("pipecat.services.grok", "pipecat.services.xai.llm, pipecat.services.xai.tts"), ("pipecat.services.old", "pipecat.services.new")]
-    body = "### Added\n- x\n### Deprecated\n- `pipecat.a.b` is old,\n  use `pipecat.c` instead\n- `FooService` goes\n### Removed\n- prose only\n"
-    got = deprecation.release_entries("1.0", body)
-    assert [(e["old_path"], e["new_path"], e["deprecated_in"], e["removed_in"]) for e in got] == [("pipecat.a.b", "pipecat.c", "1.0", None), ("FooService", None, "1.0", None), ("release:1.0:prose only", None, None, "1.0")]
-    releases = spark.createDataFrame([("1.1", "### Removed\n- `pipecat.a.b` gone"), ("1.0", body)], "version string, body string")
-    merged, notes = deprecation.from_releases(releases)
-    row = merged.filter("old_path = 'pipecat.a.b'").first()
-    assert (row["deprecated_in"], row["removed_in"], row["new_path"]) == ("1.0", "1.1", "pipecat.c") and notes.count() == 1
+    entries = deprecation.from_proxies(spark.createDataFrame([("src/acme/services/grok/__init__.py", proxy)], "path string, content string")).orderBy("old_path").collect()
+    assert [(e["old_path"], e["new_path"]) for e in entries] == [("acme.services.grok", "acme.services.xai.llm, acme.services.xai.tts"), ("acme.services.old", "acme.services.new")]
+    body = "### Added\n- x\n### Deprecated\n- `acme.a.b` is old,\n  use `acme.c` instead\n- `FooService` goes\n### Removed\n- prose only\n"
+    got = deprecation.release_entries("1.0", body, "acme")
+    assert [(e["old_path"], e["new_path"], e["deprecated_in"], e["removed_in"]) for e in got] == [("acme.a.b", "acme.c", "1.0", None), ("FooService", None, "1.0", None), ("release:1.0:prose only", None, None, "1.0")]
+    releases = spark.createDataFrame([("1.1", "### Removed\n- `acme.a.b` gone"), ("1.0", body)], "version string, body string")
+    merged, notes = deprecation.from_releases(releases, "acme")
+    row = merged.filter("old_path = 'acme.a.b'").first()
+    assert (row["deprecated_in"], row["removed_in"], row["new_path"]) == ("1.0", "1.1", "acme.c") and notes.count() == 1
     table = spark.createDataFrame([("a.b", "n1", None, None, "", 0), ("a.b.c", "n2", None, None, "", 1), ("z", None, None, None, "", 2)], deprecation.ENTRIES)
     asked = spark.createDataFrame([("a.b.c",), ("a.b.x",), ("a",), ("ab",), ("z",)], "symbol string")
     assert {r["symbol"]: r["old_path"] for r in deprecation.check(table, asked).collect()} == {"a.b.c": "a.b.c", "a.b.x": "a.b", "a": "a.b", "ab": None, "z": "z"}
