@@ -430,6 +430,19 @@ def test_html(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
+def test_html_keeps_what_an_article_says():
+    def text(inner):
+        return [t for k, t in html_text.page_blocks(f"<html><body>{inner}</body></html>") if k == html_text.ARTICLE]
+
+    assert text('<article><p class="ad">buy<p>real one</p><p>two</p></article>') == ["real one", "two"]
+    assert text('<article><p>a</p><div class="ad">buy <b>now</b></article><article><p>b</p></article>') == ["a", "b"]
+    assert text('<article><div class="ad"><article>nested ad</article></div><p>b</p></article>') == ["b"]
+    assert text('<article><h2 id="social-sciences">S</h2><section id="related-work"><h2>R</h2><p>x</p></section><p id="comment-on-the-text">c</p><p class="share-price">9</p></article>') == ["S", "R", "x", "c", "9"]
+    assert text('<article><p>a</p><div class="share-buttons">s</div><div class="related-posts">r</div><div id="comments">c</div><p class="promo">p</p><section class="comments">k</section></article>') == ["a"]
+    assert text('<article><ul><li class="ad"><p>buy</p><ul><li>x<li>y</ul></li><li>kept</li><li class="ad">buy</ul><p>z</p></article>') == ["kept", "z"]
+    assert text('<article><ul><li class="ad">buy<li>kept</ul><p>z</p></article>') == ["kept", "z"]
+
+
 def test_html_counts_runs_over_the_whole_host(spark):
     notice = "this section is closed until further notice please come back"
     data = [(i, f"http://big.org/{i}", f"<body><p>q{i} r{i} s{i} t{i}</p>" + (f"<div>{notice}</div>" if i % 20 == 0 else "") + "</body>") for i in range(80)]
