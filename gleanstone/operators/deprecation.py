@@ -104,16 +104,23 @@ def release_entries(version: str, body: str, package: str) -> list[dict]:
     return out
 
 
-def from_releases(releases: DataFrame, package: str, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(entries, notes) of releases (version, body) of package, oldest first by version text; existing entries come before and keep what they have."""
+FOUND = struct("old_path string, new_path string, deprecated_in string, removed_in string, note string, version string, k int")
+
+
+def release_rows(releases: DataFrame, package: str) -> DataFrame:
+    """The entries of each of releases (version, body), with version and place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(e["old_path"], e["new_path"], e["deprecated_in"], e["removed_in"], e["note"], v, k) for v, b in zip(batch["version"], batch["body"]) for k, e in enumerate(release_entries(v, b or "", package))]
             if rows:
-                yield pd.DataFrame(rows, columns=["old_path", "new_path", "deprecated_in", "removed_in", "note", "version", "k"])
+                yield pd.DataFrame(rows, columns=FOUND.names)
+
+    return releases.select("version", "body").mapInPandas(run, FOUND)
 
-    found = releases.select("version", "body").mapInPandas(run, "old_path string, new_path string, deprecated_in string, removed_in string, note string, version string, k int")
+
+def merged_releases(found: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, notes) of release_rows, oldest first by version text, whatever their order; existing entries come before and keep what they have."""
     real = found.filter(~F.col("old_path").startswith("release:")).withColumn("at", F.struct(F.lit(1).alias("s"), F.col("version").alias("v"), F.col("k").cast("long").alias("k")))
     if existing is not None:
         mine = existing.withColumn("at", F.struct(F.lit(0).alias("s"), F.lit("").alias("v"), F.col("ord").alias("k")))
@@ -126,6 +133,10 @@ def from_releases(releases: DataFrame, package: str, existing: DataFrame | None
     return merged, found.filter(F.col("old_path").startswith("release:")).drop("version", "k")
 
 
+def from_releases(releases: DataFrame, package: str, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return merged_releases(release_rows(releases, package), existing)
+
+
 def load(spark, path: str) -> DataFrame:
     """A saved map (JSON lines or one JSON list); damaged files give no entries."""
     rows = spark.read.schema(T.StructType(list(ENTRIES) + [T.StructField("_bad", T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)

@@ -139,6 +139,17 @@ def text_search(index: TextIndex, queries: Sequence[tuple[int, str]], limit: int
     return total.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "chunk_id", "rank", "score")
 
 
+#: The columns that a free text is looked for in, as far as a table has them.
+TEXT_FIELDS = ("chunk_id", "content", "title", "repo", "path", "language", "chunk_type")
+
+
+def free_text(chunks: DataFrame, asked: str, content_types: Sequence[str] | None = None) -> DataFrame:
+    """Rows that hold `asked`, in any case, in one of TEXT_FIELDS; a blank text holds everywhere. content_types: the kinds that are shown, all if none are named."""
+    fields = [F.col(c).cast("string") for c in TEXT_FIELDS if c in chunks.columns]
+    rows = chunks.filter(F.col("content_type").isin(list(content_types))) if content_types is not None else chunks
+    return rows.filter(F.exists(F.array(*fields), lambda f: F.coalesce(F.lower(f).contains(asked.strip().lower()), F.lit(False)))) if asked.strip() else rows
+
+
 def lookup(chunks: DataFrame, chunk_id: str) -> DataFrame:
     return chunks.filter(F.col("chunk_id") == chunk_id).limit(1).withColumn("score", F.lit(1.0))
 

@@ -2,56 +2,84 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+import re
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.scoring import bm25, idf
+from ..functions.scoring import BM25_B, BM25_K1, IDF_FLOOR, bm25
 from ..functions.stemming import porter
-from ..functions.text import words
+from ..functions.text import _ACCENTED, _PLAIN, words
 from ..schema import struct
+from ..session import scratch, small_batches
 from .search import TextIndex, stemmed
 
 #: Rows of a batch whose tokens are grouped at a time.
 ROWS = 256
+_FOLD = str.maketrans(_ACCENTED, _PLAIN)
 
 
-def posting_rows(rows: DataFrame, tokens: str, keep: list[str], stems: bool) -> DataFrame:
-    """keep, term, tf, positions: a row for each distinct term of each row's tokens. A row's tokens are together, so nothing is shuffled."""
+def tokens_of(text: str | None) -> list[str]:
+    """Runs of letters and digits, folded: what functions.text.words gives, for whole tables several times as fast."""
+    low = (text or "").lower()
+    return re.findall(r"[^\W_]+", low if low.isascii() else low.translate(_FOLD))
+
+
+class _Grouped:
+    """The tokens of some texts by term: names (of terms), and of each posting, by term and text, its term, text, number of uses and first place in positions."""
+
+    def __init__(self, texts: list[str | None], stem: Callable[[str], str] | None):
+        spelled = [tokens_of(t) for t in texts]
+        self.sizes = np.array([len(s) for s in spelled], np.int64)
+        coded = pa.array(list(chain.from_iterable(spelled)), pa.string()).dictionary_encode()
+        self.names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if stem:
+            again = pa.array([stem(t) for t in self.names.to_pylist()], pa.string()).dictionary_encode()
+            self.names, code = again.dictionary, again.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
+        text = np.repeat(np.arange(len(spelled)), self.sizes)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        key = code * max(1, len(spelled)) + text
+        order = np.argsort(key, kind="stable")
+        self.first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        self.term, self.text, self.positions = code[order[self.first]], text[order[self.first]], place[order]
+        self.tf = np.diff(np.append(self.first, len(text)))
+
+
+def _lists(edges: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values)
+
+
+def posting_rows(chunks: DataFrame, stems: bool) -> DataFrame:
+    """chunk_id, term, tf, positions: a row for each distinct term of each chunk (chunk_id, content). A chunk's tokens are together, so nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stem = cache(porter)
+        stem = cache(porter) if stems else None
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                lists = batch.column(len(keep))
-                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                coded = lists.flatten().dictionary_encode()
-                names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                if stems:
-                    again = pa.array([stem(t) for t in names.to_pylist()], pa.string()).dictionary_encode()
-                    names, code = again.dictionary, again.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                position = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                key = row * max(1, len(names)) + code
-                order = np.argsort(key, kind="stable")
-                first = np.flatnonzero(np.diff(key[order], prepend=-1))
-                edges = np.append(first, len(row))
-                own = pa.array(row[order[first]])
-                yield pa.RecordBatch.from_arrays(
-                    [*[c.take(own) for c in batch.columns[: len(keep)]], names.take(pa.array(code[order[first]])).cast(pa.string()), pa.array(np.diff(edges)), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(position[order], pa.int32()))],
-                    names=[*keep, "term", "tf", "positions"],
-                )
-
-    out = T.StructType([*rows.select(*keep).schema, *struct("term string, tf long, positions array<int>")])
-    return rows.select(*keep, tokens).mapInArrow(run, out)
+                ids, contents = whole.slice(at, ROWS).columns
+                g = _Grouped(contents.to_pylist(), stem)
+                names = g.names.take(pa.array(g.term)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(g.text)), names, pa.array(g.tf), _lists(np.append(g.first, len(g.positions)), pa.array(g.positions, pa.int32()))], names=["chunk_id", "term", "tf", "positions"])
+
+    return chunks.select("chunk_id", "content").mapInArrow(run, "chunk_id string, term string, tf long, positions array<int>")
+
+
+def chunk_lengths(chunks: DataFrame) -> DataFrame:
+    """chunk_id, dl: the number of tokens of each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(tokens_of(t)) for t in batch.column(1).to_pylist()], pa.int64())], names=["chunk_id", "dl"])
+
+    return chunks.select("chunk_id", "content").mapInArrow(run, "chunk_id string, dl long")
 
 
 SEGMENTS = {
@@ -89,8 +117,9 @@ class TextSegments:
 
     def _write(self, rows: DataFrame, name: str, number: int) -> DataFrame:
         columns = [f.name for f in SEGMENTS[name] if f.name != "segment"]
-        out = rows.select(*[F.col(c).cast(SEGMENTS[name][c].dataType).alias(c) for c in columns], F.lit(number).cast("long").alias("segment"))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment").parquet(f"{self.folder}/{name}")
+        with small_batches(self.spark):
+            out = rows.select(*[F.col(c).cast(SEGMENTS[name][c].dataType).alias(c) for c in columns], F.lit(number).cast("long").alias("segment"))
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment").parquet(f"{self.folder}/{name}")
         return self.table(name).filter(F.col("segment") == number)
 
     def _alive(self, name: str, numbers: list[int]) -> DataFrame:
@@ -112,10 +141,8 @@ class TextSegments:
         number = max(before, default=-1) + 1 if number is None else number
         ids = changed.select("chunk_id")
         ids = (ids.unionByName(removed.select("chunk_id")) if removed is not None else ids).distinct()
-        spelled = changed.select("chunk_id", words(F.coalesce("content", F.lit(""))).alias("w"))
-        lengths = self._write(spelled.select("chunk_id", F.size("w").alias("dl")), "lengths", number)
-        postings = posting_rows(spelled, "w", ["chunk_id"], self.stems)
-        postings = self._write(postings.repartition("term").sortWithinPartitions("term"), "postings", number)
+        lengths = self._write(chunk_lengths(changed), "lengths", number)
+        postings = self._write(posting_rows(changed, self.stems).repartition("term").sortWithinPartitions("term"), "postings", number)
         gone = self._write(self._alive("lengths", before).join(ids, "chunk_id", "left_semi").withColumn("of", F.col("segment")), "gone", number)
         old = self._alive("postings", before).join(gone.select("chunk_id"), "chunk_id", "left_semi")
         delta = postings.select("term", F.lit(1).alias("k")).unionByName(old.select("term", F.lit(-1).alias("k")))
@@ -135,15 +162,16 @@ class TextSegments:
         return out
 
 
-#: Chunks of a slice, about; and slices of a query that are scored first, for a score that others must reach.
-SLICE, FIRST = 512, 4
-#: So many terms at most are compared with a literal list, which the scan of blocks can use.
-LISTED = 10_000
+#: Chunks of a slice and its bytes, about; folders of an index by hash of terms; slices of a query that are scored first, for a score that others must reach.
+SLICE, SLICE_BYTES, BUCKETS, FIRST = 2048, 1 << 23, 64, 4
+
+
+BLOCKS = struct("term string, slice long, held long, most_tf long, least_dl long, ids array<string>, tfs array<int>, dls array<int>, positions array<int>, bucket int")
 
 
 @dataclass
 class BlockIndex:
-    """blocks (term, slice, held, most_tf, least_dl, postings: an array of chunk_id, tf, dl, positions), terms (term, df), corpus (docs, mean).
+    """blocks (term, slice, held, most_tf, least_dl, and of each of the `held` chunks ids, tfs, dls; positions one after the other), terms (term, df), corpus (docs, mean); blocks and terms are partitioned by bucket.
 
     A slice holds about SLICE chunks of nearly one length, so the most frequent use of a term and the least length in a block bound the scores of its chunks closely.
     """
@@ -154,41 +182,73 @@ class BlockIndex:
     stems: bool
 
 
-def _octave(dl: Column) -> Column:
-    """The quarter of an octave that a length is in."""
-    return F.floor(F.log2(dl + 1) * 4)
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _sliced(rows: DataFrame, lengths: DataFrame) -> DataFrame:
-    """rows (chunk_id, dl, ...) with `slice`: chunks of like lengths are dealt by hash. lengths (dl) has the table's lengths, of which only counts are read."""
-    sizes = lengths.groupBy(_octave(F.col("dl")).alias("_octave")).agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("_slices"))  # 128 rows at most
-    out = rows.withColumn("_octave", _octave(F.col("dl"))).join(F.broadcast(sizes), "_octave")
-    return out.withColumn("slice", F.col("_octave") * F.lit(1 << 40) + F.pmod(F.xxhash64("chunk_id"), "_slices")).drop("_octave", "_slices")
+def _sliced(chunks: DataFrame) -> DataFrame:
+    """chunk_id, content, slice: chunks of a quarter of an octave of bytes are dealt by hash to so many slices that one has about SLICE chunks or SLICE_BYTES bytes."""
+    rows = chunks.filter("chunk_id is not null").select("chunk_id", "content", F.floor(F.log2(F.coalesce(F.octet_length("content"), F.lit(0)) + 1) * 4).alias("_octave"))
+    most = F.greatest(F.count(F.lit(1)) / SLICE, F.sum(F.octet_length("content")) / SLICE_BYTES)
+    sizes = rows.groupBy("_octave").agg(F.ceil(most).alias("_slices"))  # 128 rows at most
+    return rows.join(F.broadcast(sizes), "_octave").select("chunk_id", "content", (F.col("_octave") * F.lit(1 << 40) + F.pmod(F.xxhash64("chunk_id"), "_slices")).alias("slice"))
 
 
-def _save(rows: DataFrame, lengths: DataFrame, folder: str) -> None:
-    """Write the index of rows (term, slice, chunk_id, tf, dl, positions)."""
-    held = F.collect_list(F.struct("chunk_id", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"), "positions"))
-    blocks = rows.groupBy("term", "slice").agg(F.count(F.lit(1)).alias("held"), F.max("tf").cast("long").alias("most_tf"), F.min("dl").cast("long").alias("least_dl"), held.alias("postings"))
-    blocks.repartitionByRange("term", "slice").sortWithinPartitions("term", "slice").write.mode("overwrite").parquet(f"{folder}/blocks")
-    terms = rows.sparkSession.read.parquet(f"{folder}/blocks").groupBy("term").agg(F.sum("held").alias("df"))
-    terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
-    lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean")).write.mode("overwrite").parquet(f"{folder}/corpus")
+def _slice_blocks(stems: bool) -> Callable[[pa.Table], pa.Table]:
+    """The blocks of a slice's chunks (chunk_id, content, slice), and one of no term that has all its chunks."""
 
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk_id")
+        ids = table.column("chunk_id").combine_chunks().cast(pa.string())
+        g = _Grouped(table.column("content").to_pylist(), cache(porter) if stems else None)
+        begin = np.flatnonzero(np.diff(g.term, prepend=-1))  # the first posting of each term
+        edges = np.append(begin, len(g.term))
+        own = np.append(g.first, len(g.positions))[edges]
+        # In one array for each term: tf of its postings, their dl, their positions.
+        start = own + 2 * edges
+        numbers = np.empty(len(g.positions) + 2 * len(g.term), np.int32)
+        in_term = np.repeat(np.arange(len(begin)), np.diff(edges))
+        place = np.arange(len(g.term)) - edges[in_term]
+        numbers[start[in_term] + place] = g.tf
+        numbers[start[in_term] + np.diff(edges)[in_term] + place] = g.sizes[g.text]
+        of_use = np.repeat(in_term, g.tf)
+        numbers[start[of_use] + 2 * np.diff(edges)[of_use] + np.arange(len(g.positions)) - own[of_use]] = g.positions
+        blocks = [g.names.take(pa.array(g.term[begin])).cast(pa.string()), _lists(edges, ids.take(pa.array(g.text))), _lists(start, pa.array(numbers))]
+        n = table.num_rows
+        whole = [pa.array([None], pa.string()), _lists(np.array([0, n]), ids), _lists(np.array([0, 2 * n]), pa.array(np.concatenate([np.zeros(n), g.sizes]), pa.int32()))]
+        names = ["term", "ids", "numbers"]
+        out = pa.concat_tables([pa.table(blocks, names=names), pa.table(whole, names=names)])
+        return out.add_column(1, "slice", pa.array([table.column("slice")[0].as_py()] * out.num_rows, pa.int64()))
 
-def save_blocks(chunks: DataFrame, folder: str, stems: bool = True) -> None:
-    """Index chunks (chunk_id, content) in blocks below a folder: in ranges of terms and slices, so that a frequent term's blocks are in many files and a query reads the row groups of its terms."""
-    spelled = chunks.select("chunk_id", words(F.coalesce("content", F.lit(""))).alias("w")).select("chunk_id", F.size("w").cast("long").alias("dl"), "w")
-    _save(posting_rows(_sliced(spelled, spelled), "w", ["chunk_id", "dl", "slice"], stems), spelled, folder)
+    return build
 
 
-def save_merged(index: TextIndex, folder: str) -> None:
-    """An index that is kept otherwise, such as that of segments, in blocks below a folder."""
-    _save(index.postings.join(_sliced(index.lengths, index.lengths), "chunk_id"), index.lengths, folder)
+def save_blocks(chunks: DataFrame, folder: str, stems: bool = True) -> None:
+    """Index chunks (chunk_id, content) in blocks below a folder, those of a term in the folder of its bucket and in order, so that a query reads only the row groups of its terms.
+
+    Texts are shuffled once, to their slices; what a task makes of a slice is dealt to buckets, a frequent term's blocks to several files.
+    """
+    made = _sliced(chunks).groupBy("slice").applyInArrow(_slice_blocks(stems), "term string, slice long, ids array<string>, numbers array<int>")
+    made = made.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(_bucket(F.col("term"))))
+    n, numbers = F.size("ids"), F.col("numbers")
+    tfs, dls, positions = F.slice(numbers, F.lit(1), n), F.slice(numbers, n + 1, n), F.slice(numbers, 2 * n + 1, F.size(numbers))
+    dealt = made.repartition("bucket", F.pmod("slice", F.lit(8)))
+    most, least = F.array_max(tfs).cast("long").alias("most_tf"), F.array_min(dls).cast("long").alias("least_dl")
+    dealt = dealt.select("bucket", "term", "slice", n.cast("long").alias("held"), most, least, "ids", tfs.alias("tfs"), dls.alias("dls"), positions.alias("positions"))
+    with small_batches(chunks.sparkSession):
+        dealt.sortWithinPartitions("bucket", "term", "slice").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/blocks")
+    written = chunks.sparkSession.read.schema(BLOCKS).parquet(f"{folder}/blocks")
+    terms = written.filter("bucket >= 0").groupBy("bucket", "term").agg(F.sum("held").alias("df"))
+    terms.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
+    lengths = F.aggregate("dls", F.lit(0).cast("long"), lambda s, x: s + x)
+    corpus = written.filter("bucket < 0").agg(F.coalesce(F.sum("held"), F.lit(0)).alias("docs"), (F.sum(lengths) / F.sum("held")).alias("mean"))
+    corpus.write.mode("overwrite").parquet(f"{folder}/corpus")
 
 
 def load_blocks(spark: SparkSession, folder: str, stems: bool = True) -> BlockIndex:
-    return BlockIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("blocks", "terms", "corpus")], stems)
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
+    terms = spark.read.schema("term string, df long, bucket int").parquet(f"{folder}/terms")
+    return BlockIndex(blocks.filter("bucket >= 0"), terms, spark.read.schema("docs long, mean double").parquet(f"{folder}/corpus"), stems)
 
 
 def query_terms(queries: DataFrame, stems: bool) -> DataFrame:
@@ -202,87 +262,176 @@ def query_terms(queries: DataFrame, stems: bool) -> DataFrame:
     return rows.select("query_id", "phrase", "at", "term", "n", "phrases")
 
 
+class _Slice:
+    """The blocks of one slice, and where phrases occur in it."""
+
+    def __init__(self, table: pa.Table, phrases: list[tuple[str, ...]]):
+        self.phrases = phrases
+        self.row = {t: k for k, t in enumerate(table.column("term").to_pylist())}
+        ids, tfs, dls = (table.column(c).combine_chunks() for c in ("ids", "tfs", "dls"))
+        self.edges = np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
+        coded = ids.flatten().dictionary_encode()
+        order = np.argsort(np.array(coded.dictionary.to_pylist(), object), kind="stable")
+        self.names = coded.dictionary.take(pa.array(order))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.doc = rank[coded.indices.to_numpy(zero_copy_only=False)]  # numbers in the order of ids, ascending in each block
+        self.tf = tfs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.dl = np.zeros(len(order))
+        self.dl[self.doc] = dls.flatten().to_numpy(zero_copy_only=False)
+        if "positions" in table.column_names:
+            places = table.column("positions").combine_chunks()
+            self.uses = np.append(0, np.cumsum(places.value_lengths().to_numpy(zero_copy_only=False)))
+            self.at = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _starts(self, term: str, at: int) -> np.ndarray:
+        """Where a phrase with this term in place `at` would start, as one number for chunk and position, ascending."""
+        k = self.row[term]
+        own = slice(self.edges[k], self.edges[k + 1])
+        return (np.repeat(self.doc[own], self.tf[own]) << 32) + self.at[self.uses[k] : self.uses[k + 1]] - at
+
+    def phrase(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks of a phrase, ascending, and how often each has it."""
+        if number not in self.known:
+            terms = self.phrases[number]
+            if any(t not in self.row for t in terms):
+                found = np.empty(0, np.int64), np.empty(0, np.int64)
+            elif len(terms) == 1:
+                own = slice(self.edges[self.row[terms[0]]], self.edges[self.row[terms[0]] + 1])
+                found = self.doc[own], self.tf[own]
+            else:
+                starts = reduce(lambda x, y: np.intersect1d(x, y, assume_unique=True), [self._starts(t, k) for k, t in enumerate(terms)])
+                found = np.unique(starts >> 32, return_counts=True)
+            self.known[number] = found
+        return self.known[number]
+
+    def best(self, numbers: list[int], weights: list[float], mean: float, limit: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks that hold all phrases, and their scores: the `limit` best, equal scores in the order of ids, or all."""
+        parts = [self.phrase(n) for n in numbers]
+        docs = reduce(lambda x, y: np.intersect1d(x, y, assume_unique=True), sorted((d for d, _ in parts), key=len))
+        score = np.zeros(len(docs))
+        for (own, tf), weight in zip(parts, weights):
+            f = tf[np.searchsorted(own, docs)]
+            score += weight * f * (BM25_K1 + 1) / (f + BM25_K1 * (1 - BM25_B + BM25_B * self.dl[docs] / mean))
+        top = np.lexsort((docs, -np.round(score, 9)))[:limit]
+        return docs[top], score[top]
+
+
 class BlockSearch:
-    """The steps of a search. All phrases of a query must occur in a chunk, a phrase's tokens side by side.
+    """The steps of a search for a block of queries. All phrases of a query must occur in a chunk, a phrase's tokens side by side.
+
+    parts: of each phrase and slice the number of chunks, the most uses and the least length; of single words from the names of blocks, without their postings. bounds: for each query the slices that hold all its
+    phrases, with the most a chunk in them can score. least: the FIRST best of these are scored, and the score of rank `limit` is what a chunk elsewhere must reach. open: the slices whose bound reaches it. The others are
+    never scored, and the result is that of scoring all. A slice is scored in one task for all queries that are open in it, and gives each query's best.
 
-    bounds: for each query the slices that hold all its phrases, with the most a chunk in them can score. Only names of blocks are read for it, not their postings.
-    least: the FIRST best of these are scored, and the score of rank `limit` is what a chunk elsewhere must reach. open: the slices whose bound reaches it. The others are never read, and the result is that of scoring all.
-    Phrases of several tokens are looked up beforehand in the slices that hold all of them, as their frequency in the table is part of the score.
+    What the driver holds is bounded by the queries: their terms with document frequencies, and a score for each.
     """
 
     def __init__(self, index: BlockIndex, queries: DataFrame, limit: int, allowed: DataFrame | None = None):
-        self.limit, self.allowed = limit, allowed
-        wanted = query_terms(queries.select("query_id", "query"), index.stems)
-        terms = [r[0] for r in wanted.select("term").distinct().limit(LISTED + 1).collect()]
-        self.blocks, df = index.blocks, index.terms
-        if len(terms) <= LISTED:
-            listed = F.col("term").isin(terms) if terms else F.lit(False)
-            self.blocks, df = self.blocks.filter(listed), df.filter(listed)
-        self.corpus = F.broadcast(index.corpus)  # one row
-        single = wanted.filter("n = 1").join(df, "term").crossJoin(self.corpus)
-        self.single = single.select("query_id", "phrase", "phrases", "term", "mean", idf(F.col("docs"), F.col("df")).alias("weight"))
-        multi = wanted.filter("n > 1")
-        self.found = None if multi.isEmpty() else self._phrases(multi)
-
-    def _phrases(self, multi: DataFrame) -> DataFrame:
-        """query_id, phrase, phrases, slice, chunk_id, tf, dl, weight, mean of the phrases of several tokens."""
-        key = ["query_id", "phrase", "slice"]
-        there = self.blocks.select("term", "slice").join(multi, "term").groupBy(*key).agg(F.count(F.lit(1)).alias("seen"), F.max("n").alias("_n")).filter("seen = _n").select(*key)
-        hit = self.blocks.join(multi, "term").join(there, key, "left_semi").select(*key, "phrases", "n", "at", F.explode("postings").alias("p"))
-        starts = hit.select(*key, "phrases", "n", "at", "p.chunk_id", "p.dl", F.explode(F.transform("p.positions", lambda x: x - F.col("at"))).alias("start"))
-        whole = starts.groupBy(*key, "phrases", "n", "chunk_id", "dl", "start").agg(F.count(F.lit(1)).alias("seen")).filter("seen = n")
-        tf = whole.groupBy(*key, "phrases", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-        df = tf.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df")).crossJoin(self.corpus)
-        return tf.join(df.select("query_id", "phrase", "mean", idf(F.col("docs"), F.col("df")).alias("weight")), ["query_id", "phrase"])
+        self.index, self.limit, self.allowed, self.spark = index, limit, allowed, index.blocks.sparkSession
+        rows = query_terms(queries.select("query_id", "query"), index.stems).select("*", _bucket(F.col("term")).alias("bucket")).collect()
+        spelled: dict = {}
+        for r in rows:
+            spelled.setdefault(r["query_id"], {}).setdefault(r["phrase"], {})[r["at"]] = r["term"]
+        number: dict[tuple[str, ...], int] = {}
+        self.ids = list(spelled)
+        self.asked = [[number.setdefault(tuple(t for _, t in sorted(p.items())), len(number)) for _, p in sorted(phrases.items())] for phrases in spelled.values()]
+        self.phrases = list(number)
+        self.multi = any(len(p) > 1 for p in self.phrases)
+        self.kind = dict(queries.dtypes)["query_id"]
+        listed = F.col("bucket").isin(sorted({r["bucket"] for r in rows})) & F.col("term").isin(sorted({r["term"] for r in rows})) if rows else F.lit(False)
+        self.blocks = index.blocks.filter(listed)
+        self.docs, self.mean = index.corpus.first() or (0, None)
+        df = {r["term"]: r["df"] for r in index.terms.filter(listed).select("term", "df").collect()}
+        if self.multi:
+            self.found = self._found()
+            together = {r["phrase"]: r["df"] for r in self.found.groupBy("phrase").agg(F.sum("held").alias("df")).collect()}
+        self.weights = [self._weight(df.get(p[0], 0) if len(p) == 1 else together.get(k, 0)) for k, p in enumerate(self.phrases)]
+
+    def _weight(self, df: int) -> float:
+        """The idf, as functions.scoring.idf gives it."""
+        raw = math.log((self.docs - df + 0.5) / (df + 0.5)) if df else 0.0
+        return raw if raw > 0 else IDF_FLOOR
+
+    def _tables(self, wanted: DataFrame | None = None) -> DataFrame:
+        rows = self.blocks.select("slice", "term", "ids", "tfs", "dls", *(["positions"] if self.multi else []))
+        return rows.join(wanted.select("slice").distinct(), "slice", "left_semi") if wanted is not None else rows
+
+    def _found(self) -> DataFrame:
+        """phrase, slice, held, tf (most), dl (least) of the phrases of several tokens, from their positions; written, as their document frequencies come from it, too."""
+        phrases = self.phrases
+        numbers = [k for k, p in enumerate(phrases) if len(p) > 1]
+        terms = sorted({t for k in numbers for t in phrases[k]})
+
+        def count(table: pa.Table) -> pa.Table:
+            here, out = _Slice(table, phrases), []
+            for k in numbers:
+                docs, tf = here.phrase(k)
+                if len(docs):
+                    out.append((k, table.column("slice")[0].as_py(), len(docs), int(tf.max()), int(here.dl[docs].min())))
+            return pa.table([pa.array(list(c), pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names=["phrase", "slice", "held", "tf", "dl"])
+
+        path = scratch(self.spark, "phrases")
+        self._tables().filter(F.col("term").isin(terms)).groupBy("slice").applyInArrow(count, "phrase long, slice long, held long, tf long, dl long").write.parquet(path)
+        return self.spark.read.schema("phrase long, slice long, held long, tf long, dl long").parquet(path)
 
     def bounds(self) -> DataFrame:
-        """query_id, slice, bound."""
-        rows = self.blocks.select("term", "slice", F.col("most_tf").alias("tf"), F.col("least_dl").alias("dl")).join(self.single, "term")
-        rows = rows.select("query_id", "phrases", "slice", self._part().alias("part"))
-        if self.found is not None:
-            most = self.found.groupBy("query_id", "phrases", "phrase", "slice", "mean", "weight").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
-            rows = rows.unionByName(most.select("query_id", "phrases", "slice", self._part().alias("part")))
-        out = rows.groupBy("query_id", "phrases", "slice").agg(F.sum("part").alias("bound"), F.count(F.lit(1)).alias("m")).filter("m = phrases")
-        return out.select("query_id", "slice", "bound")
-
-    @staticmethod
-    def _part() -> Column:
-        return bm25(F.col("tf"), F.col("dl"), F.col("mean"), F.col("weight"))
-
-    def first(self, bounds: DataFrame) -> DataFrame:
-        best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "slice")
-        return bounds.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= FIRST).select("query_id", "slice")
+        """query (its number), slice, bound."""
+        asked = [(q, k, self.weights[k], len(numbers)) for q, numbers in enumerate(self.asked) for k in numbers]
+        asked = F.broadcast(self.spark.createDataFrame(asked, "query long, phrase long, weight double, m long"))  # as many as the queries have words
+        names = F.broadcast(self.spark.createDataFrame([(p[0], k) for k, p in enumerate(self.phrases) if len(p) == 1], "term string, phrase long"))
+        parts = self.blocks.select("term", "slice", F.col("most_tf").alias("tf"), F.col("least_dl").alias("dl")).join(names, "term").select("phrase", "slice", "tf", "dl")
+        if self.multi:
+            parts = parts.unionByName(self.found.select("phrase", "slice", "tf", "dl"))
+        part = bm25(F.col("tf"), F.col("dl"), F.lit(self.mean).cast("double"), F.col("weight"))
+        return parts.join(asked, "phrase").groupBy("query", "slice", "m").agg(F.sum(part).alias("bound"), F.count(F.lit(1)).alias("n")).filter("n = m").select("query", "slice", "bound")
 
     def scored(self, slices: DataFrame) -> DataFrame:
-        """query_id, chunk_id, score of the chunks of slices (query_id, slice) that match."""
-        pairs = slices.join(self.single, "query_id")
-        rows = self.blocks.join(pairs, ["term", "slice"]).select("query_id", "phrases", "mean", "weight", F.explode("postings").alias("p"))
-        rows = rows.select("query_id", "phrases", "p.chunk_id", F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"), "mean", "weight").select("query_id", "phrases", "chunk_id", self._part().alias("part"))
-        if self.found is not None:
-            more = self.found.join(slices, ["query_id", "slice"], "left_semi")
-            rows = rows.unionByName(more.select("query_id", "phrases", "chunk_id", self._part().alias("part")))
-        total = rows.groupBy("query_id", "chunk_id", "phrases").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("m")).filter("m = phrases")
-        return total.join(self.allowed.select("chunk_id"), "chunk_id", "left_semi").select("query_id", "chunk_id", "score") if self.allowed is not None else total.select("query_id", "chunk_id", "score")
+        """query, chunk_id, score of slices (query, slice): each slice's best chunks, or all that match and are allowed."""
+        phrases, asked, weights, mean = self.phrases, self.asked, self.weights, self.mean
+        limit = self.limit if self.allowed is None else None
+
+        def score(blocks: pa.Table, wanted: pa.Table) -> pa.Table:
+            out: list[tuple] = []
+            if blocks.num_rows and wanted.num_rows:
+                here = _Slice(blocks, phrases)
+                for q in wanted.column("queries")[0].as_py():
+                    docs, scores = here.best(asked[q], [weights[k] for k in asked[q]], mean, limit)
+                    out.append((np.full(len(docs), q), here.names.take(pa.array(docs)).cast(pa.string()), scores))
+            if not out:
+                return pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.float64())], names=["query", "chunk_id", "score"])
+            return pa.table([pa.array(np.concatenate([o[0] for o in out])), pa.chunked_array([o[1] for o in out]), pa.array(np.concatenate([o[2] for o in out]))], names=["query", "chunk_id", "score"])
+
+        wanted = slices.groupBy("slice").agg(F.collect_set("query").alias("queries")).select(F.col("slice").alias("at"), "queries")  # a block of queries at most
+        out = self._tables(slices).groupBy("slice").cogroup(wanted.groupBy("at")).applyInArrow(score, "query long, chunk_id string, score double")
+        return out if self.allowed is None else out.join(self.allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
     def best(self, scored: DataFrame) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")  # sums of equal parts may differ in the last bits
-        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= self.limit).select("query_id", "chunk_id", "rank", "score")
+        order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "chunk_id")  # sums of equal parts may differ in the last bits
+        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= self.limit).select("query", "chunk_id", "rank", "score")
 
     def least(self, bounds: DataFrame) -> DataFrame:
-        """query_id, least: the score of rank `limit` among the first slices, for queries that have so many hits there."""
-        begun = self.best(self.scored(self.first(bounds)))
-        return begun.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("least")).filter(F.col("_n") >= self.limit).select("query_id", "least")
+        """query, least: the score of rank `limit` among the first slices, for queries that have so many hits there."""
+        order = Window.partitionBy("query").orderBy(F.desc("bound"), "slice")
+        first = bounds.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= FIRST).select("query", "slice")
+        begun = self.best(self.scored(first)).groupBy("query").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("least"))
+        return begun.filter(F.col("_n") >= self.limit).select("query", "least")
 
     def open(self, bounds: DataFrame, least: DataFrame) -> DataFrame:
-        """query_id, slice: what can hold one of the best."""
-        held = bounds.join(F.broadcast(least), "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-8))
-        return held.select("query_id", "slice")
+        """query, slice: what can hold one of the best."""
+        held = bounds.join(F.broadcast(least), "query", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-8))
+        return held.select("query", "slice")
 
     def result(self) -> DataFrame:
+        """query_id, chunk_id, rank, score."""
+        if not self.ids or not self.docs:
+            return self.spark.createDataFrame([], f"query_id {self.kind}, chunk_id string, rank int, score double")
         bounds = self.bounds()
         begun = self.least(bounds)
-        least = begun.sparkSession.createDataFrame(begun.collect(), begun.schema)  # a row for each query of a block
-        return self.best(self.scored(self.open(bounds, least)))
+        least = self.spark.createDataFrame(begun.collect(), begun.schema)  # a row for each query of a block
+        names = self.spark.createDataFrame(list(enumerate(self.ids)), f"query long, query_id {self.kind}")
+        return self.best(self.scored(self.open(bounds, least))).join(F.broadcast(names), "query").select("query_id", "chunk_id", "rank", "score")
 
 
 def block_search(index: BlockIndex, queries: DataFrame | Sequence[tuple[int, str]], limit: int, allowed: DataFrame | None = None, block: int = 10_000) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.embedding import embed
 from ..operators.aggregates import refresh_totals, summary_order
 from ..operators.store import ChunkStore
 from ..schema import conform
+from ..sources.releases import follow_releases, followed
 
 STATUS = ("new", "changed", "same", "gone")
 
@@ -41,18 +42,35 @@ class Source:
     chunks: Callable[[], DataFrame]
 
 
+@dataclass
+class Releases:
+    """Where the pages of release notes are, where their entries and the mark of what was read are kept, and the package whose paths count. existing: entries found elsewhere, which come first."""
+
+    pages: str
+    folder: str
+    checkpoint: str
+    package: str
+    existing: DataFrame | None = None
+
+    def update(self, spark: SparkSession) -> DataFrame:
+        follow_releases(spark, self.pages, self.folder, self.checkpoint, self.package).awaitTermination()
+        return followed(spark, self.folder, self.existing)
+
+
 @dataclass
 class Refreshed:
     summary: DataFrame
     fingerprints: DataFrame
     errors: dict[str, str] = field(default_factory=dict)
 
+    deprecations: DataFrame | None = None
+
     def totals(self) -> DataFrame:
         return refresh_totals(self.summary)
 
 
-def refresh(spark: SparkSession, store: ChunkStore, sources: list[Source], stored: DataFrame, force: bool = False, embedder=None) -> Refreshed:
-    """Bring the store up to date with sources; stored has (name, fingerprint) of the last run, and a failed source keeps its rows but loses its fingerprint.
+def refresh(spark: SparkSession, store: ChunkStore, sources: list[Source], stored: DataFrame, force: bool = False, embedder=None, releases: Releases | None = None) -> Refreshed:
+    """Bring the store up to date with sources, and the deprecation map with release notes, of which only new pages are read; stored has (name, fingerprint) of the last run, and a failed source keeps its rows but loses its fingerprint.
 
     Rows of a source are those whose repo is its name, or, for documentation (name `docs`), whose content_type is doc.
     """
@@ -91,4 +109,4 @@ def refresh(spark: SparkSession, store: ChunkStore, sources: list[Source], store
         store.change(reduce(DataFrame.unionByName, added) if added else None, goes)
     summary = spark.createDataFrame(out, "name string, status string, existing long, upserted long, fingerprint string")
     prints = summary.filter("fingerprint is not null").select("name", "fingerprint")
-    return Refreshed(summary_order(summary.drop("fingerprint")), prints, errors)
+    return Refreshed(summary_order(summary.drop("fingerprint")), prints, errors, releases.update(spark) if releases else None)

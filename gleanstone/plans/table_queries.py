@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import aggregates, deprecation, evidence, fusion, search, store, text_index, vector_index
+from ..operators import aggregates, deprecation, evidence, fusion, search, store, taxonomy, text_index, vector_index
 from ..schema import conform
 from ..session import scratch
-from ..sources import code, markdown
-from . import refresh, tools
+from ..sources import code, history, markdown
+from . import dashboard, refresh, tools
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,8 +72,35 @@ def _(spark, d):
 
 @query("flt_free_text", f"WITH {CHUNKS} SELECT chunk_id FROM c WHERE contains(lower(concat_ws(chr(1), chunk_id, content, repo, path, language)), 'src1/de')")
 def _(spark, d):
-    hay = F.lower(F.concat_ws("\u0001", "chunk_id", "content", "repo", "path", "language"))
-    return chunks(spark, d).filter(hay.contains("src1/de")).select("chunk_id")
+    return search.free_text(chunks(spark, d), "SRC1/de ").select("chunk_id")
+
+
+@query("flt_free_text_kinds", f"WITH {CHUNKS} SELECT chunk_id, content_type FROM c WHERE content_type IN ('doc', 'source') AND (contains(lower(content), 'that is') OR contains(lower(chunk_id), 'that is'))")
+def _(spark, d):
+    return search.free_text(chunks(spark, d), "That Is", ["doc", "source"]).select("chunk_id", "content_type")
+
+
+@query("flt_name_prefixes", f"WITH {CHUNKS} SELECT chunk_id FROM c WHERE starts_with(coalesce(repo, ''), 'src1') AND starts_with(coalesce(repo, '') || '.' || language, 'src1') AND language <> 'en'")
+def _(spark, d):
+    rows = chunks(spark, d).withColumn("class_name", F.col("repo")).withColumn("module_path", F.concat_ws(".", F.coalesce("repo", F.lit("")), "language"))
+    return rows.filter(search.matches({"class_name": "src1", "module_path": "src1"})).filter("language <> 'en'").select("chunk_id")
+
+
+@query("agg_type_counts", f"WITH {CHUNKS} SELECT content_type, count(*) AS n FROM c GROUP BY ALL")
+def _(spark, d):
+    return dashboard.statistics(chunks(spark, d).withColumn("chunk_type", F.lit(None).cast("string")))["content_types"]
+
+
+@query(
+    "prj_preview",
+    r"""SELECT doc_id, regexp_replace(substr(text, 1, 200), '[\r\n]+', ' ', 'g') AS preview,
+    CASE n_chars % 6 WHEN 0 THEN 'class_overview' WHEN 1 THEN 'module_overview' WHEN 2 THEN 'method' WHEN 3 THEN 'function' WHEN 4 THEN 'type_definition' WHEN 5 THEN CASE WHEN lang = 'en' THEN 'given' END END AS kind FROM documents""".replace("\\\\", "\\"),
+)
+def _(spark, d):
+    heads = F.array(*[F.lit(h) for h in ("# class A", "# Module: m", "# A.run in m", "# run in m", "# Type: T", "text")])
+    content = F.concat_ws("\n", F.get(heads, (F.col("n_chars") % 6).cast("int")), "text")
+    given = F.when((F.col("n_chars") % 6 == 5) & (F.col("lang") == "en"), "given").when(F.col("lang") == "fr", "")
+    return table(spark, d, "documents").select("doc_id", dashboard.preview(F.col("text")).alias("preview"), dashboard.inferred_type(content, given).alias("kind"))
 
 
 @query("flt_filter_only_order", f"WITH {CHUNKS} SELECT chunk_id, seq, 1.0::DOUBLE AS score FROM c WHERE content_type = 'code' ORDER BY seq LIMIT 100")
@@ -555,6 +582,57 @@ def _(spark, d):
     return notes.select("p_partkey", "old_path", "deprecated_in", "removed_in", "note")
 
 
+#: Orders as commits of 40 repositories, in SQL; the query below makes the same.
+COMMITS = """o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders), g AS (SELECT 'r' || (n % 40) AS repo, n // 40 AS k FROM o),
+    e AS (SELECT repo, k, k - 1 AS p FROM g WHERE k > 0 UNION SELECT repo, k, k - 4 FROM g WHERE k >= 4 AND k % 9 = 4), t AS (SELECT repo, k, 'v' || k || '.0' AS name FROM g WHERE k % 11 = 5)"""
+
+
+@query(
+    "src_describe",
+    f"""WITH RECURSIVE {COMMITS}, w AS (SELECT repo, k AS c, k AS at, 0 AS d FROM g UNION SELECT w.repo, c, e.p, d + 1 FROM w JOIN e ON e.repo = w.repo AND e.k = w.at WHERE w.at % 11 <> 5)
+    SELECT g.repo, 'c' || g.k AS sha, b.name, b.d::BIGINT AS distance, regexp_replace(b.name, '^v+', '') AS version
+    FROM g LEFT JOIN (SELECT w.repo, c, d, name FROM w JOIN t ON t.repo = w.repo AND t.k = w.at QUALIFY row_number() OVER (PARTITION BY w.repo, c ORDER BY d, name) = 1) b ON b.repo = g.repo AND b.c = g.k""",
+)
+def _(spark, d):
+    rows = store.numbered(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], "o_orderkey", name="n").select(F.concat(F.lit("r"), F.col("n") % 40).alias("repo"), F.floor(F.col("n") / 40).alias("k"))
+    sha = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    k = F.col("k")
+    parents = F.array_compact(F.array(F.when(k > 0, sha(k - 1)), F.when((k >= 4) & (k % 9 == 4), sha(k - 4))))
+    commits = rows.select("repo", sha(k).alias("sha"), parents.alias("parents"))
+    tagged = rows.filter(k % 11 == 5).select("repo", F.concat(F.lit("v"), k, F.lit(".0")).alias("name"), sha(k).alias("target"), F.concat(F.lit("t"), k).alias("object"), (k % 2 == 0).alias("annotated"))
+    refs = tagged.select("repo", "name", F.when(F.col("annotated"), F.col("object")).otherwise(F.col("target")).alias("sha"))
+    return history.described(commits, refs, tagged.filter("annotated").select("repo", F.col("object").alias("sha"), "target"))
+
+
+@query(
+    "tax_layouts",
+    """WITH d AS (SELECT source AS repo, substr(source, 4)::INT AS k, doc_id AS n, lang FROM documents),
+    f AS (SELECT DISTINCT repo, CASE k % 3
+      WHEN 0 THEN CASE n % 4 WHEN 0 THEN 'examples/foundational/' || (n % 30) || '-' || lang || '/bot.py' WHEN 1 THEN 'examples/foundational/' || (n % 30) || '-x.py' WHEN 2 THEN 'examples/' || lang || '/a.py' ELSE 'examples/' || lang || 'x/' || (n % 5) || '/notes/b.py' END
+      WHEN 1 THEN CASE n % 3 WHEN 0 THEN 'examples/' || lang || '/a.py' WHEN 1 THEN 'examples/' || lang || 'y/' || (n % 7) || '/b.ts' ELSE 'examples/README.md' END
+      ELSE CASE n % 3 WHEN 0 THEN lang || '/main.py' WHEN 1 THEN 'tests/t.py' ELSE CASE WHEN k % 2 = 0 THEN 'pyproject.toml' ELSE '.hidden/x.py' END END END AS path FROM d),
+    p AS (SELECT repo, path, string_split(path, '/') AS s FROM f),
+    l AS (SELECT repo, CASE WHEN bool_or(starts_with(path, 'examples/foundational/')) THEN 'numbered' WHEN bool_or(s[1] = 'examples' AND len(s) > 2) THEN 'topics' ELSE 'root' END AS layout, bool_or(s[1] = 'src' OR path = 'pyproject.toml') AS package FROM p GROUP BY repo),
+    c AS (SELECT repo, s[2] AS t FROM p WHERE s[1] = 'examples' AND len(s) = 3 AND s[2] <> 'foundational')
+    SELECT DISTINCT repo, array_to_string(s[1:3], '/') AS dir, CASE WHEN len(s) = 3 THEN 'file' ELSE 'folder' END AS kind FROM p JOIN l USING (repo) WHERE layout = 'numbered' AND starts_with(path, 'examples/foundational/')
+    UNION SELECT repo, 'examples/' || t, 'topic' FROM c JOIN l USING (repo) WHERE layout <> 'root'
+    UNION SELECT repo, array_to_string(s[1:3], '/'), 'topic' FROM p JOIN l USING (repo) WHERE layout <> 'root' AND s[1] = 'examples' AND len(s) > 3 AND s[2] <> 'foundational' AND (repo, s[2]) NOT IN (SELECT (repo, t) FROM c)
+    UNION SELECT repo, s[1], 'project' FROM p JOIN l USING (repo) WHERE layout = 'root' AND len(s) > 1 AND NOT starts_with(s[1], '.') AND NOT (package AND s[1] = 'tests')""",
+)
+def _(spark, d):
+    """Files of three kinds of repositories, one for each source, named by the numbers and languages of its documents."""
+    n, lang, k = F.col("doc_id"), F.col("lang"), F.substring("source", 4, 9).cast("int")
+    path = F.concat_ws
+    numbered = (
+        F.when(n % 4 == 0, F.concat(F.lit("examples/foundational/"), n % 30, F.lit("-"), lang, F.lit("/bot.py"))).when(n % 4 == 1, F.concat(F.lit("examples/foundational/"), n % 30, F.lit("-x.py")))
+        .when(n % 4 == 2, path("/", F.lit("examples"), lang, F.lit("a.py"))).otherwise(F.concat(F.lit("examples/"), lang, F.lit("x/"), n % 5, F.lit("/notes/b.py")))
+    )
+    topics = F.when(n % 3 == 0, path("/", F.lit("examples"), lang, F.lit("a.py"))).when(n % 3 == 1, F.concat(F.lit("examples/"), lang, F.lit("y/"), n % 7, F.lit("/b.ts"))).otherwise("examples/README.md")
+    root = F.when(n % 3 == 0, path("/", lang, F.lit("main.py"))).when(n % 3 == 1, "tests/t.py").when(k % 2 == 0, "pyproject.toml").otherwise(".hidden/x.py")
+    files = table(spark, d, "documents").select(F.col("source").alias("repo"), F.when(k % 3 == 0, numbered).when(k % 3 == 1, topics).otherwise(root).alias("path")).distinct()
+    return taxonomy.example_nodes(files)
+
+
 @query("str_markdown_chunks")
 def _(spark, d):
     pages = table(spark, d, "documents").select(F.concat(F.lit("https://x/"), F.col("doc_id").cast("string")).alias("source_url"), F.col("text").alias("body"))
@@ -581,21 +659,22 @@ def _hub(spark: SparkSession, d: str, searched: bool = True) -> tools.Hub:
     return tools.Hub.of(rows, stems=False, embed=lambda _: asked) if searched else tools.Hub(rows, None)
 
 
-def _hybrid_sql(words: str, kind: str, limit: int) -> str:
-    """Both searches, fusion, adjustment and diversity for a question of plain words: c, i and ranked."""
-    asked = ", ".join(f"('{w}')" for w in words.split())
-    return rf"""WITH RECURSIVE {CHUNKS}, e AS (SELECT 'd' || vec_id AS chunk_id, embedding::DOUBLE[] AS v FROM embeddings), z AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0),
-    v AS (SELECT chunk_id, row_number() OVER (ORDER BY list_cosine_similarity(v, qv) DESC, chunk_id) AS r FROM c JOIN e USING (chunk_id), z WHERE content_type = '{kind}' QUALIFY r <= {limit}),
+def _hybrid_sql(asked: str | list[str], kind: str, limit: int, where: str = "TRUE") -> str:
+    """Both searches, fusion, adjustment and diversity for questions of plain words (numbered from 0): c, i and ranked. where: a filter of the chunks."""
+    concepts = [asked] if isinstance(asked, str) else asked
+    terms, numbers = ", ".join(f"({k}, '{w}')" for k, words in enumerate(concepts) for w in words.split()), ", ".join(f"({k})" for k in range(len(concepts)))
+    return rf"""WITH RECURSIVE {CHUNKS}, p AS (SELECT * FROM c WHERE content_type = '{kind}' AND {where}), e AS (SELECT 'd' || vec_id AS chunk_id, embedding::DOUBLE[] AS v FROM embeddings), z AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0),
+    v AS (SELECT query_id, chunk_id, r FROM (SELECT chunk_id, row_number() OVER (ORDER BY list_cosine_similarity(v, qv) DESC, chunk_id) AS r FROM p JOIN e USING (chunk_id), z QUALIFY r <= {limit}), (VALUES {numbers}) k(query_id)),
     t AS (SELECT chunk_id, regexp_extract_all(strip_accents(lower(content)), '[\p{{L}}\p{{N}}]+') AS w FROM c),
-    l AS (SELECT chunk_id, len(w) AS dl FROM t), n AS (SELECT count(*) AS docs, avg(dl) AS mean FROM l), q(term) AS (VALUES {asked}),
-    x AS (SELECT chunk_id, unnest(w) AS term FROM t), tf AS (SELECT term, chunk_id, count(*) AS tf FROM x JOIN q USING (term) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
-    s AS (SELECT chunk_id, count(*) AS hits, sum((CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - df + 0.5) / (df + 0.5)) END)
-      * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM tf JOIN df USING (term) JOIN l USING (chunk_id), n GROUP BY ALL),
-    b AS (SELECT chunk_id, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) AS r FROM s JOIN c USING (chunk_id) WHERE hits = (SELECT count(*) FROM q) AND content_type = '{kind}' QUALIFY r <= {limit}),
-    u AS (SELECT chunk_id, 0 AS l, r FROM v UNION ALL SELECT chunk_id, 1, r FROM b),
-    f AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + r) / (2.0::DOUBLE / 61)) AS rrf, count(*) AS n_lists, min(l * 1000000 + r) AS src_order FROM u GROUP BY chunk_id),
-    i AS (SELECT 0 AS query_id, chunk_id, repo, path, greatest(0, least(1, rrf + CASE WHEN n_lists > 1 THEN 0.1::DOUBLE ELSE 0 END)) AS score, src_order FROM f JOIN c USING (chunk_id)),
-    {GREEDY}, top AS (SELECT rank, chunk_id, score, content, c.repo, c.path, c.commit_sha, c.language, c.capability_tags FROM ranked JOIN i USING (chunk_id) JOIN c USING (chunk_id) WHERE rank <= {limit})"""
+    l AS (SELECT chunk_id, len(w) AS dl FROM t), n AS (SELECT count(*) AS docs, avg(dl) AS mean FROM l), q(query_id, term) AS (VALUES {terms}),
+    x AS (SELECT chunk_id, unnest(w) AS term FROM t), tf AS (SELECT query_id, term, chunk_id, count(*) AS tf FROM x JOIN q USING (term) GROUP BY ALL), df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
+    s AS (SELECT query_id, chunk_id, count(*) AS hits, sum((CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - df + 0.5) / (df + 0.5)) END)
+      * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM tf JOIN df USING (query_id, term) JOIN l USING (chunk_id), n GROUP BY ALL),
+    b AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS r FROM s JOIN p USING (chunk_id) JOIN (SELECT query_id, count(*) AS hits FROM q GROUP BY ALL) USING (query_id, hits) QUALIFY r <= {limit}),
+    u AS (SELECT query_id, chunk_id, 0 AS l, r FROM v UNION ALL SELECT query_id, chunk_id, 1, r FROM b),
+    f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + r) / (2.0::DOUBLE / 61)) AS rrf, count(*) AS n_lists, min(l * 1000000 + r) AS src_order FROM u GROUP BY ALL),
+    i AS (SELECT query_id, chunk_id, repo, path, greatest(0, least(1, rrf + CASE WHEN n_lists > 1 THEN 0.1::DOUBLE ELSE 0 END)) AS score, src_order FROM f JOIN c USING (chunk_id)),
+    {GREEDY}, top AS (SELECT query_id, rank, chunk_id, score, content, c.repo, c.path, c.commit_sha, c.language, c.capability_tags FROM ranked JOIN i USING (query_id, chunk_id) JOIN c USING (chunk_id) WHERE rank <= {limit})"""
 
 
 @query("api_search_docs", _hybrid_sql("that with", "doc", 10) + " SELECT rank, chunk_id AS doc_id, path AS title, substr(content, 1, 300) AS snippet, commit_sha, round(score, 9) AS score FROM top")
@@ -626,6 +705,56 @@ def _(spark, d):
     return _hub(spark, d).get_code_snippet(intent="les", max_lines=40).hits.select("rank", "content", "path", "line_start", F.col("line_end").cast("int").alias("line_end"), "language")
 
 
+@query(
+    "api_multi_concept",
+    _hybrid_sql(["that", "with", "for the"], "doc", 4)
+    + """, k AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY rank, query_id) = 1)
+    SELECT row_number() OVER (ORDER BY rank, query_id) AS rank, chunk_id AS doc_id, path AS title, substr(content, 1, 300) AS snippet, commit_sha, round(score, 9) AS score FROM k QUALIFY row_number() OVER (ORDER BY rank, query_id) <= 10""",
+)
+def _(spark, d):
+    return _hub(spark, d).search_docs("that + with & for the").hits.select("rank", "doc_id", "title", "snippet", "citation.commit_sha", F.round("score", 9).alias("score"))
+
+
+@query("api_search_area", _hybrid_sql("that", "doc", 10, "starts_with(path, '/src1')") + " SELECT rank, chunk_id AS doc_id, path AS title, round(score, 9) AS score FROM top")
+def _(spark, d):
+    return _hub(spark, d).search_docs("that", area="src1").hits.select("rank", "doc_id", "title", F.round("score", 9).alias("score"))
+
+
+@query("api_search_filtered", _hybrid_sql("les", "code", 10, "repo = 'src3' AND list_has_all(capability_tags, ['fr', 'src3'])") + " SELECT rank, chunk_id AS example_id, repo, round(score, 9) AS score FROM top")
+def _(spark, d):
+    hits = _hub(spark, d).search_examples("les", repo="src3", capability_tags=["fr", "src3"]).hits
+    return hits.select("rank", "example_id", "repo", F.round("score", 9).alias("score"))
+
+
+_SNIPPET = " SELECT rank, array_to_string((string_split(content, chr(10)))[{begin}:{last}], chr(10)) AS content, path, {begin} AS line_start, least({last}, len(string_split(regexp_replace(content, '\\n$', ''), chr(10))))::INT AS line_end, language FROM top"
+
+
+@query("api_snippet_symbol", _hybrid_sql("de", "source", 5, "starts_with(language, 'de')") + _SNIPPET.format(begin=1, last=30))
+def _(spark, d):
+    hub = _hub(spark, d)
+    hub.chunks = hub.chunks.withColumn("class_name", F.col("language"))  # what is looked up as a class
+    return hub.get_code_snippet(symbol="de", max_lines=30).hits.select("rank", "content", "path", "line_start", F.col("line_end").cast("int").alias("line_end"), "language")
+
+
+@query("api_snippet_path", _hybrid_sql("/", "code", 5, "starts_with(path, '/src2')").replace("(VALUES (0, '/'))", "(SELECT 0, '' WHERE FALSE)") + _SNIPPET.format(begin=1, last=3))
+def _(spark, d):
+    hits = _hub(spark, d).get_code_snippet(path="/src2", line_start=1, max_lines=3).hits
+    return hits.select("rank", "content", "path", "line_start", F.col("line_end").cast("int").alias("line_end"), "language")
+
+
+@query(
+    "api_doc_section",
+    """WITH p AS (SELECT *, turn = max(turn) OVER () AS last FROM conversations WHERE conv_id = (SELECT max(conv_id) FROM conversations))
+    SELECT 't' || conv_id || '-' || (SELECT min(turn) FROM p) AS doc_id, '## ' || role || chr(10) || text || CASE WHEN last THEN '' ELSE chr(10) END AS content FROM p WHERE role = 'assistant' ORDER BY turn LIMIT 1""",
+)
+def _(spark, d):
+    t = table(spark, d, "conversations")
+    name = F.concat(F.lit("t"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    turns = t.select(name.alias("chunk_id"), F.concat(F.lit("## "), "role", F.lit("\n"), "text").alias("content"), F.lit("doc").alias("content_type"), F.concat(F.lit("/"), F.col("conv_id").cast("string")).alias("path"), F.col("role").alias("section"), F.col("turn").alias("seq"))
+    last = t.agg(F.max("conv_id")).first()[0]
+    return tools.Hub(conform(turns), None).get_doc(path=f"/{last}", section="Assistant").select("doc_id", "content")
+
+
 @query("api_get_example", f"WITH {CHUNKS} SELECT 'd7' AS key, path, content, language, repo, commit_sha, array_to_string(capability_tags, '|') AS tags, 1.0::DOUBLE AS confidence FROM c WHERE chunk_id = 'd7'")
 def _(spark, d):
     one = _hub(spark, d, searched=False).get_example("d7").withColumn("f", F.get("files", F.lit(0)))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -38,6 +40,18 @@ def session(name: str = "gleanstone", cores: str | int = "*", partitions: int |
     return builder.config(map=settings).getOrCreate()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Arrow batches of so many rows at most, so that a batch of long texts fits a Python worker, for what is run meanwhile; then the session's setting holds again."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(min(rows, int(before or rows)) if int(before or rows) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 _OWN: dict[str, str] = {}
 
 
