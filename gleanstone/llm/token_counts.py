@@ -46,8 +46,8 @@ def encoder(path: str, pattern: str) -> tuple:
     return kept_in_worker(("token-spans", path, pattern), made)
 
 
-#: Runs of white space that are too long for the library's pattern matcher, and the texts between them.
-LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+#: Runs of white space that the library's pattern matcher would walk through again from each of their characters; they are cut out, so that it is linear in a text.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{200,}")
 
 
 def token_ids(text: str, path: str, pattern: str) -> np.ndarray:

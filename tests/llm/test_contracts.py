@@ -80,6 +80,12 @@ def test_tokens_of_long_white_space():
     text = "a" + " " * 1_200_000 + "b" + "\n" * 1_200_000
     first, stop = token_counts.token_spans(text, BYTE, P.PATTERN)
     assert first[0] == 0 and stop[-1] == len(text) and (first[1:] == stop[:-1]).all()
+    for n in (1, 198, 199, 200, 201, 202, 4_999):  # around the length from which runs are cut out
+        for made in (" " * n, "\n" * n, "".join(rnd.choice(" \n\t\u3000\x85") for _ in range(n))):
+            for text in (made, "a" + made, made + "b", "a" + made + "b" + made + "\nc", "x " + made + "  9"):
+                assert token_counts.token_ids(text, BYTE, P.PATTERN).tolist() == enc.encode_ordinary(text)
+    began, text = time.perf_counter(), ("a" + " " * 9_999) * 200
+    assert len(token_counts.token_ids(text, BYTE, P.PATTERN)) > 400 and time.perf_counter() - began < 5
 
 
 def test_word_bpe_reads_added_tokens_as_the_library_does():
