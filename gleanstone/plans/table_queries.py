@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import aggregates, deprecation, evidence, fusion, search, store, taxonomy, text_index, vector_index
+from ..operators import aggregates, deprecation, evidence, fusion, search, store, substring_index, taxonomy, text_index, vector_index
 from ..schema import conform
 from ..session import scratch
 from ..sources import code, history, markdown
@@ -80,6 +80,13 @@ def _(spark, d):
     return search.free_text(chunks(spark, d), "That Is", ["doc", "source"]).select("chunk_id", "content_type")
 
 
+@query("flt_substring_index", f"WITH {CHUNKS} SELECT chunk_id FROM c WHERE contains(lower(content), 'e that i') OR contains(lower(chunk_id), 'e that i') OR contains(lower(coalesce(repo, '')), 'e that i')")
+def _(spark, d):
+    folder = scratch(spark, "substrings")
+    substring_index.save_substrings(chunks(spark, d), folder)
+    return substring_index.find_text(substring_index.load_substrings(spark, folder), "E That I").select("chunk_id")
+
+
 @query("flt_name_prefixes", f"WITH {CHUNKS} SELECT chunk_id FROM c WHERE starts_with(coalesce(repo, ''), 'src1') AND starts_with(coalesce(repo, '') || '.' || language, 'src1') AND language <> 'en'")
 def _(spark, d):
     rows = chunks(spark, d).withColumn("class_name", F.col("repo")).withColumn("module_path", F.concat_ws(".", F.coalesce("repo", F.lit("")), "language"))
