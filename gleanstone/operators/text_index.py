@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache, reduce
@@ -163,7 +164,7 @@ class TextSegments:
 
 
 #: Chunks of a slice and its bytes, about; folders of an index by hash of terms; slices of a query that are scored first, for a score that others must reach.
-SLICE, SLICE_BYTES, BUCKETS, FIRST = 2048, 1 << 23, 64, 4
+SLICE, SLICE_BYTES, BUCKETS, FIRST = 2048, 1 << 23, 16, 4
 
 
 BLOCKS = struct("term string, slice long, held long, most_tf long, least_dl long, ids array<string>, tfs array<int>, dls array<int>, positions array<int>, bucket int")
@@ -183,7 +184,7 @@ class BlockIndex:
 
 
 def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32(term), F.lit(BUCKETS)).cast("int")
 
 
 def _sliced(chunks: DataFrame) -> DataFrame:
@@ -194,49 +195,57 @@ def _sliced(chunks: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sizes), "_octave").select("chunk_id", "content", (F.col("_octave") * F.lit(1 << 40) + F.pmod(F.xxhash64("chunk_id"), "_slices")).alias("slice"))
 
 
+#: What a slice sends to a bucket: its terms there, how many chunks each is in, of these the numbers and uses, and the positions; and the slice's chunks with their lengths.
+PACKED = struct("bucket int, slice long, terms array<string>, held array<int>, docs array<int>, tfs array<int>, positions array<int>, ids array<string>, dls array<int>")
+
+
 def _slice_blocks(stems: bool) -> Callable[[pa.Table], pa.Table]:
-    """The blocks of a slice's chunks (chunk_id, content, slice), and one of no term that has all its chunks."""
+    """A slice's chunks (chunk_id, content, slice) as a row for each bucket, and one of bucket -1 that has only the chunks: many terms are in few chunks, and a row for each would be mostly frame."""
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk_id")
-        ids = table.column("chunk_id").combine_chunks().cast(pa.string())
+        ids = table.column("chunk_id").to_pylist()
         g = _Grouped(table.column("content").to_pylist(), cache(porter) if stems else None)
         begin = np.flatnonzero(np.diff(g.term, prepend=-1))  # the first posting of each term
-        edges = np.append(begin, len(g.term))
-        own = np.append(g.first, len(g.positions))[edges]
-        # In one array for each term: tf of its postings, their dl, their positions.
-        start = own + 2 * edges
-        numbers = np.empty(len(g.positions) + 2 * len(g.term), np.int32)
-        in_term = np.repeat(np.arange(len(begin)), np.diff(edges))
-        place = np.arange(len(g.term)) - edges[in_term]
-        numbers[start[in_term] + place] = g.tf
-        numbers[start[in_term] + np.diff(edges)[in_term] + place] = g.sizes[g.text]
-        of_use = np.repeat(in_term, g.tf)
-        numbers[start[of_use] + 2 * np.diff(edges)[of_use] + np.arange(len(g.positions)) - own[of_use]] = g.positions
-        blocks = [g.names.take(pa.array(g.term[begin])).cast(pa.string()), _lists(edges, ids.take(pa.array(g.text))), _lists(start, pa.array(numbers))]
-        n = table.num_rows
-        whole = [pa.array([None], pa.string()), _lists(np.array([0, n]), ids), _lists(np.array([0, 2 * n]), pa.array(np.concatenate([np.zeros(n), g.sizes]), pa.int32()))]
-        names = ["term", "ids", "numbers"]
-        out = pa.concat_tables([pa.table(blocks, names=names), pa.table(whole, names=names)])
-        return out.add_column(1, "slice", pa.array([table.column("slice")[0].as_py()] * out.num_rows, pa.int64()))
+        names = np.array(g.names.take(pa.array(g.term[begin])).to_pylist(), object)
+        held = np.diff(np.append(begin, len(g.term)))
+        bucket = np.array([zlib.crc32(t.encode()) % BUCKETS for t in names], np.int64)
+        dls, number = g.sizes.tolist(), table.column("slice")[0].as_py()
+        rows = [(-1, number, [], [], [], [], [], ids, dls)]
+        for b in np.unique(bucket).tolist():
+            terms = bucket == b
+            postings = np.repeat(terms, held)
+            rows.append((b, number, names[terms].tolist(), held[terms], g.text[postings], g.tf[postings], g.positions[np.repeat(postings, g.tf)], ids, dls))
+        return pa.table([pa.array(list(c), kind) for c, kind in zip(zip(*rows), [pa.int32(), pa.int64(), pa.list_(pa.string()), *[pa.list_(pa.int32())] * 4, pa.list_(pa.string()), pa.list_(pa.int32())])], names=PACKED.names)
 
     return build
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of BLOCKS from those of PACKED."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            bucket, number, terms, held, docs, tfs, positions, ids, dls = (c[k].values if isinstance(c[k], pa.ListScalar) else c[k].as_py() for c in batch.columns)
+            if bucket < 0:
+                n, none = len(ids), pa.array([], pa.int32())
+                columns = [pa.array([None], pa.string()), pa.array([number]), pa.array([n]), pa.array([0]), pa.array([0]), _lists(np.array([0, n]), ids), _lists(np.array([0, 0]), none), _lists(np.array([0, n]), dls), _lists(np.array([0, 0]), none)]
+            else:
+                edges = np.append(0, np.cumsum(held.to_numpy()))
+                uses, own = np.append(0, np.cumsum(tfs.to_numpy()))[edges], dls.take(docs)
+                most, least = np.maximum.reduceat(tfs.to_numpy(), edges[:-1]), np.minimum.reduceat(own.to_numpy(), edges[:-1])
+                columns = [terms, pa.array(np.full(len(terms), number)), pa.array(np.diff(edges)), pa.array(most.astype(np.int64)), pa.array(least.astype(np.int64)), _lists(edges, ids.take(docs)), _lists(edges, tfs), _lists(edges, own), _lists(uses, positions)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(columns[0]), bucket, np.int32))], names=BLOCKS.names)
+
+
 def save_blocks(chunks: DataFrame, folder: str, stems: bool = True) -> None:
     """Index chunks (chunk_id, content) in blocks below a folder, those of a term in the folder of its bucket and in order, so that a query reads only the row groups of its terms.
 
-    Texts are shuffled once, to their slices; what a task makes of a slice is dealt to buckets, a frequent term's blocks to several files.
+    Texts are shuffled once, to their slices; what a task makes of a slice is dealt to buckets, each to several tasks by slice.
     """
-    made = _sliced(chunks).groupBy("slice").applyInArrow(_slice_blocks(stems), "term string, slice long, ids array<string>, numbers array<int>")
-    made = made.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(_bucket(F.col("term"))))
-    n, numbers = F.size("ids"), F.col("numbers")
-    tfs, dls, positions = F.slice(numbers, F.lit(1), n), F.slice(numbers, n + 1, n), F.slice(numbers, 2 * n + 1, F.size(numbers))
-    dealt = made.repartition("bucket", F.pmod("slice", F.lit(8)))
-    most, least = F.array_max(tfs).cast("long").alias("most_tf"), F.array_min(dls).cast("long").alias("least_dl")
-    dealt = dealt.select("bucket", "term", "slice", n.cast("long").alias("held"), most, least, "ids", tfs.alias("tfs"), dls.alias("dls"), positions.alias("positions"))
-    with small_batches(chunks.sparkSession):
-        dealt.sortWithinPartitions("bucket", "term", "slice").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/blocks")
+    with small_batches(chunks.sparkSession, 16):
+        packed = _sliced(chunks).groupBy("slice").applyInArrow(_slice_blocks(stems), PACKED).repartition("bucket", F.pmod("slice", F.lit(32)))
+        blocks = packed.mapInArrow(_unpacked, BLOCKS)
+        blocks.sortWithinPartitions("bucket", "term", "slice").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/blocks")
     written = chunks.sparkSession.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     terms = written.filter("bucket >= 0").groupBy("bucket", "term").agg(F.sum("held").alias("df"))
     terms.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
