@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scoring import BM25_B, BM25_K1, IDF_FLOOR, bm25
 from ..functions.stemming import porter
@@ -195,8 +196,20 @@ def _sliced(chunks: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sizes), "_octave").select("chunk_id", "content", (F.col("_octave") * F.lit(1 << 40) + F.pmod(F.xxhash64("chunk_id"), "_slices")).alias("slice"))
 
 
-#: What a slice sends to a bucket: its terms there, how many chunks each is in, of these the numbers and uses, and the positions; and the slice's chunks with their lengths.
-PACKED = struct("bucket int, slice long, terms array<string>, held array<int>, docs array<int>, tfs array<int>, positions array<int>, ids array<string>, dls array<int>")
+#: What a slice sends to a bucket: its terms there, how many chunks each is in, of these the numbers and uses, and the positions (one after the other, packed); and the slice's chunks with their lengths.
+PACKED = T.StructType([*struct("bucket int, slice long, terms array<string>, held array<int>, count long"), T.StructField("numbers", T.BinaryType()), *struct("ids array<string>, dls array<int>")])
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers in little room: all their first bytes, then all second ones, ..., compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True) if len(numbers) else b""
+
+
+def _numbers(packed: bytes, count: int) -> np.ndarray:
+    if not count:
+        return np.empty(0, np.int32)
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=4 * count, codec="zstd"), np.uint8).reshape(4, count)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _slice_blocks(stems: bool) -> Callable[[pa.Table], pa.Table]:
@@ -211,12 +224,14 @@ def _slice_blocks(stems: bool) -> Callable[[pa.Table], pa.Table]:
         held = np.diff(np.append(begin, len(g.term)))
         bucket = np.array([zlib.crc32(t.encode()) % BUCKETS for t in names], np.int64)
         dls, number = g.sizes.tolist(), table.column("slice")[0].as_py()
-        rows = [(-1, number, [], [], [], [], [], ids, dls)]
+        rows = [(-1, number, [], [], 0, b"", ids, dls)]
         for b in np.unique(bucket).tolist():
             terms = bucket == b
             postings = np.repeat(terms, held)
-            rows.append((b, number, names[terms].tolist(), held[terms], g.text[postings], g.tf[postings], g.positions[np.repeat(postings, g.tf)], ids, dls))
-        return pa.table([pa.array(list(c), kind) for c, kind in zip(zip(*rows), [pa.int32(), pa.int64(), pa.list_(pa.string()), *[pa.list_(pa.int32())] * 4, pa.list_(pa.string()), pa.list_(pa.int32())])], names=PACKED.names)
+            numbers = np.concatenate([g.text[postings], g.tf[postings], g.positions[np.repeat(postings, g.tf)]])
+            rows.append((b, number, names[terms].tolist(), held[terms], len(numbers), _packed(numbers), ids, dls))
+        kinds = [pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
+        return pa.table([pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)], names=PACKED.names)
 
     return build
 
@@ -225,12 +240,13 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of BLOCKS from those of PACKED."""
     for batch in batches:
         for k in range(batch.num_rows):
-            bucket, number, terms, held, docs, tfs, positions, ids, dls = (c[k].values if isinstance(c[k], pa.ListScalar) else c[k].as_py() for c in batch.columns)
+            bucket, number, terms, held, count, packed, ids, dls = (c[k].values if isinstance(c[k], pa.ListScalar) else c[k].as_py() for c in batch.columns)
             if bucket < 0:
                 n, none = len(ids), pa.array([], pa.int32())
                 columns = [pa.array([None], pa.string()), pa.array([number]), pa.array([n]), pa.array([0]), pa.array([0]), _lists(np.array([0, n]), ids), _lists(np.array([0, 0]), none), _lists(np.array([0, n]), dls), _lists(np.array([0, 0]), none)]
             else:
-                edges = np.append(0, np.cumsum(held.to_numpy()))
+                edges, numbers = np.append(0, np.cumsum(held.to_numpy())), _numbers(packed, count)
+                docs, tfs, positions = (pa.array(x) for x in np.split(numbers, [edges[-1], 2 * edges[-1]]))
                 uses, own = np.append(0, np.cumsum(tfs.to_numpy()))[edges], dls.take(docs)
                 most, least = np.maximum.reduceat(tfs.to_numpy(), edges[:-1]), np.minimum.reduceat(own.to_numpy(), edges[:-1])
                 columns = [terms, pa.array(np.full(len(terms), number)), pa.array(np.diff(edges)), pa.array(most.astype(np.int64)), pa.array(least.astype(np.int64)), _lists(edges, ids.take(docs)), _lists(edges, tfs), _lists(edges, own), _lists(uses, positions)]
