@@ -166,6 +166,8 @@ class TextSegments:
 
 #: Chunks of a slice and its bytes, about; folders of an index by hash of terms; slices of a query that are scored first, for a score that others must reach.
 SLICE, SLICE_BYTES, BUCKETS, FIRST = 2048, 1 << 23, 16, 4
+#: Slices whose blocks of a bucket one task sorts.
+TOGETHER = 64
 
 
 BLOCKS = struct("term string, slice long, held long, most_tf long, least_dl long, ids array<string>, tfs array<int>, dls array<int>, positions array<int>, bucket int")
@@ -188,12 +190,13 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.crc32(term), F.lit(BUCKETS)).cast("int")
 
 
-def _sliced(chunks: DataFrame) -> DataFrame:
-    """chunk_id, content, slice: chunks of a quarter of an octave of bytes are dealt by hash to so many slices that one has about SLICE chunks or SLICE_BYTES bytes."""
+def _sliced(chunks: DataFrame) -> tuple[DataFrame, int]:
+    """(chunk_id, content, slice), and the number of slices: chunks of a quarter of an octave of bytes are dealt by hash to so many slices that one has about SLICE chunks or SLICE_BYTES bytes."""
     rows = chunks.filter("chunk_id is not null").select("chunk_id", "content", F.floor(F.log2(F.coalesce(F.octet_length("content"), F.lit(0)) + 1) * 4).alias("_octave"))
     most = F.greatest(F.count(F.lit(1)) / SLICE, F.sum(F.octet_length("content")) / SLICE_BYTES)
-    sizes = rows.groupBy("_octave").agg(F.ceil(most).alias("_slices"))  # 128 rows at most
-    return rows.join(F.broadcast(sizes), "_octave").select("chunk_id", "content", (F.col("_octave") * F.lit(1 << 40) + F.pmod(F.xxhash64("chunk_id"), "_slices")).alias("slice"))
+    found = rows.groupBy("_octave").agg(F.ceil(most).alias("_slices")).collect()  # 128 rows at most
+    sizes = F.broadcast(rows.sparkSession.createDataFrame(found, "_octave long, _slices long"))
+    return rows.join(sizes, "_octave").select("chunk_id", "content", (F.col("_octave") * F.lit(1 << 40) + F.pmod(F.xxhash64("chunk_id"), "_slices")).alias("slice")), sum(r["_slices"] for r in found)
 
 
 #: What a slice sends to a bucket: its terms there, how many chunks each is in, of these the numbers and uses, and the positions (one after the other, packed); and the slice's chunks with their lengths.
@@ -259,7 +262,9 @@ def save_blocks(chunks: DataFrame, folder: str, stems: bool = True) -> None:
     Texts are shuffled once, to their slices; what a task makes of a slice is dealt to buckets, each to several tasks by slice.
     """
     with small_batches(chunks.sparkSession, 16):
-        packed = _sliced(chunks).groupBy("slice").applyInArrow(_slice_blocks(stems), PACKED).repartition("bucket", F.pmod("slice", F.lit(32)))
+        sliced, n = _sliced(chunks)
+        files = max(8, n // TOGETHER)  # of each bucket, about; so tasks grow in number with the table, not in size
+        packed = sliced.groupBy("slice").applyInArrow(_slice_blocks(stems), PACKED).repartition("bucket", F.pmod(F.xxhash64("slice"), F.lit(files)))
         blocks = packed.mapInArrow(_unpacked, BLOCKS)
         blocks.sortWithinPartitions("bucket", "term", "slice").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/blocks")
     written = chunks.sparkSession.read.schema(BLOCKS).parquet(f"{folder}/blocks")
