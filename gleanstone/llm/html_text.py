@@ -3,13 +3,13 @@
 A page is cut into blocks by its block elements. Scripts, styles and the like are never text. Blocks in an article are main text,
 without the menus, forms, adverts, notices, comments and so on inside it, which elements, roles, classes and ids tell. Blocks outside that these signs rule out are not.
 
-What is left is undecided: blocks outside an article, or all blocks of a page without one, that no sign rules out. Whether they are text or template the host's other pages tell: the streams of
-up to `pages_each` pages of a host are joined, a mark of its own after each page, and
-sorted into a suffix array by prefix doubling. Runs of `run` tokens or more that repeat on at least `least` distinct pages of the host are boilerplate; undecided blocks that such runs cover go, as do stretches of `run`
-covered tokens inside a block, and unique runs stay. Inside an article repeated runs stay, too: there they are copies of articles, not of a template.
+What structure says is weighed against the host's other pages. Every page goes through it: the streams of what is outside the articles, ruled out or not, are joined for up to `pages_each` pages of a host, a mark of its own after each
+page, and sorted into a suffix array by prefix doubling. Runs of `run` tokens or more that repeat on at least `least` distinct pages of the host are boilerplate.
+Undecided blocks (outside an article, or on a page without one, and not ruled out) that such runs cover go, as do stretches of `run` covered tokens inside a block; unique runs stay. Blocks that are ruled out stay out, and what they say
+is evidence against their copies elsewhere. n_repeated counts all tokens in such runs. Inside an article structure decides: an article's own lines stand in adverts and footers, too, and its text is wanted whole.
 
-Pages without undecided blocks are finished where they are read; only the others' blocks are shuffled. A host's pages are dealt to groups of bounded size, so a host with a third of all pages is many groups. For such hosts a pass before counts the
-distinct pages of each run over the whole host, by a hash of its tokens; each group gets the runs that are on enough of them.
+A host's pages are dealt to groups of bounded size, so a host with a third of all pages is many groups. For such hosts a pass before counts the distinct pages of each run over the whole host, by a hash of its tokens; each
+group gets the runs that are on enough of them.
 
 Defined results: null and empty html give an empty text; tags that never close end with the page; a tag whose quotes never close ends at its first `>`, and without one its `<` is text; repeated rows get rows each, and count as one page
 (by id); a null url is a host of its own; an empty table gives an empty result; only page_id, url and html are read. Work is linear in a page's length.
@@ -261,7 +261,7 @@ def covered(streams: list[list[str]], run: int, pages: list, least: int = 3, kno
     same = classes[order]
     first = np.flatnonzero(np.diff(same, prepend=-1))
     group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(same))))
-    seen = np.unique(np.stack((group, owner[order])), axis=1)[0]
+    seen = np.unique(group * len(number) + owner[order]) // len(number)
     often = np.bincount(seen, minlength=len(first)) >= least
     starts = order[often[group]]
     if known is not None:
@@ -298,9 +298,9 @@ MANY_HOSTS = 100_000
 
 
 def main_texts(pages: DataFrame, run: int = 8, least: int = 3, pages_each: int = 512) -> DataFrame:
-    """page_id, url, text, n_chars, n_undecided, n_covered for every row of pages (page_id, url, html).
+    """page_id, url, text, n_chars, n_undecided, n_covered, n_repeated for every row of pages (page_id, url, html).
 
-    n_undecided: tokens that structure neither takes as text nor rules out, n_covered: those of them in runs that are on `least` distinct pages of the host. run must be a power of two.
+    n_undecided: tokens that structure neither takes as text nor rules out, n_covered: those of them that the host's boilerplate runs took away. n_repeated: all tokens outside of articles in such runs. run must be a power of two.
     """
     if run < 1 or run & (run - 1):
         raise ValueError("run must be a power of two")
@@ -309,35 +309,21 @@ def main_texts(pages: DataFrame, run: int = 8, least: int = 3, pages_each: int =
     rows = pages.select(held_id("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     undecided = (MAIN, OTHER)
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for page_id, url, page in zip(batch["page_id"], batch["url"], batch["html"]):
-                blocks = page_blocks(page)
-                if not any(k in undecided for k, _ in blocks):
-                    text = "\n".join(t for k, t in blocks if k == ARTICLE)
-                    out.append((page_id, url, text, len(text), 0, 0))
-            yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars", "n_undecided", "n_covered"])
-
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                blocks = page_blocks(row.html)
-                if any(k in undecided for k, _ in blocks):
-                    out.append((row.page_id, row.url, row.host, row.u, [k for k, _ in blocks], [t for _, t in blocks]))
-            yield pd.DataFrame(out, columns=["page_id", "url", "host", "u", "kinds", "blocks"])
-
-    shape = "page_id long, url string, text string, n_chars long, n_undecided long, n_covered long"
-    done = rows.mapInPandas(finish, shape)
-    named = rows.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.monotonically_increasing_id().alias("u"))  # u tells equal rows apart
-    parsed = named.mapInPandas(parse, "page_id long, url string, host string, u long, kinds array<int>, blocks array<string>")
-    parsed = written(parsed, "html-undecided")
-    groups = parsed.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / pages_each).alias("groups"))
-    groups = written(groups, "html-hosts")
+            out = [(r.page_id, r.url, r.host, r.u, blocks) for r in batch.itertuples(index=False) for blocks in [page_blocks(r.html)]]
+            rows = [(*r, [k for k, _ in blocks], [t for _, t in blocks]) for *r, blocks in out]
+            yield pd.DataFrame(rows, columns=["page_id", "url", "host", "u", "kinds", "blocks"])
+
+    shape = "page_id long, url string, text string, n_chars long, n_undecided long, n_covered long, n_repeated long"
+    named = rows.select("page_id", "url", host_of(F.col("url")).alias("host"), F.monotonically_increasing_id().alias("u"), "html")  # u tells equal rows apart
+    groups = written(named.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / pages_each).alias("groups")), "html-hosts")  # of addresses alone
     if groups.count() <= MANY_HOSTS:  # a few MB; beyond that the join shuffles
         groups = F.broadcast(groups)
-    dealt = parsed.join(groups, "host").withColumn("_g", F.pmod(F.xxhash64("page_id", "url", "u"), F.col("groups")))
+    grouped = named.join(groups, "host")
+    columns = "page_id long, url string, host string, u long, kinds array<int>, blocks array<string>"
+    dealt = grouped.select("page_id", "url", "host", "u", "html").mapInPandas(parse, columns).join(groups, "host").withColumn("_g", F.pmod(F.xxhash64("page_id", "url", "u"), F.col("groups"))).drop("u", "groups")
+    many = grouped.filter("groups > 1").select("page_id", "url", "host", "u", "html").mapInPandas(parse, columns)  # parsed again rather than kept: a copy of all text costs more disk than time
 
     def streams_of(pdf: pd.DataFrame) -> list[list[str]]:
         return [[w for k, t in zip(kinds, blocks) if k != ARTICLE for w in t.split()] for kinds, blocks in zip(pdf["kinds"], pdf["blocks"])]
@@ -351,7 +337,7 @@ def main_texts(pages: DataFrame, run: int = 8, least: int = 3, pages_each: int =
             yield part[part.groupby(["host", "key"]).cumcount() < least]  # so many pages of a batch decide
 
     # Repartitioned once by run: the pages of a run are counted where they are.
-    found = dealt.filter("groups > 1").select("host", "page_id", "kinds", "blocks").mapInPandas(runs, "host string, page_id long, key long")
+    found = many.select("host", "page_id", "kinds", "blocks").mapInPandas(runs, "host string, page_id long, key long")
     found = found.select(F.xxhash64("host").alias("h"), "key", "page_id").repartition(parts(spark), "h", "key").distinct()
     often = written(found.groupBy("h", "key").count().filter(F.col("count") >= least).select("h", "key"), "html-runs")
     each = groups.filter("groups > 1").select("host", F.xxhash64("host").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("_g"))
@@ -376,7 +362,8 @@ def main_texts(pages: DataFrame, run: int = 8, least: int = 3, pages_each: int =
             texts.append("\n".join(k for k in kept if k))
             sizes.append(size)
             hits.append(hit)
-        return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_undecided": sizes, "n_covered": hits})
+        out = {"page_id": pdf["page_id"].tolist(), "url": pdf["url"].tolist(), "text": texts, "n_chars": [len(t) for t in texts], "n_undecided": sizes, "n_covered": hits, "n_repeated": [int(m.sum()) for m in masks]}
+        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})  # a group may be without pages
 
     cleaned = dealt.groupBy("host", "_g").cogroup(known.groupBy("host", "_g")).applyInPandas(clean, shape)
-    return done.unionByName(cleaned).withColumn("page_id", given_id("page_id"))
+    return cleaned.withColumn("page_id", given_id("page_id"))

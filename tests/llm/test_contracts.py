@@ -224,6 +224,18 @@ def test_the_suffix_array_decides_what_structure_does_not(spark):
     assert by[20] == ("only", 0) and by[None] == ("plain", 0)
 
 
+def test_the_suffix_array_sees_every_page_and_leaves_articles_whole(spark):
+    notice = "this page is kept by volunteers who ask for help with the costs of running it"
+    n = len(notice.split())
+    data = [(i, f"http://n.org/{i}", f"<article><p>story {i}</p><p>{notice}</p></article><footer>{notice}</footer>") for i in range(6)]
+    data += [(10, "http://n.org/10", f"<article><p>as said: {notice}</p></article>"), (11, "http://m.org/1", f"<article><p>{notice}</p></article>"), (12, "http://n.org/12", f"<div>{notice}</div><p>unique words</p>")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    for each in (2, 512):
+        got = {r["page_id"]: (r["text"], r["n_covered"], r["n_repeated"]) for r in html_text.main_texts(df, pages_each=each).collect()}
+        assert all(got[i] == (f"story {i}\n{notice}", 0, n) for i in range(6))
+        assert got[10] == (f"as said: {notice}", 0, 0) and got[11] == (notice, 0, 0) and got[12] == ("unique words", n, n)
+
+
 def test_pages_of_odd_markup():
     text = lambda page: [t for k, t in html_text.page_blocks(page) if k != html_text.RULED_OUT]
     assert text('<article><div class="article-header"><h1>T</h1></div><p class="ad-hoc">a <math><mi>x</mi></math> b</p><div class="ad-slot">no</div><p id="comments">c</p></article>') == ["T", "a x b"]
