@@ -52,6 +52,22 @@ def test_nearest_tags(spark):
     assert all(r["version"] == (r["name"] and r["name"].lstrip("v")) for r in got)
 
 
+def test_settled_commits_are_not_read_again(spark, monkeypatch):
+    """A line of commits with a tag on each eleventh: what is written must not grow with the length of the line."""
+    commits = [("a", f"c{i}", [f"c{i - 1}"] * (i > 0)) for i in range(2000)]
+    refs = [("a", f"v{i}", f"c{i}") for i in range(5, 2000, 11)]
+    tables, kept = [], history._kept
+    monkeypatch.setattr(history, "_kept", lambda rows: tables.append(kept(rows)) or tables[-1])
+    want = {(f"c{i}", f"v{i - (i - 5) % 11}" if i >= 5 else None, (i - 5) % 11 if i >= 5 else None) for i in range(2000)}
+
+    def described():
+        return {(r["sha"], r["name"], r["distance"]) for r in history.described(spark.createDataFrame(commits, COMMITS), spark.createDataFrame(refs, REFS), spark.createDataFrame([], TAGS)).collect()}
+
+    assert described() == want and sum(t.count() for t in tables) < 8 * len(commits)
+    monkeypatch.setattr(history, "SHARE", 0)  # the rest by doubling
+    assert described() == want
+
+
 def test_releases_are_followed(spark, tmp_path):
     page = lambda name, rows: (tmp_path / "pages" / name).write_text(json.dumps(rows))
     (tmp_path / "pages").mkdir()
