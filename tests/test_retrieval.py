@@ -278,3 +278,10 @@ def test_vector_search_of_many_queries(spark):
     assert got.filter("rank = 1").filter("chunk_id = concat('v', query_id % 3)").count() == 10_001 and got.count() == 20_002
     few = queries.filter("query_id < 20")
     assert sorted(search.vector_search(chunks, few, 2, block=5).collect()) == sorted(search.vector_search(chunks, few, 2).collect())
+
+
+def test_no_task_ranks_the_whole_table(spark):
+    from gleanstone.plans import table_queries
+
+    plan = table_queries.QUERIES["join_rrf_fusion"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_range" in plan and "windowspecdefinition(content" not in plan and "windowspecdefinition(n_chars" not in plan
