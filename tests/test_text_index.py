@@ -99,3 +99,17 @@ def test_tokens_are_those_of_the_column_function(spark):
 
     df = spark.createDataFrame(list(enumerate(odd)), "k int, t string").select("k", words(F.coalesce("t", F.lit(""))).alias("w"))
     assert {r["k"]: list(r["w"]) for r in df.collect()} == {k: text_index.tokens_of(t) for k, t in enumerate(odd)}
+
+
+def test_blocks_are_written_where_a_slice_is_made(spark, tmp_path, monkeypatch):
+    """Texts are dealt to slices, and nothing is dealt again; a posting is a few bytes, without its chunk's name."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "repartition", lambda *_: pytest.fail("a second shuffle"))
+    long = "a-name-that-is-longer-than-its-text-" * 4
+    rows = [(f"{long}{i}", "Zürich zurich run " + "pad " * (i % 300)) for i in range(600)] + [("none", None), ("empty", "%")]
+    text_index.save_blocks(spark.createDataFrame(rows, "chunk_id string, content string"), f"file://{tmp_path}/b", False)
+    index = text_index.load_blocks(spark, f"file://{tmp_path}/b", False)
+    assert {r[0]: tuple(r[1:]) for r in index.blocks.groupBy("term").agg(F.sum("held"), F.max("most_tf")).collect()} == {"zurich": (600, 2), "run": (600, 1), "pad": (598, 299)}
+    assert index.blocks.agg(F.max((F.length("docs") + F.length("tfs")) / F.col("held"))).first()[0] <= 4 and index.chunks.select(F.sum(F.size("ids"))).first()[0] == 602
+    assert tuple(index.corpus.first())[0] == 602
