@@ -113,3 +113,21 @@ def test_blocks_are_written_where_a_slice_is_made(spark, tmp_path, monkeypatch):
     assert {r[0]: tuple(r[1:]) for r in index.blocks.groupBy("term").agg(F.sum("held"), F.max("most_tf")).collect()} == {"zurich": (600, 2), "run": (600, 1), "pad": (598, 299)}
     assert index.blocks.agg(F.max((F.length("docs") + F.length("tfs")) / F.col("held"))).first()[0] <= 4 and index.chunks.select(F.sum(F.size("ids"))).first()[0] == 602
     assert tuple(index.corpus.first())[0] == 602
+
+
+def test_many_questions_are_asked_in_one_walk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "SLICE", 8)
+    rows = texts(spark, range(500), 11, 60).unionByName(spark.createDataFrame([("e1", ""), ("e2", None), ("e4", "run " * 300)], "chunk_id string, content string"))
+    text_index.save_blocks(rows, f"file://{tmp_path}/b", False)
+    search.save_text_index(search.build_text_index(rows, False), f"file://{tmp_path}/w")
+    blocks, whole = text_index.load_blocks(spark, f"file://{tmp_path}/b", False), search.load_text_index(spark, f"file://{tmp_path}/w", False)
+    assert blocks.chunks.count() > 2 * text_index.SOME
+    rnd = random.Random(3)
+    queries = [(k, rnd.choice([" ", "-"]).join(rnd.choices(WORDS, k=rnd.randrange(1, 4)))) for k in range(60)]
+    queries += [(60 + k, q) for k, q in enumerate(["run-run-run", "run-run alpha", "alpha-beta gamma-delta", "alpha  alpha", "zzz alpha", "", "%%", "alpha beta-zzz", "gamma-delta-alpha run", "ALPHA beta", "alpha beta", "alpha beta"])]
+    want = sorted(search.text_search(whole, queries, 5).withColumn("score", F.round("score", 8)).collect())
+    monkeypatch.setattr(text_index, "BlockSearch", lambda *_: pytest.fail("blocks of questions read the index again"))
+    for pairs in (1 << 20, 40):
+        monkeypatch.setattr(text_index, "PAIRS", pairs)
+        got = text_index.block_search(blocks, queries, 5, block=10)
+        assert sorted(got.withColumn("score", F.round("score", 8)).collect()) == want and len(want) > 150
