@@ -94,3 +94,14 @@ def test_command_lines(tmp_path):
     assert done.returncode == 0 and "wrote 1 segments" in done.stderr and (tmp_path / "o" / "postings" / "segment=0").is_dir()
     (tmp_path / "c.json").write_text(json.dumps({"stem": False}))
     assert subprocess.run(feed, env=env, cwd=ROOT, capture_output=True, text=True, timeout=300).returncode != 0
+
+
+def test_texts_are_not_shuffled_for_answers(spark, tmp_path, monkeypatch):
+    """Hits are sent to the texts, and texts are read once for them; so what is shuffled for the answers is small beside them."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, join = [], DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda self, other, *a, **k: plans.append(join(self, other, *a, **k)) or plans[-1])
+    answer_report.run(spark, f"{DATA}/documents.parquet", f"{DATA}/benchmark.parquet", f"file://{tmp_path}/o", config_of("answer_report"))
+    read = [p for p in plans if "content" in p.columns]
+    assert len(read) == 2 and all("BroadcastHashJoin" in p._jdf.queryExecution().executedPlan().toString() and "hashpartitioning" not in p._jdf.queryExecution().executedPlan().toString() for p in read)
