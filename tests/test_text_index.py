@@ -64,6 +64,38 @@ def test_an_upsert_writes_what_it_brings(spark, tmp_path):
     assert size() - before < before / 10
 
 
+def test_texts_are_split_once_and_a_common_term_has_no_task_of_its_own(spark, tmp_path):
+    def noted(batches):
+        for b in batches:
+            with open(f"{tmp_path}/rows", "a") as f:
+                f.write("." * len(b))
+            yield b
+
+    kept = TextSegments(spark, f"file://{tmp_path}/s", stems=False)
+    rows = texts(spark, range(400), 1).repartition(4, "chunk_id")
+    kept.put(rows.mapInPandas(noted, rows.schema))
+    assert len((tmp_path / "rows").read_text()) == 400
+    found = kept.table("postings").filter("term = 'alpha'")
+    assert found.select(F.input_file_name()).distinct().count() == 4
+    want = tables(search.build_text_index(rows, stems=False))
+    assert tables(kept.index()) == want and tables(kept.merged_to(f"file://{tmp_path}/m").index()) == want
+    shown = kept.table("postings").select("term", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("k")).collect()
+    for f in {r["f"] for r in shown}:
+        terms = [r["term"] or "" for r in sorted(shown, key=lambda r: r["k"]) if r["f"] == f]
+        assert terms == sorted(terms)
+
+
+def test_runs_of_texts_give_the_postings_of_all(spark, monkeypatch):
+    rows = texts(spark, range(90), 4).unionByName(spark.createDataFrame([("e1", ""), ("e2", None), ("e3", "Ünïcode ünicode ONLY_here ½ x1")], "chunk_id string, content string")).coalesce(1)
+    monkeypatch.setattr(text_index, "ROWS", 7)
+    monkeypatch.setattr(text_index, "RUN_BYTES", 500)
+    monkeypatch.setattr(text_index, "OUT_ROWS", 9)
+    index = search.build_text_index(rows, stems=False)
+    got = text_index.posting_rows(rows, False)
+    assert sorted(map(str, got.filter("term is not null").select("term", "chunk_id", "tf", "positions").collect())) == sorted(map(str, index.postings.collect()))
+    assert sorted(got.filter("term is null and positions is null").select("chunk_id", "tf").collect()) == sorted(index.lengths.collect())
+
+
 def test_blocks_find_what_full_scoring_finds(spark, tmp_path, monkeypatch):
     stems = True
     monkeypatch.setattr(text_index, "SLICE", 16)
