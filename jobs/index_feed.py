@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanstone.operators.text_index import TextSegments
@@ -21,8 +21,8 @@ from gleanstone.operators.text_index import TextSegments
 from .common import command_line
 
 NAME = "index_feed"
-#: Bytes of texts that a task indexes, about: its postings are ten times as many in memory. Ids that are met twice in a batch are broadcast up to this number.
-TASK_BYTES, BROADCAST_IDS = 1 << 24, 1_000_000
+#: Ids that are met twice in a batch are broadcast up to this number.
+BROADCAST_IDS = 1_000_000
 log = logging.getLogger(f"jobs.{NAME}")
 
 
@@ -37,16 +37,16 @@ def latest_texts(rows: DataFrame, config: dict) -> DataFrame:
     return one.agg(F.max(F.struct(version.alias("v"), F.col(config["text"]).alias("content"))).alias("_last")).select("chunk_id", "_last.content")
 
 
-def batch_texts(rows: DataFrame, config: dict, found: Row) -> DataFrame:
-    """What latest_texts() gives, in tasks of about TASK_BYTES. found: of the rows, their size in bytes, and how many ids (twice) are met more than once: only texts of these are sorted to be compared."""
+def batch_texts(rows: DataFrame, config: dict, n_twice: int) -> DataFrame:
+    """What latest_texts() gives. n_twice: how many ids are met more than once; only texts of these are sorted to be compared."""
     named = rows.filter(F.col(config["id"]).isNotNull()).withColumn("_chunk", chunk_id(F.col(config["id"])))
-    if found["twice"]:
+    if n_twice:
         twice = named.groupBy("_chunk").count().filter("count > 1").select("_chunk")
-        twice = F.broadcast(twice) if found["twice"] <= BROADCAST_IDS else twice
+        twice = F.broadcast(twice) if n_twice <= BROADCAST_IDS else twice
         several = latest_texts(named.join(twice, "_chunk", "left_semi"), config)
         named = named.join(twice, "_chunk", "left_anti")
     texts = named.select(F.col("_chunk").alias("chunk_id"), F.col(config["text"]).alias("content"))
-    return (texts.unionByName(several) if found["twice"] else texts).repartition(1 + found["size"] // TASK_BYTES, "chunk_id")
+    return texts.unionByName(several) if n_twice else texts
 
 
 def any_table(path: str) -> str:
@@ -62,10 +62,10 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, config:
     columns = [c for c in (config["id"], config["text"], config["version"]) if c]
 
     def index(batch: DataFrame, number: int) -> None:
-        ids = batch.groupBy(chunk_id(F.col(config["id"])).alias("id")).agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length(config["text"])).alias("size"))
+        ids = batch.groupBy(chunk_id(F.col(config["id"])).alias("id")).agg(F.count(F.lit(1)).alias("k"))
         named = F.col("id").isNotNull()
-        found = ids.agg(*[F.coalesce(c, F.lit(0)).alias(name) for name, c in {"n": F.sum("k"), "unnamed": F.sum(F.when(~named, F.col("k"))), "twice": F.count_if(named & (F.col("k") > 1)), "size": F.sum("size")}.items()]).first()
-        rows = batch_texts(batch, config, found)
+        found = ids.agg(*[F.coalesce(c, F.lit(0)).alias(name) for name, c in {"n": F.sum("k"), "unnamed": F.sum(F.when(~named, F.col("k"))), "twice": F.count_if(named & (F.col("k") > 1))}.items()]).first()
+        rows = batch_texts(batch, config, found["twice"])
         segments.put(rows.filter("content is not null"), rows.filter("content is null"), number)
         log.info("batch %d: read %d rows of %s, of which %d without an id were left out", number, found["n"], documents, found["unnamed"])
 

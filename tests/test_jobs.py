@@ -78,14 +78,13 @@ def test_only_texts_that_are_met_twice_are_sorted(spark, monkeypatch):
     config = config_of("index_feed")
     rows = spark.createDataFrame([(1, "b"), (2, "x"), (3, None), (None, "n"), (None, "m")], "doc_id long, text string")
     met = lambda df: sorted(map(str, df.collect()))
-    found = {"twice": 0, "size": 5 * index_feed.TASK_BYTES}
-    once = index_feed.batch_texts(rows, config, found)
+    once = index_feed.batch_texts(rows, config, 0)
     plan = once._jdf.queryExecution().executedPlan().toString()
-    assert "Sort" not in plan and once.rdd.getNumPartitions() == 6 and met(once) == met(index_feed.latest_texts(rows, config))
+    assert "Sort" not in plan and "Exchange" not in plan and met(once) == met(index_feed.latest_texts(rows, config))
     more = rows.unionByName(spark.createDataFrame([(1, "a"), (1, "b"), (3, "z"), (4, "y"), (5, None), (5, None)], "doc_id long, text string"))
     for most in (10, 1):
         monkeypatch.setattr(index_feed, "BROADCAST_IDS", most)
-        assert met(index_feed.batch_texts(more, config, {"twice": 3, "size": 0})) == met(index_feed.latest_texts(more, config))
+        assert met(index_feed.batch_texts(more, config, 3)) == met(index_feed.latest_texts(more, config))
 
 
 def test_answers(spark, tmp_path):
